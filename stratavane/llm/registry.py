@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination
+from stratavane.llm import decontamination, substrings
 
-_MODULES = [decontamination]
+_MODULES = [decontamination, substrings]
 
 
 def queries() -> dict:
