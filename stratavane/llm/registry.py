@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination, substrings
+from stratavane.llm import decontamination, exact, substrings
 
-_MODULES = [decontamination, substrings]
+_MODULES = [decontamination, exact, substrings]
 
 
 def queries() -> dict:
