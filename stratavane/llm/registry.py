@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination, exact, substrings
+from stratavane.llm import decontamination, exact, licenses, pii, substrings
 
-_MODULES = [decontamination, exact, substrings]
+_MODULES = [decontamination, exact, licenses, pii, substrings]
 
 
 def queries() -> dict:
