@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination, exact, licenses, pii, substrings
+from stratavane.llm import decontamination, exact, licenses, pii, substrings, token_counts, token_files
 
-_MODULES = [decontamination, exact, licenses, pii, substrings]
+_MODULES = [decontamination, exact, licenses, pii, substrings, token_counts, token_files]
 
 
 def queries() -> dict:
