@@ -18,7 +18,7 @@ K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text that are tokenised at a time; one longer document is taken alone.
 BLOCK_BYTES = 1 << 21
 #: Session settings that keep Arrow batches small whatever the texts' lengths.
-BATCH_BYTES, BATCH_ROWS = 32 << 20, 10_000
+BATCH_BYTES = 16 << 20
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:

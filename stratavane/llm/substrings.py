@@ -37,9 +37,9 @@ from stratavane.llm import _text as X
 
 WINDOW = 20
 #: Bytes of text in a pack; one longer document is a pack of its own.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: Windows that a range of cells or keys holds on average.
-RANGE_WINDOWS = 4_000_000
+RANGE_WINDOWS = 2_000_000
 #: Sketch cells for each window of the corpus.
 CELLS_PER_WINDOW = 64
 
@@ -102,14 +102,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Pack:
     """A pack's documents and the hashes of their windows."""
 
-    def __init__(self, blob: bytes, window: int):
+    def __init__(self, blob: bytes, window: int, with_blocks: bool = False):
         t = pa.ipc.open_stream(blob).read_all().combine_chunks()
         self.ids, self.text, self.window = t["id"].combine_chunks(), t["text"], window
         words, sizes, self.blocks = [], [], []
         for b in X.blocks(self.text, X.NOT_SPACE, False):
             words.append(X.word_hashes(b))
             sizes.append(b.n_words)
-            self.blocks.append(b)
+            if with_blocks:
+                self.blocks.append(b)
         self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
         self.starts = X.window_starts(self.offsets, window)
@@ -237,7 +238,7 @@ def _clean(key_ranges: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, state, got in zip(batch.column("blob"), batch.column("state"), batch.column("got"), strict=True):
-                p = Pack(blob.as_py(), window)
+                p = Pack(blob.as_py(), window, True)
                 which, a, _, new = p.keys(np.flatnonzero(_flags(state.as_py(), len(p.starts))))
                 own = _replies(got.as_py(), _cuts(a[new], 64, key_ranges))
                 later = np.ones(len(which), bool)
