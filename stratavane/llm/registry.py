@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination, exact, licenses, near, pii, substrings, token_counts, token_files
+from stratavane.llm import decontamination, exact, language, licenses, near, pii, substrings, token_counts, token_files
 
-_MODULES = [decontamination, exact, licenses, near, pii, substrings, token_counts, token_files]
+_MODULES = [near, language, token_counts, pii, decontamination, exact, token_files, licenses, substrings]
 
 
 def queries() -> dict:
