@@ -8,8 +8,8 @@ equal if their ordered identifier lists are; texts themselves are never shuffled
 and recipes, whatever a document's length.
 
 DataFrame functions only.  Groups are counted with partial aggregates before the shuffle, so a text
-that a third of all rows share is one row per task; the join back has one row per group on its
-right side, so a hot group can be split on the left.
+that a third of all rows share is one row per task, and the rows of such hot groups learn their
+group from a broadcast of bounded size instead of meeting in one task.
 
 Defined results: null and empty texts are equal (an empty recipe).  Of equal texts the row with the
 largest id stays; a null id is smaller than any other, and of rows repeated with the same id, each
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from stratavane import storage
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
+#: Groups with more than one in so many rows are hot; there can't be as many of them.
+HOT_GROUPS = 1000
 
 
 def chunks(text: Column) -> Column:
@@ -66,9 +68,16 @@ def verified(found: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
-    rows = verified(storage.stage(recipes(docs, id=id, text=text), "recipes"))
+    found = storage.stage(recipes(docs, id=id, text=text), "recipes")
+    rows, n = verified(found), found.count()
     size = rows.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(size, "ids").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # Fewer than HOT_GROUPS groups hold more than n / HOT_GROUPS rows: those are broadcast, and only
+    # the rows of the others are shuffled to meet their group.
+    hot = F.col("group_size") * HOT_GROUPS > n
+    known = rows.join(F.broadcast(size.where(hot)), "ids", "left")
+    rest = known.where("group_size IS NULL").drop("keep_id", "group_size").join(size.where(~hot), "ids")
+    out = known.where("group_size IS NOT NULL").unionByName(rest)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
