@@ -61,9 +61,9 @@ def verified(found: DataFrame) -> DataFrame:
         return found.select("doc_id", "text_sha256", name.alias("ids"))
     # only documents with a doubtful chunk are taken apart
     row = found.select("doc_id", "text_sha256", "digests", name.alias("ids"), "recipe")
-    part = row.select("doc_id", "text_sha256", F.posexplode("recipe").alias("pos", "hash")).join(doubtful, "hash").groupBy("doc_id", "text_sha256").agg(F.collect_set("pos").alias("at"))
-    told = F.transform("ids", lambda x, i: F.when(F.array_contains("at", i), F.concat_ws("-", x, F.hex(F.col("digests")[i]))).otherwise(x))
-    return row.join(part, (row.doc_id.eqNullSafe(part.doc_id)) & (row.text_sha256 == part.text_sha256), "left").select(row.doc_id, row.text_sha256, F.when(F.col("at").isNull(), F.col("ids")).otherwise(told).alias("ids"))
+    part = row.select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_t"), F.posexplode("recipe").alias("pos", "hash")).join(doubtful, "hash").groupBy("_i", "_t").agg(F.collect_set("pos").alias("at"))
+    told = F.transform("ids", lambda x, i: F.when(F.array_contains("at", i), F.concat_ws("-", x, F.hex(F.get("digests", i)))).otherwise(x))
+    return row.join(part, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_sha256") == F.col("_t")), "left").select("doc_id", "text_sha256", F.when(F.col("at").isNull(), F.col("ids")).otherwise(told).alias("ids"))
 
 
 def groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
