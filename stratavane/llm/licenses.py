@@ -143,3 +143,38 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(label("base"), label("found"))), ",").alias("labels"),
         F.greatest(F.coalesce(F.array_max(F.transform("found", lambda x: x.score)), F.lit(0.0)), F.when(F.size("base") > 0, F.lit(PHRASE_SCORE)).otherwise(F.lit(0.0))).alias("score"),
     )
+
+
+def _sql() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    rows = []
+    for k, (label, notice, phrase) in enumerate(TEMPLATES):
+        w, key = split_words(notice), split_words(phrase)
+        at = next(i for i in range(len(w)) if w[i : i + len(key)] == key)
+        rows.append(f"({k}, '{label}', {quoted(w)}, {at}, {len(key)})")
+    base = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE.items())
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(k, label, w, key_at, key_n) AS (VALUES {", ".join(rows)}),
+tw AS (SELECT k, label, key_at, key_n, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS j FROM t),
+p AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) WHERE word IN (SELECT word FROM tw) OR word IN ('cc', 'by')),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY 1),
+rare AS (SELECT k, word, j, row_number() OVER (PARTITION BY k ORDER BY coalesce(df, 0), j) AS r FROM (SELECT k, word, min(j) AS j FROM tw GROUP BY 1, 2) LEFT JOIN df USING (word)),
+o AS (SELECT p.doc_id, rare.k, p.i - rare.j AS o FROM p JOIN rare ON rare.word = p.word AND rare.r = 1),
+a AS (SELECT o.* FROM o JOIN rare ON rare.k = o.k AND rare.r = {POSTINGS} JOIN p ON p.doc_id = o.doc_id AND p.word = rare.word AND p.i = o.o + rare.j),
+m AS (SELECT a.doc_id, a.k, a.o, any_value(tw.label) AS label, count(p.i) / any_value(tw.n)::DOUBLE AS score, count(p.i) FILTER (tw.j >= tw.key_at AND tw.j < tw.key_at + tw.key_n) = any_value(tw.key_n) AS phrase
+  FROM a JOIN tw ON tw.k = a.k LEFT JOIN p ON p.doc_id = a.doc_id AND p.word = tw.word AND p.i = a.o + tw.j GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, label, max(score) AS score FROM m WHERE phrase AND score >= {LEAST_SCORE} GROUP BY 1, 2),
+b(label, ph) AS (VALUES {base}),
+bw AS (SELECT label, len(ph) AS n, unnest(ph) AS word, unnest(range(len(ph))) AS j FROM b),
+h AS (SELECT p.doc_id, bw.label, p.i - bw.j AS i FROM p JOIN bw ON bw.word = p.word GROUP BY 1, 2, 3 HAVING count(*) = any_value(bw.n)),
+hs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY 1),
+ls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM f) GROUP BY 1),
+fs AS (SELECT doc_id, max(score) AS score FROM f GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(score, 0), CASE WHEN n_base > 0 THEN {PHRASE_SCORE} ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN hs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN fs USING (doc_id)
+"""
+
+
+SQL = _sql()
