@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-The corpus' distinct words (a run of word marks and what follows it, cut around line feeds) are gathered
-once.  Each is exploded into its substrings of bounded length, these are equi-joined to the piece table,
-and the edges found are grouped by word, which keeps the words' partitioning and so needs no further
-shuffle.  The lattice is folded with Spark's higher-order functions:
+The corpus' distinct words are gathered once.  A word ends where no piece of the vocabulary holds the two
+characters at the cut, so pieces never cross words.  Each word is exploded into its substrings of bounded
+length, these are equi-joined to the piece table, and the edges found are grouped by word; the three steps run
+on whole Arrow batches of words, where a word's substrings are together from the start (as separate engine
+operators they cost several times as much; the README has the figures).  The lattice is then folded with
+Spark's higher-order functions:
 
 * for a unigram model by Viterbi (``aggregate`` over the positions, best score first);
 * for a BPE model by its merge order (``aggregate`` that joins two neighbouring segments along the best
@@ -11,7 +13,7 @@ shuffle.  The lattice is folded with Spark's higher-order functions:
   model's scores are ranks of merges, and their best sum is often not the library's segmentation.
 
 Characters without a piece become byte pieces.  Words longer than ``FOLD_CHARS`` are folded by the same
-merge order in Python with a heap.  Texts are then encoded by looking up their words: from a broadcast
+rule in Python (merges with a heap).  Texts are then encoded by looking up their words: from a broadcast
 table if the words number at most ``BROADCAST_WORDS``, else by a join on the word in which hot words
 are broadcast and each document's ids are put together again by place.
 
@@ -51,9 +53,18 @@ class Pieces:
     unknown: int
     kind: str = "bpe"
 
-    def __post_init__(self):
-        if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p, _, _ in self.rows):
-            raise ValueError("pieces that cross words can't be encoded word by word")
+    @property
+    def joins(self) -> np.ndarray:
+        """Whether some piece may hold two neighbouring characters of which the first ends with one byte and
+        the second begins with the other. A space stands for the word mark."""
+        out = np.zeros((256, 256), bool)
+        forms = lambda c: (b" ", MARK.encode()) if c == MARK else (c.encode(),)
+        for p, _, _ in self.rows:
+            for x, y in zip(p, p[1:], strict=False):
+                for v in forms(x):
+                    for w in forms(y):
+                        out[v[-1], w[0]] = True
+        return out
 
     @property
     def longest(self) -> int:
@@ -84,26 +95,20 @@ def load(path: str | None = None) -> Pieces:
 # --- words -------------------------------------------------------------------------------------------
 
 
-def word_block(first_doc: int, last_doc: int, raw: np.ndarray, off: np.ndarray) -> X.Block:
-    """Texts, each with a leading space if it isn't empty, cut into words. off: ends of the texts' bytes."""
-    some = np.flatnonzero(np.diff(off))
-    data = np.insert(raw, off[some], np.uint8(32))
-    off = off + np.concatenate([[0], np.cumsum(np.diff(off) > 0)])
-    space, line = data == 32, data == 10
-    first = np.zeros(len(data) + 1, bool)
-    first[off] = True
-    first = first[:-1] | line
-    first[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
-    start = np.flatnonzero(first)
-    return X.Block(first_doc, last_doc, data, start, np.append(start[1:], len(data)), np.searchsorted(start, off))
-
-
-def _blocks(texts: pa.Array) -> Iterator[X.Block]:
+def _blocks(texts: pa.Array, joins: np.ndarray) -> Iterator[X.Block]:
+    """Texts in blocks, each with a leading space if it isn't empty, cut into words."""
     data, off = X.buffers(texts)
     n, first = len(off) - 1, 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(off, off[first] + X.BLOCK_BYTES, "right")) - 1)
-        yield word_block(first, last, data[off[first] : off[last]], off[first : last + 1] - off[first])
+        own = off[first : last + 1] - off[first]
+        d = np.insert(data[off[first] : off[last]], own[np.flatnonzero(np.diff(own))], np.uint8(32))
+        own = own + np.concatenate([[0], np.cumsum(np.diff(own) > 0)])
+        begins = np.zeros(len(d) + 1, bool)
+        begins[1:-1] = ((d[1:] & 0xC0) != 0x80) & ~joins[d[:-1], d[1:]]
+        begins[own] = True
+        start = np.flatnonzero(begins[:-1])
+        yield X.Block(first, last, d, start, np.append(start[1:], len(d)), np.searchsorted(start, own))
         first = last
 
 
@@ -124,33 +129,89 @@ def _strings(b: X.Block, which: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(which), pa.py_buffer(off.tobytes()), pa.py_buffer(b.data[index].tobytes()))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(0, np.uint64)  # of this batch; the engine's partial aggregate does the rest
-    for batch in batches:
-        seen = np.zeros(0, np.uint64)
-        for b in _blocks(batch.column("text")):
-            d, _, example = _distinct(X.word_hashes(b))
-            new = ~np.isin(d, seen) if len(seen) else np.ones(len(d), bool)
-            seen = np.sort(np.concatenate([seen, d[new]]))
-            yield pa.RecordBatch.from_arrays([_strings(b, example[new])], ["word"])
+def _words(joins: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(0, np.uint64)  # of this batch; the engine's partial aggregate does the rest
+            for b in _blocks(batch.column("text"), joins):
+                d, _, example = _distinct(X.word_hashes(b))
+                at = np.minimum(np.searchsorted(seen, d), max(len(seen) - 1, 0))
+                new = seen[at] != d if len(seen) else np.ones(len(d), bool)
+                seen = np.sort(np.concatenate([seen, d[new]]))
+                yield pa.RecordBatch.from_arrays([_strings(b, example[new])], ["word"])
+
+    return run
 
 
 # --- lattice and folds -------------------------------------------------------------------------------
 
 
+_EDGE = pa.struct([("cost", pa.float64()), ("at", pa.int32()), ("size", pa.int32()), ("id", pa.int32())])
+
+
+class Lattice:
+    """The piece table, hashed for equi-joins with substrings."""
+
+    def __init__(self, pieces: Pieces):
+        self.longest, self.pieces = pieces.longest, pieces
+        h = np.array([self._hash(np.array([ord(c) for c in p], np.uint64)) for p, _, _ in pieces.rows], np.uint64)
+        order = np.argsort(h)
+        self.hashes = h[order]
+        self.ids = np.array([i for _, i, _ in pieces.rows], np.int32)[order]
+        self.costs = np.array([-s for _, _, s in pieces.rows])[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces share a hash")
+
+    @staticmethod
+    def _hash(code: np.ndarray) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in code:
+            h = X.mix(h * X.K1 + c + X.U(1))
+        return h[0]
+
+    def edges(self, words: list[str]) -> pa.Array:
+        """Each word's edges, the least cost first, then the leftmost; places count from 1."""
+        code = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        room = np.repeat(end, size) - np.arange(len(code))  # characters from here to the word's end
+        h, at, found = np.zeros(len(code), np.uint64), np.arange(len(code)), []
+        for n in range(1, self.longest + 1):  # substrings of n characters
+            keep = room[at] >= n
+            at, h = at[keep], h[keep]
+            if not len(at):
+                break
+            h = X.mix(h * X.K1 + code[at + n - 1] + X.U(1))
+            p = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[p] == h
+            found.append((at[hit], np.full(int(hit.sum()), n), p[hit]))
+        begin, n, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((begin, self.costs[p], word[begin]))
+        begin, n, p = begin[order], n[order], p[order]
+        own = word[begin]
+        place = begin - (end - size)[own] + 1
+        off = np.searchsorted(own, np.arange(len(words) + 1))
+        rows = pa.StructArray.from_arrays([pa.array(self.costs[p]), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(self.ids[p])], fields=list(_EDGE))
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), rows)
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Each word (with spaces as word marks in ``marked``) and its edges: structs (score, at, size, id),
-    the best score first."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, s) for p, i, s in pieces.rows if len(p) > 0], "piece string, id int, score double")
-    marked = F.translate("word", " ", MARK)
-    n = F.length("word")
-    sub = words.select("word", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "at")).select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("at") + 1))).alias("size"))
-    sub = sub.select("word", "at", "size", F.substr(marked, F.col("at"), F.col("size")).alias("piece"))
-    # every word keeps a row, whether or not a piece is found in it: its first character
-    edge = sub.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR (at = 1 AND size = 1)")
-    grouped = edge.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "at", "size", "id"))).alias("edges"))
-    return grouped.select("word", F.array_sort("edges").alias("edges"))
+    """``word``, its ``edges`` (structs cost, at, size, id), or, if it is longer than ``FOLD_CHARS``, its ``ids``."""
+    shared = words.sparkSession.sparkContext.broadcast(Lattice(pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat, scores = shared.value, {}
+        for batch in batches:
+            names = batch.column("word").to_pylist()
+            ids: list = [None] * len(names)
+            for k, w in enumerate(names):
+                if len(w) > FOLD_CHARS:
+                    scores = scores or {t: (i, s) for t, i, s in lat.pieces.rows}
+                    ids[k], names[k] = fold_long(w.replace(" ", MARK), lat.pieces, scores), ""
+            yield pa.RecordBatch.from_arrays([batch.column("word"), lat.edges(names), pa.array(ids, pa.list_(pa.int32()))], ["word", "edges", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, edges array<struct<cost:double,at:int,size:int,id:int>>, ids array<int>")
 
 
 def bpe_fold(n: Column, edges: Column) -> Column:
@@ -238,34 +299,39 @@ def heap_bpe(word: str, scores: dict[str, tuple[int, float]]) -> list[str]:
     return [t for t in text if t]
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word`` and ``ids`` of each distinct word."""
+def fold_long(word: str, pieces: Pieces, scores: dict[str, tuple[int, float]]) -> list[int]:
+    """The ids of a long word, by the model's rule."""
     if pieces.kind == "bpe":
-        short, long = words.where(F.length("word") <= FOLD_CHARS), words.where(F.length("word") > FOLD_CHARS)
+        cut = heap_bpe(word, scores)
     else:
-        short, long = words, None
-    n = F.length("word")
-    worst = max([0.0, *(-s for _, _, s in pieces.rows)]) + 10
-    fold = bpe_fold(n, F.col("edges")) if pieces.kind == "bpe" else viterbi_fold(n, F.col("edges"), worst)
-    out = lattice(short, pieces).select("word", "edges", fold.alias("next")).select("word", _ids(pieces, F.col("next"), F.col("edges"), F.col("word")).alias("ids"))
-    if long is None:
-        return out
-    shared = words.sparkSession.sparkContext.broadcast(pieces)
+        worst, longest = _unknown_cost(pieces), pieces.longest
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        for k in range(1, len(word) + 1):
+            paths = [(best[k - n][0] - scores[word[k - n : k]][1], k - n) for n in range(1, min(k, longest) + 1) if word[k - n : k] in scores]
+            if word[k - 1] not in scores:
+                paths.append((best[k - 1][0] + worst, k - 1))
+            best.append(min(paths))
+        cut, k = [], len(word)
+        while k:
+            cut.append(word[best[k][1] : k])
+            k = best[k][1]
+        cut.reverse()
+    out: list[int] = []
+    for t in cut:
+        out += [scores[t][0]] if t in scores else [pieces.bytes[b] for b in t.encode()] if pieces.bytes else [pieces.unknown]
+    return out
+
+
+def _unknown_cost(pieces: Pieces) -> float:
+    return max([0.0, *(-s for _, _, s in pieces.rows)]) + 10
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = {}
-        for batch in batches:
-            p = shared.value
-            scores = scores or {t: (i, s) for t, i, s in p.rows}
-            ids = []
-            for w in batch.column("word").to_pylist():
-                own: list[int] = []
-                for t in heap_bpe(w.replace(" ", MARK), scores):
-                    own += [scores[t][0]] if t in scores else [p.bytes[b] for b in t.encode()] if p.bytes else [p.unknown]
-                ids.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return out.unionByName(long.select("word").mapInArrow(run, "word string, ids array<int>"))
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``word`` and ``ids`` of each distinct word."""
+    n = F.length("word")
+    fold = bpe_fold(n, F.col("edges")) if pieces.kind == "bpe" else viterbi_fold(n, F.col("edges"), _unknown_cost(pieces))
+    folded = lattice(words, pieces).withColumn("next", F.when(F.col("ids").isNull(), fold))
+    return folded.select("word", F.coalesce("ids", _ids(pieces, F.col("next"), F.col("edges"), F.col("word"))).alias("ids"))
 
 
 # --- texts -------------------------------------------------------------------------------------------
@@ -296,10 +362,11 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
     spark = docs.sparkSession
     X.bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = texts.mapInArrow(_words, "word string").distinct()
+    joins = pieces.joins
+    words = texts.mapInArrow(_words(joins), "word string").distinct()
     coded = storage.stage(encode_words(words, pieces), "words")
     if coded.count() > broadcast_words:
-        return _joined(docs, coded, text, ids)
+        return _joined(docs, coded, joins, text, ids)
     small = coded.mapInArrow(_hashed, "hash long, ids array<int>").toArrow().combine_chunks()
     lists = small["ids"].combine_chunks() if small.num_rows else pa.array([], pa.list_(pa.int32()))
     table = spark.sparkContext.broadcast(_Table(small["hash"].to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(lists) else np.zeros(0, np.int32)))
@@ -309,7 +376,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
         t = table.value
         for batch in batches:
             row = batch.column("row")
-            for b in _blocks(pa.compute.struct_field(row, text)):
+            for b in _blocks(pa.compute.struct_field(row, text), joins):
                 d, inverse, _ = _distinct(X.word_hashes(b))
                 at = np.searchsorted(t.hashes, d)
                 size, first = t.sizes[at].astype(np.int64)[inverse], t.first[at][inverse]
@@ -322,18 +389,21 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, schema).select("row.*", ids)
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row = batch.column("row").to_numpy()
-        for b in _blocks(batch.column("text")):
-            place = np.arange(len(b.start)) - np.repeat(b.offsets[:-1], b.n_words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[b.first : b.last], b.n_words)), pa.array(place), _strings(b, np.arange(len(b.start)))], ["row", "place", "word"])
+def _placed(joins: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            for b in _blocks(batch.column("text"), joins):
+                place = np.arange(len(b.start)) - np.repeat(b.offsets[:-1], b.n_words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[b.first : b.last], b.n_words)), pa.array(place), _strings(b, np.arange(len(b.start)))], ["row", "place", "word"])
+
+    return run
 
 
-def _joined(docs: DataFrame, coded: DataFrame, text: str, ids: str) -> DataFrame:
+def _joined(docs: DataFrame, coded: DataFrame, joins: np.ndarray, text: str, ids: str) -> DataFrame:
     """As ``encode``, by a join on the word."""
     rows = storage.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    placed = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_placed, "row long, place long, word string")
+    placed = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_placed(joins), "row long, place long, word string")
     counts = placed.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     n = placed.count()
     found = meet_groups(placed, coded.join(counts, "word"), ["word"], "_n", max(1, n))
