@@ -41,7 +41,7 @@ from stratavane.operators.skew import meet_groups
 MARK = "▁"
 FOLD_CHARS = 256
 #: Words whose encodings are broadcast (about 40 bytes each), and pieces that are.
-BROADCAST_WORDS = 4_000_000
+BROADCAST_WORDS = 3_000_000
 
 
 @dataclass
