@@ -651,11 +651,11 @@ def boundary_points(spark, sf):
     return spatial.boundary(_points(spark, sf), 0.1)
 
 
-@query("""SELECT floor(l_quantity / 5)::BIGINT AS vx, floor(l_discount / 0.02)::BIGINT AS vy, l_linenumber::BIGINT AS vz, count(*) AS n, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1, 2, 3""")
+@query("""SELECT floor(l_quantity / 5)::BIGINT AS vx, floor(l_discount / 0.02)::BIGINT AS vy, l_linenumber::BIGINT AS vz, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1, 2, 3""")
 def voxelize(spark, sf):
-    """Voxel means."""
+    """Voxel sums."""
     l = _read(spark, sf, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_linenumber").cast("double").alias("z"), F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("point_id"))
-    return spatial.voxelize(l, {"x": 5.0, "y": 0.02, "z": 1.0}, values=["price"]).select("vx", "vy", "vz", "n", _r("price", 4))
+    return spatial.voxelize(l, {"x": 5.0, "y": 0.02, "z": 1.0}, values=["price"], mode="sum").select("vx", "vy", "vz", "n", _r("price", 2))
 
 
 @query(f"WITH {_P} SELECT floor(x / 0.1)::BIGINT AS vx, floor(y / 0.1)::BIGINT AS vy, floor(z / 0.1)::BIGINT AS vz, count(*) AS n, arg_min(label, id) AS label FROM pt GROUP BY 1, 2, 3")
