@@ -12,11 +12,12 @@ relation.
   Jaccard similarity, without bias.  Points are drawn in rounds for all bags of a block together, and
   only while they can still lower a slot, so that a bag of n shingles costs about n + slots * log(slots).
 * ``BANDS`` bands of ``ROWS`` slots give bucket keys.  In each bucket every member is paired with its
-  least member only, and the pairs are verified by the overlap of the whole bags.
-* Buckets whose members then still lie in different components are compared further, in square
-  tiles of bounded size: pairs from different components whose signatures agree on enough slots are
-  verified too.  So no link between different components that share a bucket is skipped for a
-  bucket's size; a pair of similarity 0.8 shares no bucket with probability 7e-5.
+  first and its last member only, and the pairs are verified by the overlap of the whole bags.
+* In buckets whose members then still lie in different components, the members outside the largest one are
+  compared with all others, in tiles of bounded size that hold the texts: pairs from different components
+  whose signatures agree on enough slots are verified on the spot, and a tile gives only the links that
+  join components.  So no link that joins components within a bucket is skipped for the bucket's size, and
+  what is given out is linear; a pair of similarity 0.8 shares no bucket with probability 7e-5.
 
 No group is gathered: a hot node, bucket or class is broadcast as one row, the texts of a hot pair
 partner are dealt out over ``SALTS`` tasks, and texts are only moved for pairs.
@@ -54,9 +55,9 @@ AGREE = 72
 BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
 HASH_BITS = 53
 #: Tasks over which the pairs of one partner are dealt, and the side of a tile.
-SALTS, TILE = 1024, 512
+SALTS, TILE = 1024, 256
 #: Rows of text requests that are broadcast; more are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def bags(b: X.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,22 +183,41 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _tiles(table: pa.Table) -> pa.Table:
-    """Of the members of a tile (side 0 and 1; a tile on the diagonal has only side 0): pairs from
-    different components that may be similar."""
-    row, comp, n, side = (table[c].to_numpy() for c in ("row", "component", "n", "side"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.float32).reshape(len(row), SLOTS)
-    order = np.argsort(row, kind="stable")
-    row, comp, n, side, sig = row[order], comp[order], n[order], side[order], sig[order]
-    diagonal = not side.any()
-    left = np.flatnonzero(side == 0)
-    right = left if diagonal else np.flatnonzero(side == 1)
-    out = []
-    for i in left.tolist():
-        js = right[right > i] if diagonal else right
-        js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * SIMILARITY[1] >= SIMILARITY[0] * np.maximum(n[js], n[i]))]
-        js = js[(sig[js] == sig[i]).sum(1) >= AGREE] if len(js) else js
-        out += [(max(row[i], row[j]), min(row[i], row[j])) for j in js.tolist()]
-    a, b = zip(*out, strict=True) if out else ((), ())
+    """Links between members of side 0 (outside their bucket's largest component) and side 1 that join
+    different components. A pair is looked at in the first band that it shares."""
+    table = table.combine_chunks()
+    row, comp, n, side, out, band = (table[c].to_numpy() for c in ("row", "component", "n", "side", "outside", "band"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.float32).reshape(len(row), BANDS, ROWS)
+    bags_: list = []
+    for b in X.blocks(table["text"], X.ALNUM, True, BLOCK_BYTES):
+        doc, shingle, count, _ = bags(b)
+        cut = np.searchsorted(doc, np.arange(b.last - b.first + 1))
+        bags_ += [(shingle[lo:hi], count[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    right = np.flatnonzero(side == 1)
+    found = []
+    for a in np.flatnonzero(side == 0).tolist():
+        js = right[(comp[right] != comp[a]) & (np.minimum(n[right], n[a]) * SIMILARITY[1] >= SIMILARITY[0] * np.maximum(n[right], n[a])) & (~out[right] | (row[right] < row[a]))]
+        same = sig[js] == sig[a]
+        whole = same.all(2)
+        js = js[(same.sum((1, 2)) >= AGREE) & whole.any(1) & (whole.argmax(1) == band[a])]
+        for j in js.tolist():
+            x, y = find(int(comp[a])), find(int(comp[j]))
+            if x == y:
+                continue
+            (s, c), (t, d) = bags_[a], bags_[j]
+            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+            both = int(np.minimum(d[at], c)[t[at] == s].sum())
+            if both * SIMILARITY[1] >= SIMILARITY[0] * (int(n[a]) + int(n[j]) - both):
+                parent[max(x, y)] = min(x, y)
+                found.append((max(row[a], row[j]), min(row[a], row[j])))
+    a, b = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -206,26 +226,32 @@ def links(signed: DataFrame) -> DataFrame:
     the written table of signatures."""
     node = signed.groupBy("s1", "s2").agg(F.min("row").alias("row"))
     node = storage.stage(signed.select("row", "n", "keys").join(node.select("row"), "row"), "nodes")
-    member = node.select("row", "n", F.explode("keys").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("row").alias("b"), F.min_by("n", "row").alias("bn"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    member = node.select("row", "n", F.posexplode("keys").alias("band", "key"))
+    bucket = member.groupBy("key").agg(F.min("row").alias("lo"), F.min_by("n", "row").alias("lo_n"), F.max("row").alias("hi"), F.max_by("n", "row").alias("hi_n"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     many = node.count() * BANDS
     bucket = storage.stage(bucket, "buckets")
     found = storage.stage(meet_groups(member, bucket, ["key"], "_n", many), "members")
     fits = lambda x, y: F.least(x, y) * SIMILARITY[1] >= SIMILARITY[0] * F.greatest(x, y)
-    pairs = found.where((F.col("row") != F.col("b")) & fits(F.col("n"), F.col("bn"))).select(F.col("row").alias("a"), "b").distinct()
-    first = storage.stage(verify(pairs, signed), "links")
+    end = lambda e: found.where((F.col("row") != F.col(e)) & fits(F.col("n"), F.col(f"{e}_n"))).select(F.greatest("row", e).alias("a"), F.least("row", e).alias("b"))
+    first = storage.stage(verify(end("lo").unionByName(end("hi")).distinct(), signed), "links")
     comp = connected_components(first).withColumnRenamed("node", "row")
-    # buckets of three and more whose members are not all in one component
-    known = found.where("_n > 2").select("key", "row", "n", "_n").join(comp, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    # buckets of more than three members that are not all in one component (the ends have met everyone)
+    known = found.where("_n > 3").select("key", "band", "row", "n").join(comp, "row", "left").withColumn("component", F.coalesce("component", "row"))
     known = storage.stage(known, "known")
-    split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_m")).where("lo <> hi").select("key", "_m")
-    rest = meet_groups(known, split, ["key"], "_m", max(1, known.count())).join(signed.select("row", "sig"), "row")
-    tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("row"), tiles).cast("int")
-    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("key", "row", "component", "n", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long").distinct()
-    return first.unionByName(verify(more.join(pairs, ["a", "b"], "left_anti"), signed))
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("_m"))
+    parts = parts.where("parts > 1").select("key", F.col("main.component").alias("main"), (F.col("_m") - F.col("main.c")).alias("_o"), "_m")
+    rest = meet_groups(known, parts, ["key"], "_m", max(1, known.count())).withColumn("outside", F.col("component") != F.col("main"))
+    tiles_o, tiles_m = (F.ceil(F.col(c) / F.lit(TILE)).cast("int") for c in ("_o", "_m"))
+    place = lambda t: F.pmod(F.xxhash64("row"), t).cast("int")
+    every = lambda t: F.explode(F.sequence(F.lit(0), t - 1))
+    left = rest.where("outside").withColumn("i", place(tiles_o)).withColumn("j", every(tiles_m)).withColumn("side", F.lit(0))
+    right = rest.withColumn("j", place(tiles_m)).withColumn("i", every(tiles_o)).withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).select("key", "band", "i", "j", "side", "row", "component", "n", "outside")
+    dealt = storage.stage(dealt, "tiles")
+    whole = signed.select("row", "sig", "text")
+    asked = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    more = whole.join(asked, "row").groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long")
+    return storage.stage(first.unionByName(more), "links")
 
 
 def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
