@@ -6,8 +6,8 @@ on the padding of a shard's last sequence), so that a reader maps the file and t
 without copying.  Beside each shard stands a small Arrow index of its documents.  Shards follow
 each other in ascending id order.  ``read`` gives the documents back from the files alone.
 
-A text is split at white space, which the tokenizer never crosses, and each distinct word of a batch
-is encoded by the library once; ids are then gathered in bulk.  Range partitioning by id and text is
+A text is split at white space and between letters and signs, which the tokenizer never crosses, and
+each distinct word of a block is encoded by the library once; ids are then gathered in bulk.  Range partitioning by id and text is
 the only shuffle.  A shard is written under a name of its own and moved into place when whole; the
 manifest names the files that count, so retried or speculative tasks do no harm.  Files are written
 with Arrow's file systems, which need to know the folder's scheme.
@@ -19,7 +19,11 @@ gives no files.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,8 +42,16 @@ LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 128
 END_ID = 2
-#: Words whose ids a worker remembers between batches.
-REMEMBERED = 300_000
+#: Bytes of text whose distinct words are encoded together.
+BLOCK_BYTES = 8 << 20
+#: Words whose ids a worker remembers (about 30 bytes each).
+REMEMBERED = 1_500_000
+#: The pre-tokenizer's pattern (a fixed value) under which letters and signs are always apart.
+_CUTTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = 2
+_KINDS[0x41:0x5B] = _KINDS[0x61:0x7B] = 1
+_KINDS[0x27] = 0
 
 
 def default_vocabulary() -> str:
@@ -48,6 +60,56 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known:
+    """Words' ids by hash, in a few sorted tables; the oldest go when they hold too many words."""
+
+    def __init__(self):
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def find(self, distinct: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (one word's after the other's) and their numbers for distinct sorted hashes; encode(k) gives
+        both for those with numbers k, which then are remembered."""
+        table, at = np.full(len(distinct), -1), np.zeros(len(distinct), np.int64)
+        for k, (hashes, *_) in enumerate(self.tables):
+            p = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+            hit = hashes[p] == distinct
+            table[hit], at[hit] = k, p[hit]
+        new = np.flatnonzero(table < 0)
+        if len(new):
+            ids, sizes = encode(new)
+            at[new], table[new] = np.arange(len(new)), len(self.tables)
+            self.tables.append((distinct[new], np.cumsum(sizes) - sizes, sizes, ids))
+        size, first = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        base, parts = 0, []
+        for k, (_, own, sizes, ids) in enumerate(self.tables):
+            some = np.flatnonzero(table == k)
+            size[some], first[some] = sizes[at[some]], own[at[some]] + base
+            base += len(ids)
+            parts.append(ids)
+        end = np.cumsum(size)
+        total = int(size.sum())
+        flat = np.concatenate([*parts, np.zeros(0, np.uint32)])[np.arange(total) - np.repeat(end - size, size) + np.repeat(first, size)]
+        if len(self.tables) > 6:
+            self.merge()
+        return flat, size
+
+    def merge(self) -> None:
+        while len(self.tables) > 1 and sum(len(t[0]) for t in self.tables) > REMEMBERED:
+            del self.tables[0]
+        hashes, sizes, ids = (np.concatenate(x) for x in zip(*[(t[0], t[2], t[3]) for t in self.tables], strict=True))
+        first = np.cumsum(sizes) - sizes
+        order = np.argsort(hashes)
+        self.tables = [(hashes[order], first[order], sizes[order], ids)]
+
+
+def _known(definition: str) -> Known:
+    """What this worker process knows under the definition; processes outlive tasks, so words are
+    encoded about once a worker."""
+    name = "_stratavane_known_words"
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    return held.setdefault(hashlib.sha256(definition.encode()).hexdigest(), Known())
+
+
 class Encoder:
     """Encodes batches of texts with a tokenizers file, each distinct word once."""
 
@@ -55,21 +117,59 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(definition), end_id, {}
-
-    def lookup(self, hashes: list[int], texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for k, e in zip(part, self.tokenizer.encode_batch([texts[k].decode() for k in part], add_special_tokens=False), strict=True):
-                self.known[hashes[k]] = np.array(e.ids, np.uint32)
-        return [self.known[h] for h in hashes]
+        self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
+        self.known = _known(definition)
+        model = json.loads(definition)
+        added = model.get("added_tokens") or []
+        self.special = [t["content"].encode() for t in added]
+        plain = [t for t in added if not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.mark = (plain[0]["content"].encode(), plain[0]["id"]) if plain else None
+        # cutting at signs is only right for this kind of pre-tokenizer and normalizers that look at single characters
+        first = ((model.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.cuts = first.get("type") == "Split" and first.get("pattern", {}).get("Regex") == _CUTTING
+
+    def finer(self, b: X.Block) -> X.Block:
+        """The block with its words also cut between letters and signs or digits, where the pre-tokenizer
+        always cuts. Letters are those of ASCII and Latin-1; an apostrophe, which may begin a contraction,
+        and all other characters stay with their neighbours. Blocks that name a special token stay whole."""
+        if not self.cuts or any(t in b.data.tobytes() for t in self.special):
+            return b
+        kind = _KINDS[b.data]
+        lead = np.flatnonzero(b.data[:-1] == 0xC3)
+        lead = lead[(b.data[lead + 1] != 0x97) & (b.data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        # those inside a word, not at its beginning
+        at = np.searchsorted(b.start, change, "right") - 1
+        change = change[(at >= 0) & (b.start[np.maximum(at, 0)] < change)]
+        start, end = np.sort(np.concatenate([b.start, change])), np.sort(np.concatenate([b.end, change]))
+        place = np.append(b.start, len(b.data))[b.offsets]
+        return X.Block(b.first, b.last, b.data, start, end, np.searchsorted(start, place))
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and each word's number of ids. Many words are encoded in
+        one call with a special token between them, on both sides of which the library starts afresh."""
+        joined = b" ".join(texts)
+        if self.mark is None or any(x in joined for x in self.special):
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        flat, sizes = [], []
+        for lo in range(0, len(texts), 20_000):
+            part = texts[lo : lo + 20_000]
+            [e] = self.tokenizer.encode_batch_fast([(self.mark[0].join(part) + self.mark[0]).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            stop = ids == self.mark[1]
+            at = np.flatnonzero(stop)
+            if len(at) != len(part):
+                raise ValueError("the tokenizer doesn't keep its special tokens apart")
+            flat.append(ids[~stop])
+            sizes.append(np.diff(at, prepend=-1) - 1)
+        return np.concatenate([*flat, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For blocks of the texts in order: all their ids, and each text's number of ids."""
-        for b in X.blocks(texts, X.NOT_SPACE, False):
+        for b in X.blocks(texts, X.NOT_SPACE, False, BLOCK_BYTES):
+            b = self.finer(b)
             h = X.word_hashes(b)
             s = np.sort(h)
             distinct = s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
@@ -77,15 +177,14 @@ class Encoder:
             example = np.zeros(len(distinct), np.int64)
             example[inverse] = np.arange(len(h))
             raw = b.data.tobytes()
-            ids = self.lookup(distinct.tolist(), [raw[x:y] for x, y in zip(b.start[example].tolist(), b.end[example].tolist(), strict=True)])
+            start, end = b.start[example], b.end[example]
+            flat, size = self.known.find(distinct, lambda k: self.words([raw[x:y] for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)]))  # noqa: B023
             if self.end_id is not None:
-                inverse = np.insert(inverse, b.offsets[1:], len(ids))
-                ids.append(np.array([self.end_id], np.uint32))
+                inverse = np.insert(inverse, b.offsets[1:], len(size))
+                flat, size = np.append(flat, np.uint32(self.end_id)), np.append(size, 1)
                 ends = b.offsets[1:] + np.arange(1, len(b.offsets))
             else:
                 ends = b.offsets[1:]
-            flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
             first = np.cumsum(size) - size
             n = size[inverse]
             at = np.cumsum(n) - n
