@@ -228,9 +228,8 @@ def links(signed: DataFrame) -> DataFrame:
     node = storage.stage(signed.select("row", "n", "keys").join(node.select("row"), "row"), "nodes")
     member = node.select("row", "n", F.posexplode("keys").alias("band", "key"))
     bucket = member.groupBy("key").agg(F.min("row").alias("lo"), F.min_by("n", "row").alias("lo_n"), F.max("row").alias("hi"), F.max_by("n", "row").alias("hi_n"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = node.count() * BANDS
-    bucket = storage.stage(bucket, "buckets")
-    found = storage.stage(meet_groups(member, bucket, ["key"], "_n", many), "members")
+    # both sides are plain shuffles here, so that adaptive execution can split a hot bucket's rows
+    found = storage.stage(member.join(storage.stage(bucket, "buckets"), "key"), "members")
     fits = lambda x, y: F.least(x, y) * SIMILARITY[1] >= SIMILARITY[0] * F.greatest(x, y)
     end = lambda e: found.where((F.col("row") != F.col(e)) & fits(F.col("n"), F.col(f"{e}_n"))).select(F.greatest("row", e).alias("a"), F.least("row", e).alias("b"))
     first = storage.stage(verify(end("lo").unionByName(end("hi")).distinct(), signed), "links")
