@@ -243,6 +243,24 @@ def test_language_id_odd_rows(spark, nothing):
     assert {r.language for r in empty.collect()} == {"und"}
 
 
+def test_language_sample_covers_the_whole_table(spark):
+    lang = F.when(F.col("doc_id") < 9000, "aa").when(F.col("doc_id") < 11997, "bb-XX").otherwise("cc")
+    docs = spark.range(12000).select(F.col("id").alias("doc_id")).select("doc_id", F.format_string("text %d", "doc_id").alias("text"), lang.alias("lang"))
+    odd = spark.createDataFrame([(None, "no id", "aa"), (1, None, "aa"), (2, "x", ""), (3, "y", None), (4, "z", "??"), (5, "x" * 20_001, "dd")], "doc_id long, text string, lang string")
+    same = spark.range(500).selectExpr("7L AS doc_id", "'same row' AS text", "'ee' AS lang")
+    docs = docs.coalesce(3).union(odd).union(same)
+    by = {}
+    for r in docs.select(F.split("lang", "-")[0].alias("lang"), "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).alias("h")).collect():
+        if r.lang in ("aa", "bb", "cc", "ee") and r.text is not None:
+            by.setdefault(r.lang, []).append((r.h, r.text))
+    want = Counter()
+    for k, q in {"cc": 3, "ee": 499, "bb": 499, "aa": 499}.items():
+        want.update((k, t) for _, t in sorted(by[k])[:q])
+    assert Counter(language.sample(docs)) == want
+    assert language.fit(docs).languages == ["aa", "bb", "cc", "ee"]
+    assert language.sample(docs.limit(0)) == []
+
+
 def test_declared_language_and_host_decide_short_texts(spark):
     train = [("aa", "alpha beta gamma"), ("bb", "delta epsilon zeta")]
     m = language.TextModel(train * 20)
