@@ -36,7 +36,7 @@ BASE = {
 }
 #: The method's own kinds, in the order in which they follow the base kinds.
 OWN = {
-    "secret": (r"[0-9]", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+"),
+    "secret": (r"[A-Za-z0-9_-]{12}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+"),
     "national_id": (r"[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "phone_local": (r"[0-9][ .-][0-9]", r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"),
@@ -105,6 +105,7 @@ def features(m: Column, before: Column) -> dict[str, Column]:
         "upper": share("A-Z"),
         "signs": share("_-"),
         "changes": (F.length(F.regexp_replace(m, r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", "#")) - n) / n,
+        "cases": (F.length(F.regexp_replace(m, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])", "#")) - n) / n,
         "assigned": F.when(before.rlike("[=:]\\s?[\"']?$"), 1.0).otherwise(0.0),
         **{k: F.when(before.rlike(p), 1.0).otherwise(0.0) for k, p in WORDS.items()},
     }
@@ -118,7 +119,7 @@ def labelled(n: int = SAMPLE) -> list[tuple[str, str, str, int]]:
     filler = lambda: " ".join(of(letters, rnd.randint(2, 8)) for _ in range(3))
     out = []
     while len(out) < n:
-        pick = rnd.randrange(10)
+        pick = rnd.randrange(12)
         if pick == 0:
             out.append(("secret", of(hexes, rnd.choice([16, 18, 20, 32, 40, 64])), f"{filler()} {rnd.choice(['token', 'secret', 'password', 'api_key', 'auth'])}{rnd.choice([' = ', '=', ': ', ':'])}" + rnd.choice(["", '"']), 1))
         elif pick == 1:
@@ -137,6 +138,13 @@ def labelled(n: int = SAMPLE) -> list[tuple[str, str, str, int]]:
             out.append(("phone_local", f"{rnd.choice(['', '('])}{of(digits, 3)}{rnd.choice([' ', '-', '.'])}{of(digits, 3)}{rnd.choice([' ', '-', '.'])}{of(digits, 4)}", f"{filler()} {rnd.choice(['phone ', 'tel: ', 'call ', 'fax '])}", 1))
         elif pick == 8:
             out.append(("phone_local", f"{of(digits, 3)} {of(digits, 3)} {of(digits, 4)}", f"{filler()} {rnd.choice(['', 'order ', 'page ', 'item '])}", 0))
+        elif pick == 9:
+            # without a digit: random letters of both cases
+            out.append(("secret", of(letters + letters.upper(), rnd.randint(16, 40)), f"{filler()} {rnd.choice(['token = ', 'secret: ', 'password=', 'api_key: ', 'bearer ', 'access key ', 'credential '])}" + rnd.choice(["", '"']), 1))
+        elif pick == 10:
+            # without a digit: words, names and constants, often behind a secret word as well
+            word = rnd.choice([of(letters, rnd.randint(12, 24)), of(letters, rnd.randint(11, 16)).capitalize(), "".join(of(letters, rnd.randint(4, 9)).capitalize() for _ in range(3)), "_".join(of(letters.upper(), rnd.randint(4, 9)) for _ in range(3)), of(letters.upper(), rnd.randint(12, 20)), "-".join(of(letters, rnd.randint(4, 9)) for _ in range(3))])
+            out.append(("secret", word, f"{filler()} {rnd.choice(['', '', 'token ', 'password ', 'secret: ', 'auth = ', 'bearer ', 'authors ', 'name = '])}", 0))
         else:
             good = rnd.random() < 0.6
             out.append(("iban", f"{of(letters.upper(), 2)}{of(digits, rnd.randint(15, 22))}", f"{filler()} {rnd.choice(['iban ', 'account ', 'bank ', '']) if good else rnd.choice(['part ', 'order ', 'version ', 'build '])}", int(good)))
@@ -251,7 +259,7 @@ def find(docs: DataFrame, *, id: str = "doc_id", text: str = "text", model: Mode
 
     def proposed(kind: str) -> Column:
         before = lambda x: F.substr(t, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-        scored = F.transform(spans(t, *OWN[kind], keep=lambda m: m.rlike("[0-9]")), lambda x: row(x, kind, False, model.probability(x["m"], before(x))))
+        scored = F.transform(spans(t, *OWN[kind]), lambda x: row(x, kind, False, model.probability(x["m"], before(x))))
         return F.filter(scored, lambda x: x["probability"] >= model.least[kind])
 
     base = F.flatten(F.array(*map(certain, KINDS)))

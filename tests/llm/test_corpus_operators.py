@@ -341,6 +341,12 @@ def test_pii_base_spans(spark, docs, rows, nothing):
     assert pii.find(nothing, model=model).count() == 0
 
 
+def test_pii_secrets_without_digits(spark):
+    texts = ["token = xKdjfQwErTyUiOpA", 'api_key: "GhTrEwQsDfLkJhGfDsAqZx"', "the password authentication and internationalization", "secret: CustomerAccountManager", "auth = RESET_TOKEN_NAME", "nothing but internationalization", "xKdjfQwErTyUiOpA"]
+    got = {r.doc_id: [(x.kind, x.m) for x in r.spans] for r in pii.find(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")).collect()}
+    assert got == {0: [("secret", "xKdjfQwErTyUiOpA")], 1: [("secret", "GhTrEwQsDfLkJhGfDsAqZx")]} | {k: [] for k in range(2, len(texts))}
+
+
 def test_license_scan(spark, docs, rows, nothing):
     lines = ["Licensed under CC BY-NC 4.0.", "under the GNU general PUBLIC license", "all rights, reserved; All Rights Reserved", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.", "cc by cc by"]
     data = rows + [(50_000 + k, t) for k, t in enumerate(lines)]
