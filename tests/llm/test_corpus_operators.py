@@ -275,6 +275,41 @@ def test_pages_evidence(spark):
     assert r.text.split() == ["und", "der", "die"] and r.declared == "de-DE" and r.host == "a.b.example.de"
 
 
+def test_pages_use_domain_and_suffix(spark):
+    """Posteriors of pages against brute force, with hosts that share a domain or only a suffix."""
+    m = language.TextModel([("aa", "alpha beta gamma"), ("bb", "delta epsilon zeta")] * 20)
+    hosts = ["a.x.de", "b.x.de", "c.y.de", "x.de", "d.com", "a.x.de", "de", ""] * 4
+    texts = ["delta epsilon", "delta zeta", "epsilon zeta", "alpha delta", "alpha beta", "gamma delta", "zeta", "beta delta", "12 34"]
+    says = ["aa", "bb-XX", "", "bb"]
+    pages = [(k, f"https://{h}/p" if h else "none", f"<html lang='{says[k % 4]}'><p>{texts[k * 7 % 9]}</p>") for k, h in enumerate(hosts)]
+    df = language.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    rows = sorted(df.collect(), key=lambda r: r.id)
+    p = []
+    for r in rows:
+        ll, n = next(m.score(pa.array([r.text])))
+        e = np.exp((ll[0] - ll[0].max()) * language.TEMPER)
+        p.append(e / e.sum() if n[0] and ll[0].max() / n[0] > -np.log(language.BUCKETS) else e * 0)
+    p, S = np.array(p), language.SMOOTHING
+    corpus = (p.sum(0) + 1) / (p.sum() + 2)
+    lang = [(r.declared or "").split("-")[0] for r in rows]
+    dom = lambda h: ".".join(h.split(".")[-2:]) if "." in h else None
+    suf = lambda h: h.split(".")[-1] if "." in h else None
+    total = lambda f, h: p[[k for k, r in enumerate(rows) if f(r.host) == f(h)]].sum(0) if f(h) else np.zeros(2)
+    mix = lambda own, above: (own + S * above) / (own.sum() + S)
+    want = {}
+    for k, r in enumerate(rows):
+        above = mix(total(dom, r.host), mix(total(suf, r.host), corpus))
+        own = total(lambda h: h, r.host) - p[k] if r.host else np.zeros(2)
+        fused = p[k] * mix(own, above)
+        if lang[k]:
+            fused = fused * (p[[j for j in range(len(rows)) if lang[j] == lang[k]]].sum(0) + corpus) / (p.sum(0) + 1)
+        want[r.id] = fused.max() / fused.sum() if fused.sum() else 0.0
+    got = {r.id: r.posterior for r in language.identify(df, m, id="id", declares="declared", host="host").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    flat = {r.id: r.posterior for r in language.identify(df.withColumn("host", F.translate("host", ".", "_")), m, id="id", declares="declared", host="host").collect()}
+    assert flat != pytest.approx(want, abs=1e-4)
+
+
 def test_token_counts_equal_greedy(docs, rows, nothing):
     vocab = token_counts.default_vocabulary()
     have, longest = {v.encode() for v in vocab}, max(len(v.encode()) for v in vocab)
