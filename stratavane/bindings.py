@@ -472,6 +472,12 @@ def caption_norm(spark, sf):
     return _read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), X.caption(F.col("text")).alias("caption"))
 
 
+@query("SELECT doc_id, CASE WHEN ends_with(t, '.') THEN t ELSE t || '.' END AS caption FROM (SELECT doc_id, trim(lower(text)) AS t FROM documents)")
+def caption_norm_documents(spark, sf):
+    """Captions of the whole documents table."""
+    return _read(spark, sf, "documents").select("doc_id", X.caption(F.col("text")).alias("caption"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_brand FROM part), r AS (SELECT p_brand, (row_number() OVER (ORDER BY p_brand) - 1) // 5 AS k FROM n) SELECT k::INT AS chunk, string_agg(p_brand, '.' ORDER BY p_brand) AS names FROM r GROUP BY 1""")
 def vocab_chunk(spark, sf):
     """A vocabulary in chunks of five joined names."""
