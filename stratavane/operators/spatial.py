@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane import storage
+
 AXES = ("x", "y", "z")
 
 
@@ -58,11 +60,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float, *, scope
     """The k nearest points of each query (ties: smaller id), with ``d2`` and ``rank``.
 
     Queries look within a radius of ``size``; those that find fewer than k ask again within twice the
-    radius, and so on, so that dense regions never meet a wide radius."""
+    radius, and so on, so that dense regions never meet a wide radius.  Those that are left after
+    ``rounds`` are compared with all points of their scope.  Where there are fewer than k points, all of
+    them are the nearest; points and queries with a null or NaN coordinate have no distance and no rows."""
     scope = list(scope)
     w = Window.partitionBy(*scope, qid).orderBy("d2", pid)
+    placed = F.lit(True)
+    for a in axes:
+        placed = placed & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
+    queries, points = queries.where(placed), points.where(placed)
     out, left, radius = None, queries, size
     have = points.groupBy(*scope).agg(F.count(F.lit(1)).alias("_have")) if scope else None
+    if scope:
+        left = left.join(F.broadcast(have.select(*scope)), scope, "left_semi")
+    else:
+        k = min(k, max(1, points.limit(k).count()))
     for _ in range(rounds):
         found = within(left, points, radius, scope=scope, qid=qid, pid=pid, axes=axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         full = found.groupBy(*scope, qid).agg(F.count(F.lit(1)).alias("_n"))
@@ -73,11 +85,16 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float, *, scope
         done = done.select(*scope, qid)
         part = found.join(done, [*scope, qid])
         out = part if out is None else out.unionByName(part)
-        left = left.join(done, [*scope, qid], "left_anti")
+        # each round uses what is left twice, so its lineage is cut
+        left = storage.stage(left.join(done, [*scope, qid], "left_anti"), "left")
         radius *= 2
         if left.isEmpty():
-            break
-    return out
+            return out
+    q = left.select(*scope, qid, *[F.col(a).cast("double").alias("q" + a) for a in axes])
+    p = points.select(*scope, pid, *[F.col(a).cast("double").alias("p" + a) for a in axes])
+    pairs = (q.join(p, scope) if scope else q.crossJoin(p)).withColumn("d2", squared("q", "p", axes)).select(*scope, qid, pid, "d2")
+    rest = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rest if out is None else out.unionByName(rest)
 
 
 def interpolate(near: DataFrame, features: DataFrame, *, keys: list[str], pid: str = "point_id", value: str = "value", eps: float = 1e-8) -> DataFrame:

@@ -248,3 +248,27 @@ def test_results_do_not_depend_on_partitions(spark):
         out.add(str(sorted(map(tuple, masks.overlaps(inst).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(out) == 1
+
+
+def test_nearest_finishes_queries_that_rounds_leave(spark):
+    pts = [(k, float(k % 7), float(k // 7), 0.0, k % 2) for k in range(30)] + [(90, None, 0.0, 0.0, 0), (91, float("nan"), 0.0, 0.0, 0)]
+    qs = [(0, 1.2, 1.1, 0.0, 0), (1, 5000.0, -3.0, 0.0, 0), (2, -800.0, 0.0, 9.0, 1), (3, 1.0, 1.0, 1.0, 5), (4, None, 0.0, 0.0, 0)]
+    p = spark.createDataFrame(pts, "point_id long, x double, y double, z double, s int")
+    q = spark.createDataFrame(qs, "query_id long, x double, y double, z double, s int")
+
+    def want(k, scoped):
+        out = set()
+        for i, *at, s in qs[:4]:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(at, o, strict=True)), j) for j, *o, t in pts[:30] if t == s or not scoped)
+            out |= {(i, j, n + 1) for n, (_, j) in enumerate(near[:k])}
+        return out
+
+    for k in (3, 40):
+        for scope in ([], ["s"]):
+            got = spatial.nearest(q, p, k, 1.0, scope=scope, rounds=2).collect()
+            assert len(got) == len({(r.query_id, r["rank"]) for r in got})
+            assert {(r.query_id, r.point_id, r["rank"]) for r in got} == want(k, bool(scope))
+    assert spatial.nearest(q, p.limit(0), 3, 1.0, rounds=2).count() == 0
+    known = p.where("point_id < 30").withColumn("label", F.col("point_id"))
+    far = spark.createDataFrame([(500, 1e7, 0.0, 0.0)], "point_id long, x double, y double, z double").withColumn("label", F.lit(None).cast("long"))
+    assert spatial.fill_labels(far, known.drop("s"), 1.0).first().label == 6
