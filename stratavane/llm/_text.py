@@ -7,11 +7,13 @@ ranges, and a word's hash is folded from its bytes eight at a time.  No Python s
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 
 U = np.uint64
 K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -42,6 +44,31 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+class Shared:
+    """A broadcast value that travels as bytes, unpickled once in each worker."""
+
+    def __init__(self, blob):
+        self.blob, self.got = blob, None
+
+    def __reduce__(self):
+        return Shared, (self.blob,)
+
+    @property
+    def value(self):
+        if self.got is None:
+            self.got = pickle.loads(self.blob.value)
+        return self.got
+
+    def drop(self) -> None:
+        """Free the executors' copies; no task may need them any more."""
+        self.blob.destroy()
+
+
+def share(spark, value) -> Shared:
+    """Broadcast ``value`` with the code of its class, so that executors need no installation of this package."""
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string or binary column; null is empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-The corpus' distinct words are gathered once.  A word ends where no piece of the vocabulary holds the two
-characters at the cut, so pieces never cross words.  Each word is exploded into its substrings of bounded
-length, these are equi-joined to the piece table, and the edges found are grouped by word; the three steps run
+Texts are cut into words: a word ends where no piece of the vocabulary holds the two characters at the cut, so
+pieces never cross words.  Each word that a task hasn't met yet is exploded into its substrings of bounded length, these
+are equi-joined to the table of the pieces' prefixes, and the edges found are grouped by word; the three steps run
 on whole Arrow batches of words, where a word's substrings are together from the start (as separate engine
 operators they cost several times as much; the README has the figures).  The lattice is then folded with
 Spark's higher-order functions:
@@ -13,13 +13,18 @@ Spark's higher-order functions:
   model's scores are ranks of merges, and their best sum is often not the library's segmentation.
 
 Characters without a piece become byte pieces.  Words longer than ``FOLD_CHARS`` are folded by the same
-rule in Python (merges with a heap).  Texts are then encoded by looking up their words: from a broadcast
-table if the words number at most ``BROADCAST_WORDS``, else by a join on the word in which hot words
-are broadcast and each document's ids are put together again by place.
+rule in Python (merges with a heap).
+
+Words and documents travel through one task in one stream: the words that a block of documents needs come before it, and a
+document refers to its words by their numbers in the task's vocabulary.  So nothing is shuffled, nothing about the corpus
+passes the driver, and a lost task is simply run again.  Every task's vocabulary begins with the words that are frequent in a
+bounded sample (at most ``FREQUENT_WORDS``, encoded once and broadcast); which ones these are changes no result, only
+how often the same word is folded anew.  A task's vocabulary starts again once it holds ``TASK_WORDS`` words.
 
 Defined results: null and empty texts have no ids.  Decoding gives back the text, but for a literal
 word mark, which becomes a space as in the library.  Strings of control pieces in a text are ordinary
-text.  Repeated rows each get a result; other columns pass through ``encode``.
+text.  Repeated rows each get a result; other columns pass through ``encode`` and ``decode``, and one with the name of
+the new column is replaced by it.
 """
 
 from __future__ import annotations
@@ -34,14 +39,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavane import storage
 from stratavane.llm import _text as X
-from stratavane.operators.skew import meet_groups
 
 MARK = "▁"
 FOLD_CHARS = 256
-#: Words whose encodings are broadcast (about 40 bytes each), and pieces that are.
-BROADCAST_WORDS = 3_000_000
+#: Characters of a word whose places are bits of one long.
+MASK_CHARS = 61
+#: Words that every task knows from the start (about 30 bytes each), and the characters of text they are counted in.
+FREQUENT_WORDS, SAMPLE_CHARS = 200_000, 48_000_000
+#: New words after which a task's vocabulary starts again (about 40 bytes each).
+TASK_WORDS = 2_000_000
+#: Words whose lattices are made at a time.
+WORD_ROWS = 8_000
+#: Documents that are decoded at a time.
+DECODED_ROWS = 1000
 
 
 @dataclass
@@ -112,14 +123,21 @@ def _blocks(texts: pa.Array, joins: np.ndarray) -> Iterator[X.Block]:
         first = last
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, of each hash its place among them, of each distinct one an example."""
+def _distinct(b: X.Block, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The block's distinct words: their hashes, a second hash that tells apart what shares the first, of each word its place among
+    them, and of each distinct one an example; nothing if two of them share the first hash."""
+    h, size = X.word_hashes(b, seed), b.end - b.start
     s = np.sort(h)
     d = s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
     inverse = np.searchsorted(d, h)
     example = np.zeros(len(d), np.int64)
     example[inverse] = np.arange(len(h))
-    return d, inverse, example
+    # words of equal size and at most eight bytes never share a hash
+    check = size.astype(np.uint64)
+    long = np.flatnonzero(size > 8)
+    check[long] += X.hash_ranges(b.data, b.start[long], b.end[long], seed + 1) << X.U(16)
+    same = check == check[example][inverse]
+    return (d, check[example], inverse, example) if same.all() else None
 
 
 def _strings(b: X.Block, which: np.ndarray) -> pa.Array:
@@ -129,16 +147,16 @@ def _strings(b: X.Block, which: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(which), pa.py_buffer(off.tobytes()), pa.py_buffer(b.data[index].tobytes()))
 
 
-def _words(joins: np.ndarray):
+def _frequent(joins: np.ndarray):
+    """Each batch's distinct words and how often they stand there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = np.zeros(0, np.uint64)  # of this batch; the engine's partial aggregate does the rest
             for b in _blocks(batch.column("text"), joins):
-                d, _, example = _distinct(X.word_hashes(b))
-                at = np.minimum(np.searchsorted(seen, d), max(len(seen) - 1, 0))
-                new = seen[at] != d if len(seen) else np.ones(len(d), bool)
-                seen = np.sort(np.concatenate([seen, d[new]]))
-                yield pa.RecordBatch.from_arrays([_strings(b, example[new])], ["word"])
+                found = _distinct(b, 0)
+                if found is not None:
+                    _, _, inverse, example = found
+                    yield pa.RecordBatch.from_arrays([_strings(b, example), pa.array(np.bincount(inverse, minlength=len(example)))], ["word", "n"])
 
     return run
 
@@ -147,71 +165,132 @@ def _words(joins: np.ndarray):
 
 
 _EDGE = pa.struct([("cost", pa.float64()), ("at", pa.int32()), ("size", pa.int32()), ("id", pa.int32())])
+_SPAN = pa.struct([("ends", pa.int64()), ("inner", pa.int64()), ("id", pa.int32())])
+EDGES = "array<struct<cost:double,at:int,size:int,id:int>>"
+SPANS = "array<struct<ends:bigint,inner:bigint,id:int>>"
 
 
 class Lattice:
-    """The piece table, hashed for equi-joins with substrings."""
+    """The pieces and their prefixes, hashed for equi-joins with substrings."""
 
     def __init__(self, pieces: Pieces):
-        self.longest, self.pieces = pieces.longest, pieces
-        h = np.array([self._hash(np.array([ord(c) for c in p], np.uint64)) for p, _, _ in pieces.rows], np.uint64)
+        self.pieces = pieces
+        known: dict[str, int] = {}
+        for k, (p, _, _) in enumerate(pieces.rows):
+            for n in range(1, len(p)):
+                known.setdefault(p[:n], -1)
+            known[p] = k
+        names = list(known)
+        code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        at, h = np.cumsum(size) - size, np.zeros(len(names), np.uint64)
+        for n in range(int(size.max(initial=0))):
+            live = size > n
+            h[live] = X.mix(h[live] * X.K1 + code[at[live] + n] + X.U(1))
         order = np.argsort(h)
-        self.hashes = h[order]
-        self.ids = np.array([i for _, i, _ in pieces.rows], np.int32)[order]
-        self.costs = np.array([-s for _, _, s in pieces.rows])[order]
+        self.hashes, self.piece = h[order], np.fromiter(known.values(), np.int64, len(names))[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
-
-    @staticmethod
-    def _hash(code: np.ndarray) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in code:
-            h = X.mix(h * X.K1 + c + X.U(1))
-        return h[0]
-
-    def edges(self, words: list[str]) -> pa.Array:
-        """Each word's edges, the least cost first, then the leftmost; places count from 1."""
+        # a sieve of the hashes' upper bits spares most substrings the search
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[self.hashes >> X.U(42)] = True
+        self.ids = np.array([i for _, i, _ in pieces.rows], np.int32)
+        self.costs = np.array([-s for _, _, s in pieces.rows], np.float64)
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """All substrings that are pieces: word, place in the word from 0, size and piece; and where each word's characters begin, with
+        the id of each, or -1 - its code point where it isn't a piece."""
         code = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size)
         word = np.repeat(np.arange(len(words)), size)
         room = np.repeat(end, size) - np.arange(len(code))  # characters from here to the word's end
-        h, at, found = np.zeros(len(code), np.uint64), np.arange(len(code)), []
-        for n in range(1, self.longest + 1):  # substrings of n characters
-            keep = room[at] >= n
-            at, h = at[keep], h[keep]
-            if not len(at):
-                break
+        h, at, n, found, single = np.zeros(len(code), np.uint64), np.arange(len(code)), 1, [], -1 - code.astype(np.int64)
+        while len(at):  # substrings of n characters that some piece begins with
             h = X.mix(h * X.K1 + code[at + n - 1] + X.U(1))
+            keep = np.flatnonzero(self.sieve[h >> X.U(42)])
+            at, h = at[keep], h[keep]
             p = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[p] == h
-            found.append((at[hit], np.full(int(hit.sum()), n), p[hit]))
-        begin, n, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((begin, self.costs[p], word[begin]))
-        begin, n, p = begin[order], n[order], p[order]
-        own = word[begin]
-        place = begin - (end - size)[own] + 1
-        off = np.searchsorted(own, np.arange(len(words) + 1))
-        rows = pa.StructArray.from_arrays([pa.array(self.costs[p]), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(self.ids[p])], fields=list(_EDGE))
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), rows)
+            keep = self.hashes[p] == h
+            at, h, p = at[keep], h[keep], self.piece[p[keep]]
+            hit = np.flatnonzero(p >= 0)
+            found.append((at[hit], np.full(len(hit), n), p[hit]))
+            if n == 1:
+                single[at[hit]] = self.ids[p[hit]]
+            keep = room[at] > n
+            at, h, n = at[keep], h[keep], n + 1
+        begin, n, p = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        first = end - size
+        return word[begin], begin - first[word[begin]], n, p, np.append(first, len(code)), single
+
+    def spans(self, words: list[str]) -> list[pa.Array]:
+        """Each word's edges of more than one character, the best first, then the leftmost, as bits of the places where they begin and
+        end and of those between; and the ids of its characters."""
+        word, at, n, p, first, single = self._found(words)
+        some = np.flatnonzero(n > 1)
+        some = some[np.lexsort((at[some], self.costs[p[some]], word[some]))]
+        word, at, n, p = word[some], at[some], n[some], p[some]
+        one = np.int64(1)
+        lo, hi = one << at, one << (at + n)
+        rows = pa.StructArray.from_arrays([pa.array(lo | hi), pa.array(hi - (lo << one)), pa.array(self.ids[p])], fields=list(_SPAN))
+        return [
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(len(words) + 1)), pa.int32()), rows),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(single, pa.int32())),
+        ]
+
+    def edges(self, words: list[str]) -> pa.Array:
+        """Each word's edges, the least cost first, then the leftmost; places count from 1."""
+        word, at, n, p, _, _ = self._found(words)
+        order = np.lexsort((at, self.costs[p], word))
+        word, at, n, p = word[order], at[order], n[order], p[order]
+        rows = pa.StructArray.from_arrays([pa.array(self.costs[p]), pa.array(at + 1, pa.int32()), pa.array(n, pa.int32()), pa.array(self.ids[p])], fields=list(_EDGE))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(len(words) + 1)), pa.int32()), rows)
+
+    def columns(self, word: pa.Array) -> list[pa.Array]:
+        """Words' ``spans`` and ``chars`` (short words of a BPE model), ``edges`` (the others) or, beyond ``FOLD_CHARS``, ``ids``."""
+        names = word.to_pylist()
+        short, mid, ids, scores = [""] * len(names), [""] * len(names), [None] * len(names), None
+        for k, w in enumerate(names):
+            if len(w) > FOLD_CHARS:
+                scores = scores or {t: (i, s) for t, i, s in self.pieces.rows}
+                ids[k] = fold_long(w.replace(" ", MARK), self.pieces, scores)
+            elif self.pieces.kind == "bpe" and len(w) <= MASK_CHARS:
+                short[k] = w
+            else:
+                mid[k] = w
+        return [*self.spans(short), self.edges(mid), pa.array(ids, pa.list_(pa.int32()))]
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word``, its ``edges`` (structs cost, at, size, id), or, if it is longer than ``FOLD_CHARS``, its ``ids``."""
-    shared = words.sparkSession.sparkContext.broadcast(Lattice(pieces))
+    """``word`` with its ``spans``, ``chars``, ``edges`` or ``ids`` (see ``Lattice.columns``)."""
+    shared = X.share(words.sparkSession, Lattice(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, scores = shared.value, {}
         for batch in batches:
-            names = batch.column("word").to_pylist()
-            ids: list = [None] * len(names)
-            for k, w in enumerate(names):
-                if len(w) > FOLD_CHARS:
-                    scores = scores or {t: (i, s) for t, i, s in lat.pieces.rows}
-                    ids[k], names[k] = fold_long(w.replace(" ", MARK), lat.pieces, scores), ""
-            yield pa.RecordBatch.from_arrays([batch.column("word"), lat.edges(names), pa.array(ids, pa.list_(pa.int32()))], ["word", "edges", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), *shared.value.columns(batch.column("word"))], ["word", "spans", "chars", "edges", "ids"])
+
+    return words.select("word").mapInArrow(run, f"word string, spans {SPANS}, chars array<int>, edges {EDGES}, ids array<int>")
+
 
-    return words.select("word").mapInArrow(run, "word string, edges array<struct<cost:double,at:int,size:int,id:int>>, ids array<int>")
+def mask_fold(n: Column, spans: Column, chars: Column) -> Column:
+    """The ids of a word of a BPE model, after all merges.  The state is one long with a bit for each place where a segment begins or
+    ends; a merge takes away the one bit between two neighbours whose union is a piece.  Once there is none, the
+    state is turned over and stays."""
+
+    def merge(mask: Column, _: Column) -> Column:
+        joins = lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
+        best = F.get(F.filter(spans, joins), F.lit(0))["inner"]
+        return F.when(mask < 0, mask).otherwise(F.coalesce(mask.bitwiseAND(F.bitwise_not(best)), F.bitwise_not(mask)))
+
+    def spelt(mask: Column) -> Column:
+        long = F.transform(F.filter(spans, lambda e: mask.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]), lambda e: F.struct(e["ends"].alias("ends"), e["id"].alias("id")))
+        pair = lambda i: F.call_function("shiftleft", F.lit(3).cast("bigint"), i)
+        short = F.transform(chars, lambda c, i: F.when(mask.bitwiseAND(pair(i)) == pair(i), F.struct(pair(i).alias("ends"), c.alias("id"))))
+        return F.sort_array(F.concat(long, F.filter(short, lambda x: x.isNotNull())))["id"]
+
+    start = F.expr("shiftleft(2L, length(word)) - 1")
+    done = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, merge, lambda mask: F.when(mask < 0, F.bitwise_not(mask)).otherwise(mask))
+    return F.transform(F.array(done), spelt)[0]
 
 
 def bpe_fold(n: Column, edges: Column) -> Column:
@@ -326,135 +405,266 @@ def _unknown_cost(pieces: Pieces) -> float:
     return max([0.0, *(-s for _, _, s in pieces.rows)]) + 10
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word`` and ``ids`` of each distinct word."""
+def folded(pieces: Pieces) -> Column:
+    """The ids of a ``word`` from its ``spans`` and ``chars``, ``edges`` or ``ids``; an id below 0 is a character without a piece."""
     n = F.length("word")
-    fold = bpe_fold(n, F.col("edges")) if pieces.kind == "bpe" else viterbi_fold(n, F.col("edges"), _unknown_cost(pieces))
-    folded = lattice(words, pieces).withColumn("next", F.when(F.col("ids").isNull(), fold))
-    return folded.select("word", F.coalesce("ids", _ids(pieces, F.col("next"), F.col("edges"), F.col("word"))).alias("ids"))
+    if pieces.kind != "bpe":
+        return F.when(F.col("ids").isNull(), _ids(pieces, viterbi_fold(n, F.col("edges"), _unknown_cost(pieces)), F.col("edges"), F.col("word"))).otherwise(F.col("ids"))
+    middle = F.when(F.col("ids").isNull(), _ids(pieces, bpe_fold(n, F.col("edges")), F.col("edges"), F.col("word"))).otherwise(F.col("ids"))
+    return F.when(n <= MASK_CHARS, mask_fold(n, F.col("spans"), F.col("chars"))).otherwise(middle)
 
 
-# --- texts -------------------------------------------------------------------------------------------
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``word`` and ``ids`` of each row."""
+    spell = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(_spelt(pieces, -1 - i))))
+    found = lattice(words, pieces).select("word", folded(pieces).alias("ids"))
+    return found.select("word", F.when(F.exists("ids", lambda i: i < 0), spell).otherwise(F.col("ids")).alias("ids"))
+
+
+def _spelt(pieces: Pieces, code: Column) -> Column:
+    """The ids that stand for a character without a piece, given its code point."""
+    if not pieces.bytes:
+        return F.array(F.lit(pieces.unknown))
+    bits = lambda shift, lead: F.shiftright(code, shift).bitwiseAND(0x3F if lead is None else 0x7F) + (0x80 if lead is None else lead)
+    utf8 = (
+        F.when(code < 0x80, F.array(code))
+        .when(code < 0x800, F.array(bits(6, 0xC0), bits(0, None)))
+        .when(code < 0x10000, F.array(bits(12, 0xE0), bits(6, None), bits(0, None)))
+        .otherwise(F.array(bits(18, 0xF0), bits(12, None), bits(6, None), bits(0, None)))
+    )
+    table = F.array(*map(F.lit, pieces.bytes))
+    return F.transform(utf8, lambda b: F.get(table, b))
 
 
-class _Table:
-    """Words' ids by hash."""
+# --- texts -------------------------------------------------------------------------------------------
 
-    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes)
-        first = (np.cumsum(sizes) - sizes)[order]
-        self.hashes, self.sizes = hashes[order], sizes[order].astype(np.int32)
-        at = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.ids = ids[np.arange(len(ids)) - np.repeat(at, self.sizes) + np.repeat(first, self.sizes)]
-        self.first = at
-        if (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two words share a hash")
 
+def frequent_words(texts: DataFrame, pieces: Pieces, *, words: int = FREQUENT_WORDS, chars: int = SAMPLE_CHARS) -> pa.Table:
+    """``word`` and ``ids`` of at most ``words`` words that are frequent in a sample of about ``chars`` characters."""
+    n = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    some = texts if n <= chars else texts.sample(fraction=chars / n, seed=1)
+    counts = some.mapInArrow(_frequent(pieces.joins), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word")
+    return encode_words(top.repartition(max(1, words // WORD_ROWS)), pieces).toArrow().combine_chunks()
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = X.buffers(batch.column("word"))
-        yield pa.RecordBatch.from_arrays([pa.array(X.hash_ranges(data, off[:-1], off[1:]).view(np.int64)), batch.column("ids")], ["hash", "ids"])
 
+class _Vocabulary:
+    """The words a task has met since its vocabulary last began: sorted hashes, their checks and their numbers."""
 
-def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "ids", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The documents, with all their columns, and their ids in a new array column."""
-    spark = docs.sparkSession
-    X.bounded_batches(spark)
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joins = pieces.joins
-    words = texts.mapInArrow(_words(joins), "word string").distinct()
-    coded = storage.stage(encode_words(words, pieces), "words")
-    if coded.count() > broadcast_words:
-        return _joined(docs, coded, joins, text, ids)
-    small = coded.mapInArrow(_hashed, "hash long, ids array<int>").toArrow().combine_chunks()
-    lists = small["ids"].combine_chunks() if small.num_rows else pa.array([], pa.list_(pa.int32()))
-    table = spark.sparkContext.broadcast(_Table(small["hash"].to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(lists) else np.zeros(0, np.int32)))
-    schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns)).schema[0].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, seed: int = 0):
+        order = np.argsort(hashes)
+        self.hashes, self.checks, self.numbers, self.seed = hashes[order], checks[order], order, seed
+
+    def add(self, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The numbers of a block's words and examples of the new ones; nothing if a hash stands for two words."""
+        hashes, checks, inverse, example = found
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(at, max(len(self.hashes) - 1, 0))
+        known = self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        if (self.checks[near[known]] != checks[known]).any():
+            return None
+        number = np.zeros(len(hashes), np.int64)
+        number[known] = self.numbers[near[known]]
+        new = np.flatnonzero(~known)
+        number[new] = np.arange(len(new)) + len(self.numbers)
+        self.hashes, self.checks, self.numbers = (np.insert(x, at[new], y[new]) for x, y in ((self.hashes, hashes), (self.checks, checks), (self.numbers, number)))
+        return number[inverse], example[new]
+
+
+def _begin(frequent: pa.Array) -> _Vocabulary:
+    data, off = X.buffers(frequent)
+    b = X.Block(0, 1, data, off[:-1], off[1:], np.array([0, len(frequent)]))
+    found = _distinct(b, 0)
+    if found is None or len(found[0]) < len(frequent):
+        raise ValueError("two of the words share a hash")
+    hashes, checks, inverse, _ = found
+    return _Vocabulary(hashes[inverse], checks[inverse])
+
+
+def _stream(joins: np.ndarray, lat, frequent, text: str, task_words: int):
+    """Each block's new words with their lattices, then its documents with the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table.value
+        words, era, kind = _begin(frequent.value[0]), 0, None
+        empty = lambda n: [pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(_SPAN)), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(_EDGE)), pa.nulls(n, pa.list_(pa.int32()))]
         for batch in batches:
             row = batch.column("row")
-            for b in _blocks(pa.compute.struct_field(row, text), joins):
-                d, inverse, _ = _distinct(X.word_hashes(b))
-                at = np.searchsorted(t.hashes, d)
-                size, first = t.sizes[at].astype(np.int64)[inverse], t.first[at][inverse]
-                end = np.cumsum(size)
-                total = int(size.sum())
-                flat = t.ids[np.arange(total) - np.repeat(end - size, size) + np.repeat(first, size)]
-                off = np.concatenate([[0], end])[b.offsets].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([row.slice(b.first, b.last - b.first), pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))], ["row", ids])
+            kind = row.type
+            for b in _blocks(pa.compute.struct_field(row, [row.type.get_field_index(text)]), joins):
+                got = None
+                if len(words.hashes) < task_words:
+                    found = _distinct(b, words.seed)
+                    got = found and words.add(found)
+                while got is None:  # begin again, with other hashes
+                    era, words = era + 1, _Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.uint64), words.seed + 2)
+                    found = _distinct(b, words.seed)
+                    got = found and words.add(found)
+                number, new = got
+                for lo in range(0, len(new), WORD_ROWS):
+                    word = _strings(b, new[lo : lo + WORD_ROWS])
+                    n = len(word)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.full(n, era)), pa.nulls(n, pa.binary()), word, *lat.value.columns(word)], ["row", "era", "numbers", "word", "spans", "chars", "edges", "ids"])
+                own, n = row.slice(b.first, b.last - b.first), b.last - b.first
+                numbers = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((b.offsets * 4).astype(np.int64).tobytes()), pa.py_buffer(number.astype(np.int32).tobytes())])
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.full(n, era)), numbers.cast(pa.binary()), *empty(n)], ["row", "era", "numbers", "word", "spans", "chars", "edges", "ids"])
+
+    return run
+
+
+class _Ids:
+    """Words' ids by number."""
+
+    def __init__(self, lists: list):
+        self.waiting = lists
+        self.flat, self.end = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def settle(self) -> None:
+        if self.waiting:
+            sizes = np.concatenate([x[0] for x in self.waiting])
+            self.flat = np.concatenate([self.flat, *[x[1] for x in self.waiting]])
+            self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
+            self.waiting = []
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words with these numbers, and each one's end among them."""
+        self.settle()
+        first = self.end[numbers]
+        size = self.end[numbers + 1] - first
+        end = np.cumsum(size)
+        return self.flat[np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - size - first, size)], end
+
+
+def _lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = ids.offsets.to_numpy()
+    return np.diff(off), ids.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+
+
+def _spell(ids: pa.Array, pieces_bytes: list[int] | None, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of words, with the bytes of characters without a piece."""
+    size, flat = _lists(ids)
+    if (flat >= 0).all():
+        return size, flat
+    parts = [[int(i)] if i >= 0 else [pieces_bytes[x] for x in chr(-1 - i).encode()] if pieces_bytes else [unknown] for i in flat]
+    grown = np.fromiter(map(len, parts), np.int64, len(parts))
+    return X.sums(grown, np.concatenate([[0], np.cumsum(size)])), np.array([x for y in parts for x in y], np.int32)
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, schema).select("row.*", ids)
 
+def _assembled(frequent, pieces_bytes: list[int] | None, unknown: int, ids: str, names, decoded: str | None):
+    """The documents with their ids, and the text of these."""
 
-def _placed(joins: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        eras = {0: _Ids([_lists(frequent.value[1])])}
         for batch in batches:
-            row = batch.column("row").to_numpy()
-            for b in _blocks(batch.column("text"), joins):
-                place = np.arange(len(b.start)) - np.repeat(b.offsets[:-1], b.n_words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[b.first : b.last], b.n_words)), pa.array(place), _strings(b, np.arange(len(b.start)))], ["row", "place", "word"])
+            era = batch.column("era").to_numpy()
+            word = ~batch.column("word").is_null().to_numpy(zero_copy_only=False)
+            for e in np.unique(era[word]).tolist():
+                mine = batch.column("ids").filter(pa.array(word & (era == e)))
+                eras.setdefault(e, _Ids([])).waiting.append(_spell(mine, pieces_bytes, unknown))
+            texts = np.flatnonzero(~word)
+            for e in np.unique(era[texts]).tolist():
+                which = pa.array(texts[era[texts] == e])
+                data, off = X.buffers(batch.column("numbers").take(which))
+                flat, end = eras[e].of(np.frombuffer(data, np.int32))
+                off = np.concatenate([[0], end])[off // 4].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))
+                rows = batch.column("row").take(which)
+                if decoded is None:
+                    yield pa.RecordBatch.from_arrays([rows, lists], ["row", ids])
+                    continue
+                for lo in range(0, len(lists), DECODED_ROWS):
+                    part = lists.slice(lo, DECODED_ROWS)
+                    yield pa.RecordBatch.from_arrays([rows.slice(lo, DECODED_ROWS), part, _texts(part, *names.value)], ["row", ids, decoded])
+            for e in [e for e in eras if len(texts) and e < era[texts].max()]:
+                del eras[e]
 
     return run
 
 
-def _joined(docs: DataFrame, coded: DataFrame, joins: np.ndarray, text: str, ids: str) -> DataFrame:
-    """As ``encode``, by a join on the word."""
-    rows = storage.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    placed = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_placed(joins), "row long, place long, word string")
-    counts = placed.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    n = placed.count()
-    found = meet_groups(placed, coded.join(counts, "word"), ["word"], "_n", max(1, n))
-    whole = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    whole = whole.select(F.col("row").alias("_row"), F.flatten(F.transform("parts", lambda x: x["ids"])).alias(ids))
-    return rows.join(whole, "_row", "left").drop("_row").withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))
+def _row(df: DataFrame, but: list[str]) -> DataFrame:
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("row"))
 
 
-def decode(tokens: DataFrame, pieces: Pieces, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """The rows, with all their columns, and the text of their ids; ids that aren't pieces give nothing."""
-    spark = tokens.sparkSession
+def _plain(df: DataFrame, kind: T.StructType, *new: str) -> DataFrame:
+    return df.select(*[F.col("row").getField(f.name).alias(f.name) for f in kind.fields], *[F.col(f"`{c}`") for c in new])
+
+
+def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "ids", decoded: str | None = None, frequent: int = FREQUENT_WORDS, task_words: int = TASK_WORDS) -> DataFrame:
+    """The documents, with all their columns, and their ids in an array column ``ids``; with ``decoded``, also the text that these ids
+    give, in a column of that name (as ``decode``, without another pass).  Columns of the new names are replaced."""
+    if text in (ids, decoded) or ids == decoded:
+        raise ValueError("text, ids and decoded text need different names")
+    spark = docs.sparkSession
     X.bounded_batches(spark)
+    known = frequent_words(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), pieces, words=frequent)
+    lists = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
+    shared = X.share(spark, (known["word"].combine_chunks() if known.num_rows else pa.array([], pa.string()), lists))
+    new = [ids] if decoded is None else [ids, decoded]
+    rows = _row(docs, new)
+    kind = rows.schema["row"].dataType
+    blank = T.StructType([T.StructField("row", kind), *T._parse_datatype_string(f"era long, numbers binary, word string, spans {SPANS}, chars array<int>, edges {EDGES}, ids array<int>").fields])
+    out = T.StructType([T.StructField("row", kind), T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.StringType()) for c in new[1:]]])
+    stream = rows.mapInArrow(_stream(pieces.joins, X.share(spark, Lattice(pieces)), shared, text, task_words), blank)
+    coded = stream.select("row", "era", "numbers", "word", F.when(F.col("word").isNotNull(), folded(pieces)).alias("ids"))
+    names = X.share(spark, _names(pieces)) if decoded is not None else None
+    return _plain(coded.mapInArrow(_assembled(shared, pieces.bytes, pieces.unknown, ids, names, decoded), out), kind, *new)
+
+
+def _names(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids' texts, and where they begin."""
     size = max([i for _, i, _ in pieces.rows] + (pieces.bytes or []) + [pieces.unknown]) + 1
     names = [b""] * size
     for p, i, _ in pieces.rows:
         names[i] = p.replace(MARK, " ").encode()
     for b, i in enumerate(pieces.bytes or []):
         names[i] = bytes([b])
-    table = spark.sparkContext.broadcast((np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)])))
-    schema = T.StructType([T.StructField("row", tokens.select(F.struct(*tokens.columns)).schema[0].dataType), T.StructField(text, T.StringType())])
+    return np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)])
+
+
+def _texts(lists: pa.Array, flat: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The texts of lists of ids."""
+    sizes, found = _lists(lists)
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    found = np.where((found >= 0) & (found < len(off) - 1), found, 0) if len(found) and (found.min() < 0 or found.max() >= len(off) - 1) else found
+    n = off[found + 1] - off[found]
+    end = np.cumsum(n)
+    total = int(n.sum())
+    data = flat[np.arange(total) - np.repeat(end - n - off[found], n)]
+    at = np.concatenate([[0], end])[cut]
+    # the leading space of each text that has one
+    lead = np.flatnonzero((np.diff(at) > 0) & (np.append(data, 0)[np.minimum(at[:-1], total)] == 32))
+    data = np.delete(data, at[lead])
+    at[1:] -= np.cumsum(np.bincount(lead, minlength=len(at) - 1))
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    try:
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that aren't an encoding can give anything
+        return pa.array([x.as_py().decode(errors="replace") for x in out], pa.string())
+
+
+def decode(tokens: DataFrame, pieces: Pieces, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """The rows, with all their columns, and the text of their ids in a column ``text``, which replaces one of that name; ids
+    that aren't pieces, and null, give nothing."""
+    if ids == text:
+        raise ValueError("the text can't take the place of the ids")
+    spark = tokens.sparkSession
+    X.bounded_batches(spark)
+    names = X.share(spark, _names(pieces))
+    rows = _row(tokens, [text])
+    kind = rows.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, off = table.value
         for batch in batches:
             row = batch.column("row")
-            lists = pa.compute.struct_field(row, ids)
-            for lo in range(0, len(lists), 1000):
-                part = lists.slice(lo, 1000)
-                cut = part.offsets.to_numpy().astype(np.int64)
-                found = part.values.to_numpy()[cut[0] : cut[-1]]
-                n = off[found + 1] - off[found]
-                end = np.cumsum(n)
-                total = int(n.sum())
-                data = flat[np.arange(total) - np.repeat(end - n, n) + np.repeat(off[found], n)]
-                at = np.concatenate([[0], end])[cut - cut[0]]
-                # the leading space of each text that has one
-                lead = np.flatnonzero((np.diff(at) > 0) & (np.append(data, 0)[np.minimum(at[:-1], total)] == 32))
-                data = np.delete(data, at[lead])
-                at[1:] -= np.cumsum(np.bincount(lead, minlength=len(at) - 1))
-                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-                try:
-                    out = out.cast(pa.string())
-                except pa.ArrowInvalid:  # ids that aren't an encoding can give anything
-                    out = pa.array([x.as_py().decode(errors="replace") for x in out], pa.string())
-                yield pa.RecordBatch.from_arrays([row.slice(lo, 1000), out], ["row", text])
-
-    return tokens.select(F.struct(*[F.col(f"`{c}`") for c in tokens.columns]).alias("row")).mapInArrow(run, schema).select("row.*", text)
+            lists = pa.compute.struct_field(row, [row.type.get_field_index(ids)])
+            for lo in range(0, len(lists), DECODED_ROWS):
+                part = lists.slice(lo, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([row.slice(lo, DECODED_ROWS), _texts(part, *names.value)], ["row", text])
+
+    return _plain(rows.mapInArrow(run, T.StructType([T.StructField("row", kind), T.StructField(text, T.StringType())])), kind, text)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = load()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decode(encode(docs, pieces), pieces)
+    found = encode(docs, pieces, decoded="decoded")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
