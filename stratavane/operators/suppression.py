@@ -1,16 +1,15 @@
 """Suppression of overlapping boxes and masks.
 
-Greedy suppression is decided in one pass per group (a frame, a class) in Arrow batches; the matrix and
-pairwise forms are plain joins.  All orders are by score descending, then id.
+Greedy suppression of boxes is a fold over each group's sorted boxes (a frame, a class), that of masks is decided over
+the overlapping pairs of a scope; the matrix and pairwise forms are plain joins.  All orders are by score descending, then id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane.functions import geometry as G
@@ -19,25 +18,29 @@ from stratavane.operators import masks
 
 def greedy_box_nms(df: DataFrame, keys: list[str], threshold: float, *, id: str = "box_id", score: str = "score", plus: float = 0.0, keep_equal: bool = True) -> DataFrame:
     """Rows (x1, y1, x2, y2) of each group that survive greedy suppression.  ``plus`` = 1 counts pixels;
-    overlap of exactly the threshold survives if ``keep_equal``."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, id], ascending=[False, True], kind="stable")
-        x1, y1, x2, y2 = (g[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        size = (x2 - x1 + plus) * (y2 - y1 + plus)
-        alive, keep = np.ones(len(g), bool), []
-        for i in range(len(g)):
-            if not alive[i]:
-                continue
-            keep.append(i)
-            w = np.maximum(np.minimum(x2[i], x2) - np.maximum(x1[i], x1) + plus, 0)
-            h = np.maximum(np.minimum(y2[i], y2) - np.maximum(y1[i], y1) + plus, 0)
-            union = size[i] + size - w * h
-            iou = np.divide(w * h, union, out=np.zeros(len(g)), where=union > 0)
-            alive &= (iou <= threshold) if keep_equal else (iou < threshold)
-        return g.iloc[keep]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    overlap of exactly the threshold survives if ``keep_equal``.  A group (a frame's detections) is sorted
+    and folded over its survivors within the engine.  Null and NaN scores come last; a box with a null
+    coordinate overlaps nothing."""
+    def item(row: Column, at: Column) -> Column:
+        x1, y1, x2, y2 = (row[c].cast("double") for c in ("x1", "y1", "x2", "y2"))
+        last = F.coalesce(-row[score].cast("double"), F.lit(float("nan")))
+        return F.struct(last.alias("s"), row[id].alias("i"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), ((x2 - x1 + plus) * (y2 - y1 + plus)).alias("area"), at.alias("at"))
+
+    def goes(kept: Column, b: Column) -> Column:
+        def overlaps(s: Column) -> Column:
+            w = F.greatest(F.least(s["x2"], b["x2"]) - F.greatest(s["x1"], b["x1"]) + plus, F.lit(0.0))
+            h = F.greatest(F.least(s["y2"], b["y2"]) - F.greatest(s["y1"], b["y1"]) + plus, F.lit(0.0))
+            union = s["area"] + b["area"] - w * h
+            iou = F.when(union > 0, w * h / union).otherwise(0.0)
+            return iou > threshold if keep_equal else iou >= threshold
+
+        return F.coalesce(F.exists(kept, overlaps), F.lit(False))
+
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_k{n}") for n, c in enumerate(keys)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    lists = rows.groupBy(*[f"_k{n}" for n in range(len(keys))]).agg(F.collect_list("_row").alias("_rows"))
+    none = F.array().cast(f"array<struct<s:double,i:{df.schema[id].dataType.simpleString()},x1:double,y1:double,x2:double,y2:double,area:double,at:int>>")
+    kept = F.aggregate(F.sort_array(F.transform("_rows", item)), none, lambda kept, b: F.when(goes(kept, b), kept).otherwise(F.concat(kept, F.array(b))), lambda kept: kept["at"])
+    return lists.select(F.explode(F.transform(kept, lambda k: F.get("_rows", k))).alias("_row")).select("_row.*")
 
 
 def batched_box_nms(df: DataFrame, keys: list[str], category: str, threshold: float, **options) -> DataFrame:
@@ -150,6 +153,19 @@ def suppress(kind: str, inst: DataFrame, info: DataFrame, threshold: float, **op
     raise ValueError(kind)
 
 
+def decode_head(logits: DataFrame, *, keys: list[str], sizes: DataFrame, logit: str = "logit", least: float = 0.05, nms_pre: int | None = None, id: str = "box_id", category: str = "cls", scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """A detector head's raw rows (keys, box, class, logit; x1, y1, x2, y2 in the network's frame) as detections: sigmoid, score filter, the
+    ``nms_pre`` best, boxes divided by ``scale`` and clamped to the image; sizes: keys, width, height."""
+    out = logits.withColumn("score", 1 / (1 + F.exp(-F.col(logit)))).where(F.col("score") > least)
+    if nms_pre:
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), id, category)
+        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= nms_pre).drop("_r")
+    out = out.join(sizes, keys)
+    for c, by, top in (("x1", scale[0], "width"), ("y1", scale[1], "height"), ("x2", scale[0], "width"), ("y2", scale[1], "height")):
+        out = out.withColumn(c, F.least(F.greatest(F.col(c) / by, F.lit(0.0)), F.col(top).cast("double")))
+    return out.drop("width", "height", logit)
+
+
 def select_detections(df: DataFrame, keys: list[str], *, score: str = "score", id: str = "box_id", least: float = 0.05, nms_pre: int | None = None, keep: int = 100, threshold: float | None = 0.5, category: str | None = None) -> DataFrame:
     """A detector head's selection: score filter, the ``nms_pre`` best, greedy suppression, the ``keep`` best."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), id)
