@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,20 +52,25 @@ def rescale_pixel(p: Column, size_from: int, size_to: int) -> Column:
     return F.floor(p * size_to / F.lit(float(size_from))).cast("int")
 
 
-def make_intrinsic(fx, fy, mx, my) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return F.array(as_col(fx), zero, as_col(mx), zero, as_col(fy), as_col(my), zero, zero, one)
+def camera(focal_x, focal_y, centre_x, centre_y) -> Column:
+    """A pinhole camera as a 3x3 matrix by rows."""
+    value = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    rows = ((value(focal_x), 0.0, value(centre_x)), (0.0, value(focal_y), value(centre_y)), (0.0, 0.0, 1.0))
+    return F.array(*[x if isinstance(x, Column) else F.lit(x) for row in rows for x in row])
 
 
-def adjust_intrinsic(k: Column, size_from: tuple[int, int], size_to: tuple[int, int]) -> Column:
-    """Intrinsics after resizing (width, height) by width and cropping to the new size."""
-    if size_from == size_to:
-        return k
-    width = math.floor(size_to[1] * size_from[0] / size_from[1])
-    zero, one = F.lit(0.0), F.lit(1.0)
-    sx, sy = width / size_from[0], size_to[1] / size_from[1]
-    return F.array(k[0] * sx, zero, k[2] * ((size_to[0] - 1) / (size_from[0] - 1)), zero, k[4] * sy, k[5] * ((size_to[1] - 1) / (size_from[1] - 1)), zero, zero, one)
+def resized_camera(k: Column, before: tuple[int, int], after: tuple[int, int]) -> Column:
+    """The camera of an image (width, height) that is scaled to the new height and cut or padded to the new width: focal lengths
+    scale with the image (its scaled width is a whole number), the centre keeps its place between first and last pixel."""
+    scaled = after[1] * before[0] // before[1]
+    focal = (scaled / before[0], after[1] / before[1]) if before != after else (1.0, 1.0)
+    centre = tuple((new - 1) / (old - 1) if old != new else 1.0 for old, new in zip(before, after, strict=True))
+    return camera(k[0] * focal[0], k[4] * focal[1], k[2] * centre[0], k[5] * centre[1])
+
+
+def darken(value: Column, inside: Column, factor: float = 0.5) -> Column:
+    """A pixel's value, dimmed outside the mask."""
+    return F.when(inside, value).otherwise(value * factor)
 
 
 # --- rotations ---------------------------------------------------------------------------------------

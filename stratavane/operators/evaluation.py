@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane.functions import geometry as G
+
 #: IoU thresholds of the averaged precision, and the extra one.
 OVERLAPS = [round(0.5 + 0.05 * k, 2) for k in range(9)] + [0.25]
 #: The least number of points of an instance that counts.
@@ -159,8 +161,24 @@ def grouped_report(per_class: DataFrame, groups: DataFrame, columns: list[str] =
     return overall(j, columns, ["grp"]).unionByName(overall(per_class, columns).withColumn("grp", F.lit("all")))
 
 
-def confusion(df: DataFrame, gt: str = "gt", pred: str = "pred", ignore: int | None = -100) -> DataFrame:
+def box_matches(preds: DataFrame, gts: DataFrame, *, low: str = "low", high: str = "high") -> DataFrame:
+    """Predictions and instances of a scan and class whose 3D boxes share volume, with both volumes, the shared one and the IoU.
+    preds: scan, label_id, pred_id, low and high corners (arrays); gts: scan, label_id, gt_id, low, high."""
+    p = preds.select("scan", "label_id", "pred_id", F.col(low).alias("_pl"), F.col(high).alias("_ph"))
+    g = gts.select("scan", "label_id", "gt_id", F.col(low).alias("_gl"), F.col(high).alias("_gh"))
+    shared = G.volume_3d(F.zip_with("_pl", "_gl", lambda x, y: F.greatest(x, y)), F.zip_with("_ph", "_gh", lambda x, y: F.least(x, y)))
+    j = p.join(g, ["scan", "label_id"]).withColumn("inter", shared).where("inter > 0")
+    j = j.withColumn("n_pred", G.volume_3d(F.col("_pl"), F.col("_ph"))).withColumn("n_gt", G.volume_3d(F.col("_gl"), F.col("_gh")))
+    iou = F.col("inter") / (F.col("n_pred") + F.col("n_gt") - F.col("inter"))
+    return j.select("scan", "label_id", "pred_id", "gt_id", "inter", "n_pred", "n_gt", iou.alias("iou"))
+
+
+def confusion(df: DataFrame, gt: str = "gt", pred: str = "pred", ignore: int | None = -100, valid: list[int] | None = None, unknown: int = -1) -> DataFrame:
+    """Counts of (truth, prediction).  With ``valid`` classes, rows of other truths are left out and all other
+    predictions are one ``unknown`` class."""
     d = df if ignore is None else df.where(F.col(gt) != ignore)
+    if valid is not None:
+        d = d.where(F.col(gt).isin(valid)).withColumn(pred, F.when(F.col(pred).isin(valid), F.col(pred)).otherwise(F.lit(unknown)))
     return d.groupBy(F.col(gt).alias("gt"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from stratavane.functions import vectors as V
 
-#: Classes (rows of a text-feature table) that are broadcast; more are joined by blocks.
+#: Classes (rows of a text-feature table) that are broadcast at a time.
 BROADCAST_CLASSES = 20_000
 
 
 def class_scores(features: DataFrame, classes: DataFrame, *, vector: str = "feat", emb: str = "emb", cls: str = "class_id", scale: float = 100.0) -> DataFrame:
     """Each row's ``scores``: (class, cosine, softmax of scale * cosine) over the text features, as an array.
 
-    The vocabulary is collected into one array row per executor, if it has at most ``BROADCAST_CLASSES``."""
+    The vocabulary is one array row per executor, which a softmax over all classes needs whole: at most ``BROADCAST_CLASSES``
+    (about 60 MB at 768 components), else an error; ``nearest_class`` goes by blocks and has no such bound."""
     n = classes.count()
     if n > BROADCAST_CLASSES:
-        raise ValueError(f"{n} classes; score them in blocks of at most {BROADCAST_CLASSES}")
+        raise ValueError(f"{n} classes; use nearest_class, or fewer than {BROADCAST_CLASSES}")
     table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e")))).alias("_classes"))
     cos = F.transform("_classes", lambda x: V.cosine(F.col(vector), x["e"]))
     out = features.join(F.broadcast(table)).withColumn("_cos", cos).withColumn("_p", V.softmax(F.col("_cos"), scale))
@@ -25,6 +26,20 @@ def class_scores(features: DataFrame, classes: DataFrame, *, vector: str = "feat
     return out.withColumn("scores", scores).drop("_classes", "_cos", "_p")
 
 
+def nearest_class(features: DataFrame, classes: DataFrame, *, vector: str = "feat", emb: str = "emb", cls: str = "class_id", block: int = BROADCAST_CLASSES) -> DataFrame:
+    """Each row with its class of the greatest ``cosine`` (ties: the smaller id), over any number of classes: a block of them
+    is broadcast at a time, and the best so far goes along."""
+    n = classes.count()
+    kind = dict(classes.dtypes)[cls]
+    out = features.withColumn("_best", F.lit(None).cast(f"struct<s:double,c:{kind}>"))
+    for k in range(max(1, -(-n // block))):
+        part = classes if n <= block else classes.where(F.pmod(F.xxhash64(cls), F.lit(-(-n // block))) == k)
+        table = part.agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e"))).alias("_classes"))
+        found = F.array_max(F.transform("_classes", lambda x: F.struct(V.cosine(F.col(vector), x["e"]).cast("double").alias("s"), (-x["c"]).cast(kind).alias("c"))))
+        out = out.join(F.broadcast(table)).withColumn("_best", F.greatest(F.col("_best"), found)).drop("_classes")
+    return out.withColumn(cls, (-F.col("_best.c")).cast(kind)).withColumn("cosine", F.col("_best.s")).drop("_best")
+
+
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
     """The mean vector of each label."""
     return V.sum_vectors(df, [label], vector, mean=True)
@@ -56,6 +71,22 @@ def superpoint_features(points: DataFrame, superpoints: DataFrame, *, vector: st
     return V.sum_vectors(points.join(superpoints, ["scene_id", "point_id"]), ["scene_id", "spp"], vector).withColumn(vector, V.normalize(F.col(vector)))
 
 
+def superpoint_pool(points: DataFrame, superpoints: DataFrame, values: list[str], *, vector: str | None = None) -> DataFrame:
+    """The mean of each superpoint's point values (coordinates, box corners) and, if named, of their vectors."""
+    keys = ["scene_id", "spp"]
+    j = points.join(superpoints, ["scene_id", "point_id"])
+    out = j.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+    return out if vector is None else out.join(V.sum_vectors(j, keys, vector, mean=True), keys)
+
+
+def superpoint_vote(points: DataFrame, superpoints: DataFrame, *, label: str = "label", score: str = "score") -> DataFrame:
+    """Each superpoint's most frequent label (ties: the smaller), the share of its points that have it, and their mean score."""
+    keys = ["scene_id", "spp"]
+    j = points.join(superpoints, ["scene_id", "point_id"])
+    size = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return modal_label(j, keys, label=label, score=score).join(size, keys).select(*keys, label, (F.col("n") / F.col("_size")).alias("share"), "mean_score")
+
+
 def top_k(scores: DataFrame, k: int, *, scope: list[str] = (), score: str = "score", ties: list[str] = ("inst_id", "class_id")) -> DataFrame:
     """The k best (instance, class) rows of each scope, over all classes at once."""
     if not scope:

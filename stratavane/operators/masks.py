@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane.operators.skew import numbered
+
 EPS = 1e-6
 
 # --- run lengths -------------------------------------------------------------------------------------
@@ -107,7 +109,7 @@ def union_renumbered(first: DataFrame, second: DataFrame, *, mask: str = "inst_i
         return a
     scope = list(scope)
     top = first.groupBy(*scope).agg((F.max(mask) + 1).alias("_top")) if scope else first.agg((F.max(mask) + 1).alias("_top"))
-    b = second.join(F.broadcast(top), scope, "left") if scope else second.join(F.broadcast(top))
+    b = second.join(top, scope, "left") if scope else second.join(F.broadcast(top))
     b = b.withColumn(mask, F.col(mask) + F.coalesce("_top", F.lit(0))).drop("_top").withColumn("src", F.lit("second"))
     return a.unionByName(b)
 
@@ -161,6 +163,20 @@ def boxes(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.min("col").alias("x1"), F.min("row").alias("y1"), F.max("col").alias("x2"), F.max("row").alias("y2"), F.count(F.lit(1)).alias("n"))
 
 
+def fit_to_box(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """A mask's pixels within its box (x1, y1, x2, y2, inclusive)."""
+    b = boxes.select(*keys, *[F.col(c).alias("_" + c) for c in ("x1", "y1", "x2", "y2")])
+    inside = F.col("col").between(F.col("_x1"), F.col("_x2")) & F.col("row").between(F.col("_y1"), F.col("_y2"))
+    return pixels.join(b, keys).where(inside).select(*pixels.columns)
+
+
+def batch_offsets(df: DataFrame, batch: str) -> DataFrame:
+    """Of each batch its number of rows and where it begins in the concatenation of all, in order of the batch; the running sum
+    goes over one row per batch."""
+    n = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def views(mapping: DataFrame, inst: DataFrame, *, least: int = 20, k: int | None = None) -> DataFrame:
     """Of each instance, the frames that see more than ``least`` of its points, with the pixel box; the
     ``k`` with the most points (ties: the earlier frame)."""
@@ -178,12 +194,13 @@ def stability(scores: DataFrame, keys: list[str], score: str, threshold: float =
 
 
 def densify(df: DataFrame, column: str, scope: list[str] = (), to: str | None = None) -> DataFrame:
-    """Ids renumbered from 0 in ascending order within the scope. The distinct ids are ranked, not the
-    rows, so a scope's rows need not fit in a task."""
+    """Ids renumbered from 0 in ascending order within the scope; rows without an id go. The distinct ids are ranked, not the
+    rows, so a scope's rows need not fit in a task; without a scope not even the ids need to."""
     scope = list(scope)
-    ids = df.select(*scope, column).distinct()
-    w = Window.partitionBy(*scope).orderBy(column) if scope else Window.orderBy(column)
-    return df.join(ids.withColumn("_dense", (F.row_number().over(w) - 1).cast("bigint")), [*scope, column]).withColumn(to or column, F.col("_dense")).drop("_dense")
+    ids = df.select(*scope, column).where(F.col(column).isNotNull()).distinct()
+    w = Window.partitionBy(*scope).orderBy(column) if scope else None
+    ids = ids.withColumn("_dense", (F.row_number().over(w) - 1).cast("bigint")) if scope else numbered(ids, [column], "_dense")
+    return df.join(ids, [*scope, column]).withColumn(to or column, F.col("_dense")).drop("_dense")
 
 
 def confidence(groups: DataFrame, keys: list[str]) -> DataFrame:

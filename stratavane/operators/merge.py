@@ -63,7 +63,7 @@ def merge_level(state: DataFrame, sizes: DataFrame, parents: DataFrame, *, visi:
     """One level: groups of sibling nodes with adjacent overlap become one group of their parent.
     state: scene_id, node, grp (unique), spp, cnt, weight; parents: scene_id, node, parent. A node that isn't
     in ``parents`` waits for a later level."""
-    here = state.join(F.broadcast(parents), ["scene_id", "node"], "left")
+    here = state.join(parents, ["scene_id", "node"], "left")
     here = here.withColumn("node", F.coalesce("parent", "node")).withColumn("_up", F.col("parent").isNotNull()).drop("parent")
     on = here.where("_up AND cnt > 0")
     pairs = masks.overlaps(on, mask="grp", element="spp", scope=["scene_id", "node"], weights=sizes, weight="size")
@@ -101,7 +101,7 @@ def hierarchical_merge(leaves: DataFrame, frames: DataFrame, sizes: DataFrame, *
         if depth not in edges:
             continue
         table = spark.createDataFrame(edges[depth], "n bigint, plo bigint, phi bigint, lo bigint, hi bigint")
-        parents = frames.withColumn("n", F.col("n").cast("bigint")).join(F.broadcast(table), "n").select("scene_id", name("lo", "hi").alias("node"), name("plo", "phi").alias("parent"))
+        parents = frames.withColumn("n", F.col("n").cast("bigint")).join(table, "n").select("scene_id", name("lo", "hi").alias("node"), name("plo", "phi").alias("parent"))
         limit = visi if not isinstance(visi, list) else visi[min(depth // inter, len(visi) - 1)]
         state = merge_level(state, sizes, parents, visi=limit, reca=reca, simi=simi, features=features)
     return state.drop("node")

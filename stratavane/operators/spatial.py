@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane import storage
+from stratavane.operators.skew import numbered
 
 AXES = ("x", "y", "z")
 
@@ -72,14 +73,14 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float, *, scope
     out, left, radius = None, queries, size
     have = points.groupBy(*scope).agg(F.count(F.lit(1)).alias("_have")) if scope else None
     if scope:
-        left = left.join(F.broadcast(have.select(*scope)), scope, "left_semi")
+        left = left.join(have.select(*scope), scope, "left_semi")
     else:
         k = min(k, max(1, points.limit(k).count()))
     for _ in range(rounds):
         found = within(left, points, radius, scope=scope, qid=qid, pid=pid, axes=axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         full = found.groupBy(*scope, qid).agg(F.count(F.lit(1)).alias("_n"))
         if have is not None:
-            done = full.join(F.broadcast(have), scope).where(F.col("_n") >= F.least(F.lit(k), F.col("_have")))
+            done = full.join(have, scope).where(F.col("_n") >= F.least(F.lit(k), F.col("_have")))
         else:
             done = full.where(F.col("_n") >= k)
         done = done.select(*scope, qid)
@@ -112,13 +113,13 @@ def fill_labels(points: DataFrame, known: DataFrame, size: float, *, scope: list
     return points.join(found, [*scope, "point_id"], "left").withColumn(label, F.coalesce(label, "_l")).drop("_l")
 
 
-def voxelize(points: DataFrame, size: float | dict[str, float], *, scope: list[str] = (), values: list[str] = (), id: str = "point_id", mode: str = "mean", axes=AXES) -> DataFrame:
-    """One row per voxel: its cell, ``n``, the points' ids in order and each value's mean, sum, first or last
-    (by id; 1 of the original modes is the first, 2 the last)."""
+def voxelize(points: DataFrame, size: float | dict[str, float], *, scope: list[str] = (), values: list[str] = (), id: str = "point_id", mode: str = "mean", axes=AXES, members: str | None = None) -> DataFrame:
+    """One row per voxel: its cell, ``n``, each value's mean, sum, first or last (by id) and, in a column named
+    ``members``, its points' ids in order (a voxel is a row then, however many points it has)."""
     sizes = size if isinstance(size, dict) else dict.fromkeys(axes, size)
     cells = [F.floor(F.col(a) / sizes[a]).cast("bigint").alias("v" + a) for a in axes]
     how = {"mean": F.avg, "sum": F.sum, "first": lambda c: F.min_by(c, id), "last": lambda c: F.max_by(c, id)}[mode]
-    return points.groupBy(*scope, *cells).agg(F.count(F.lit(1)).alias("n"), *[how(v).alias(v) for v in values])
+    return points.groupBy(*scope, *cells).agg(F.count(F.lit(1)).alias("n"), *[how(v).alias(v) for v in values], *([F.sort_array(F.collect_list(id)).alias(members)] if members else []))
 
 
 def point_to_voxel(points: DataFrame, size: float, *, scope: list[str] = (), axes=AXES) -> DataFrame:
@@ -126,7 +127,8 @@ def point_to_voxel(points: DataFrame, size: float, *, scope: list[str] = (), axe
     cells = [F.floor(F.col(a) / size).cast("bigint").alias("v" + a) for a in axes]
     names = ["v" + a for a in axes]
     p = points.select(*scope, "point_id", *cells)
-    ids = p.select(*scope, *names).distinct().withColumn("voxel_id", F.row_number().over(Window.partitionBy(*scope).orderBy(*names) if scope else Window.orderBy(*names)) - 1)
+    cells = p.select(*scope, *names).distinct()
+    ids = cells.withColumn("voxel_id", F.row_number().over(Window.partitionBy(*scope).orderBy(*names)) - 1) if scope else numbered(cells, names, "voxel_id")
     return p.join(ids, [*scope, *names]).select(*scope, "point_id", "voxel_id")
 
 
@@ -177,6 +179,15 @@ def strided(points: DataFrame, *, scope: list[str], id: str = "point_id", stride
     return points.join(n, scope).where(F.pmod(F.col(id), stride(F.col("_n"))) == 0).drop("_n")
 
 
+def subsample(points: DataFrame, n: int, *, scope: list[str] = (), id: str = "point_id", seed: int = 0) -> DataFrame:
+    """At most ``n`` points of each scope, drawn by hash: the same for the same seed, however the data are partitioned."""
+    h = F.xxhash64(F.lit(seed), *scope, id)
+    if not scope:
+        return points.withColumn("_h", h).orderBy("_h", id).limit(n).drop("_h")
+    w = Window.partitionBy(*scope).orderBy(h, id)
+    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
 def interleave(points: DataFrame, parts: int = 4, id: str = "point_id") -> DataFrame:
     """Points dealt to ``part`` by their id; the union of the parts is the input."""
     return points.withColumn("part", F.pmod(F.col(id), F.lit(parts)).cast("int"))
@@ -206,13 +217,15 @@ def grid_points(per_side: int) -> Column:
     return F.flatten(F.transform(axis, lambda j: F.transform(axis, lambda i: F.struct((i / per_side + half).alias("x"), (j / per_side + half).alias("y")))))
 
 
-def crop_boxes(width: int, height: int, layers: int, overlap: float) -> list[tuple[int, int, int, int, int]]:
-    """Crops (x1, y1, x2, y2, layer): the image, then 2^i x 2^i overlapping crops per layer."""
-    out = [(0, 0, width, height, 0)]
-    for i in range(layers):
-        n = 2 ** (i + 1)
-        shared = int(overlap * min(height, width) * (2 / n))
-        size = lambda full, n=n, s=shared: int(np.ceil((s * (n - 1) + full) / n))
-        w, h = size(width), size(height)
-        out += [(x, y, min(x + w, width), min(y + h, height), i + 1) for x in (int((w - shared) * k) for k in range(n)) for y in (int((h - shared) * k) for k in range(n))]
-    return out
+def crop_boxes(images: DataFrame, layers: int, overlap: float) -> DataFrame:
+    """Crops (x1, y1, x2, y2) of images (width, height): layer i cuts each side into 2^i crops of equal size that share
+    ``overlap`` * 2 / 2^i of the shorter side; layer 0 is the whole image."""
+    side = F.pow(F.lit(2), F.col("layer")).cast("int")
+    shared = F.floor(F.lit(overlap) * F.least("width", "height") * 2 / side)
+    size = lambda full: F.ceil((shared * (side - 1) + F.col(full)) / side)
+    rows = images.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers))))
+    rows = rows.withColumn("_w", size("width")).withColumn("_h", size("height")).withColumn("_s", shared).withColumn("_i", F.sequence(F.lit(0), side - 1))
+    rows = rows.withColumn("_x", F.explode("_i")).withColumn("_y", F.explode("_i"))
+    x, y = F.col("_x") * (F.col("_w") - F.col("_s")), F.col("_y") * (F.col("_h") - F.col("_s"))
+    box = {"x1": x, "y1": y, "x2": F.least(x + F.col("_w"), F.col("width")), "y2": F.least(y + F.col("_h"), F.col("height"))}
+    return rows.select(*images.columns, "layer", *[c.cast("int").alias(n) for n, c in box.items()])

@@ -4,6 +4,7 @@ UDFs over ``binaryFile`` scans."""
 from __future__ import annotations
 
 import io
+import pickle
 import struct
 import zlib
 
@@ -183,3 +184,30 @@ def coco_encode_counts(counts: list[int]) -> str:
             if not more:
                 break
     return "".join(out)
+
+
+class _Record:
+    """Stands for an object of any class that isn't trusted: its state is kept, its code isn't run."""
+
+    def __init__(self, *args, **kwargs):
+        pass
+
+    def __setstate__(self, state):
+        self.__dict__.update(state if isinstance(state, dict) else {"state": state})
+
+
+class _PlainUnpickler(pickle.Unpickler):
+    """Builds numbers, strings, containers and numpy arrays; every other class becomes a record."""
+
+    KNOWN = {("collections", "OrderedDict"), ("numpy", "ndarray"), ("numpy", "dtype"), *((f"numpy.{m}.multiarray", n) for m in ("core", "_core") for n in ("_reconstruct", "scalar")), ("numpy._core.numeric", "_frombuffer"), ("_codecs", "encode")}
+
+    def find_class(self, module: str, name: str):
+        return super().find_class(module, name) if (module, name) in self.KNOWN else _Record
+
+
+def read_plain_pickle(blob: bytes) -> dict:
+    """The fields of a pickled dictionary or record of plain values; a record's own ``_fields`` come first."""
+    got = _PlainUnpickler(io.BytesIO(blob)).load()
+    state = got if isinstance(got, dict) else vars(got)
+    inner = state.get("_fields")
+    return dict(inner) if isinstance(inner, dict) else dict(state)

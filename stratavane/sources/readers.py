@@ -109,7 +109,7 @@ def pincams(spark: SparkSession, path: str) -> DataFrame:
     """Lines "w h fx fy hw hh" with their time from the file's name "..._<time>.pincam"."""
     v = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
     t = spark.read.option("recursiveFileLookup", "true").text(path).select(v.alias("v"), F.regexp_extract(F.input_file_name(), r"_([0-9.]+)\.[A-Za-z]+$", 1).cast("double").alias("ts"))
-    return t.select("ts", F.col("v")[0].cast("int").alias("width"), F.col("v")[1].cast("int").alias("height"), G.make_intrinsic(F.col("v")[2], F.col("v")[3], F.col("v")[4], F.col("v")[5]).alias("k"))
+    return t.select("ts", F.col("v")[0].cast("int").alias("width"), F.col("v")[1].cast("int").alias("height"), G.camera(F.col("v")[2], F.col("v")[3], F.col("v")[4], F.col("v")[5]).alias("k"))
 
 
 def query_table(spark: SparkSession, path: str) -> DataFrame:
@@ -156,6 +156,27 @@ def blocks_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="x double, y double, z double, r float, g float, b float, sem int, inst int")
 
 
+def detections(spark: SparkSession, path: str, pattern: str = "*.pkl") -> DataFrame:
+    """Pickled 2D detections with run-length masks, one row per mask pixel: the masks' number, score and class where there are
+    any, the image's size, row and column.  Only plain values are unpickled (see ``formats.read_plain_pickle``)."""
+
+    def parse(blob: bytes) -> pd.DataFrame:
+        fields = formats.read_plain_pickle(blob)
+        found = fields.get("pred_masks_rle")
+        parts = []
+        for k, rle in enumerate(found if found is not None else []):
+            height, width = (int(v) for v in rle["size"])
+            counts = rle["counts"] if isinstance(rle["counts"], list) else formats.coco_decode_counts(rle["counts"])
+            at = np.flatnonzero(np.repeat(np.arange(len(counts)) % 2, counts))  # unset first, column by column
+            own = lambda name, none, k=k: fields[name][k] if fields.get(name) is not None else none
+            parts.append(pd.DataFrame({"mask_id": k, "score": float(own("scores", np.nan)), "label_id": int(own("pred_classes", -1)), "height": height, "width": width, "row": at % height, "col": at // height}))
+        names = ["mask_id", "score", "label_id", "height", "width", "row", "col"]
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
+
+    d = _parsed(_files(spark, path, pattern), parse, "mask_id int, score double, label_id int, height int, width int, row int, col int")
+    return d.withColumn("frame_id", _stem()).drop("path")
+
+
 def prediction_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines "relative/path label confidence"; a path that leaves the folder is an error."""
     v = F.split(F.trim("value"), r"\s+")
