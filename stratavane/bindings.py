@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +34,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from stratavane import scene_bindings  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from stratavane import scene_bindings  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -75,8 +80,8 @@ def prototype_classify(spark, sf):
 @query(f"WITH {_PROTO} SELECT e2.label, f.class_id, round(avg(f.p), 6) AS score FROM f JOIN embeddings e2 USING (vec_id) GROUP BY 1, 2")
 def mask_class_score(spark, sf):
     """Mean softmax score of each class over a mask's (label's) points."""
-    s = _scored(spark, sf).select("label", F.explode("scores").alias("s"))
-    return s.groupBy("label", F.col("s.class_id").alias("class_id")).agg(F.round(F.avg("s.p"), 6).alias("score"))
+    s = _scored(spark, sf).select(F.lit("s").alias("scene_id"), F.col("vec_id").alias("point_id"), F.col("label").alias("inst_id"), "scores")
+    return labels.mask_scores(s.drop("inst_id"), s.select("scene_id", "inst_id", "point_id")).select(F.col("inst_id").alias("label"), "class_id", _r("score"))
 
 
 @query(f"WITH {_E} SELECT label, i - 1 AS pos, round(sum(v) , 5) AS total, round(avg(v), 6) AS mean FROM e GROUP BY 1, 2")
@@ -119,12 +124,12 @@ def squared_distances(spark, sf):
     return e.toDF("a", "va", "label").join(e.toDF("b", "vb", "label"), "label").where("a < b").select("a", "b", F.round(V.squared_distance(F.col("va"), F.col("vb")), 6).alias("d2"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)
-SELECT vec_id, round(x, 6) AS e0, round(sin(x), 6) AS e1, round(cos(x), 6) AS e2, round(sin(2 * x), 6) AS e3, round(cos(2 * x), 6) AS e4 FROM v""")
+@query("""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, pos, round(x, 6) AS e0, round(sin(x), 6) AS e1, round(cos(x), 6) AS e2, round(sin(2 * x), 6) AS e3, round(cos(2 * x), 6) AS e4 FROM v""")
 def positional_encoding(spark, sf):
     """Sines and cosines of doubled frequencies."""
-    enc = V.positional_encoding(F.array(F.col("embedding")[0].cast("double")), 2)
-    return _read(spark, sf, "embeddings").withColumn("p", enc).select("vec_id", *[F.round(F.col("p")[k], 6).alias(f"e{k}") for k in range(5)])
+    e = _read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    return e.withColumn("p", V.positional_encoding(F.array(F.col("v").cast("double")), 2)).select("vec_id", "pos", *[F.round(F.col("p")[k], 6).alias(f"e{k}") for k in range(5)])
 
 
 # --- masks -------------------------------------------------------------------------------------------
@@ -559,12 +564,14 @@ _CV = "t AS (SELECT l_returnflag AS scan, l_suppkey AS g, l_partkey % 50 AS p, l
 
 @query(f"""WITH {_CV}, ng AS (SELECT scan, g, s, count(*) AS ng FROM t GROUP BY 1, 2, 3), np AS (SELECT scan, p, ps, count(*) AS np FROM t GROUP BY 1, 2, 3), x AS (SELECT scan, g, p, s, count(*) AS x FROM t WHERE s = ps GROUP BY 1, 2, 3, 4),
 i AS (SELECT x.scan, x.g, x.p, x.s, x / (ng + np - x) AS iou FROM x JOIN ng ON ng.scan = x.scan AND ng.g = x.g AND ng.s = x.s JOIN np ON np.scan = x.scan AND np.p = x.p AND np.ps = x.s),
-b AS (SELECT scan, g, s, max(iou) AS iou FROM i GROUP BY 1, 2, 3)
-SELECT ng.s AS cls, round(avg(coalesce(iou, 0)), 6) AS mucov, round(sum(coalesce(iou, 0) * ng) / sum(ng), 6) AS mwcov FROM ng LEFT JOIN b ON b.scan = ng.scan AND b.g = ng.g AND b.s = ng.s GROUP BY 1""")
+b AS (SELECT scan, g, s, max(iou) AS iou FROM i GROUP BY 1, 2, 3),
+tps AS (SELECT s, count(*) FILTER (iou >= 0.02) AS tp FROM (SELECT scan, p, s, max(iou) AS iou FROM i GROUP BY 1, 2, 3) GROUP BY 1), k AS (SELECT ps AS s, count(*) AS k FROM np GROUP BY 1)
+SELECT ng.s AS cls, round(avg(coalesce(iou, 0)), 6) AS mucov, round(sum(coalesce(iou, 0) * ng) / sum(ng), 6) AS mwcov, round(coalesce(any_value(tp), 0) / any_value(k), 6) AS precision, round(coalesce(any_value(tp), 0) / count(*), 6) AS recall
+FROM ng LEFT JOIN b ON b.scan = ng.scan AND b.g = ng.g AND b.s = ng.s LEFT JOIN tps ON tps.s = ng.s LEFT JOIN k ON k.s = ng.s GROUP BY 1""")
 def instance_coverage(spark, sf):
     """Mean and weighted coverage of instances by predictions."""
     t = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scan"), F.col("l_suppkey").alias("gt"), (F.col("l_partkey") % 50).alias("pred"), (F.col("l_linenumber") % 3).alias("sem"), (F.col("l_linenumber") % 2).alias("pred_sem"))
-    return evaluation.coverage(t).select("cls", _r("mucov"), _r("mwcov"))
+    return evaluation.coverage(t, threshold=0.02).select("cls", _r("mucov"), _r("mwcov"), _r("precision"), _r("recall"))
 
 
 _MT = """p AS (SELECT DISTINCT l_returnflag AS scan, l_suppkey AS pred_id, l_partkey AS pt FROM lineitem), g AS (SELECT f.scan, p_partkey AS pt, (p_size % 5 + 1)::BIGINT * 1000 + p_partkey % 7 + 1 AS gt_id FROM part, (SELECT DISTINCT l_returnflag AS scan FROM lineitem) f),
@@ -702,18 +709,19 @@ def interleave(spark, sf):
     return spatial.interleave(_read(spark, sf, "orders", "o_orderkey"), 4, "o_orderkey")
 
 
-@query("""SELECT l_orderkey, l_partkey, unnest(range(greatest(ceil((l_quantity - 10) / 10), 0)::INT, floor(l_quantity / 10)::INT + 1))::INT AS bx FROM lineitem""")
+@query("""SELECT l_orderkey, l_partkey, bx, unnest(range(greatest(ceil((l_discount * 300 - 10) / 10), 0)::INT, floor(l_discount * 300 / 10)::INT + 1))::INT AS by FROM
+(SELECT *, unnest(range(greatest(ceil((l_quantity - 10) / 10), 0)::INT, floor(l_quantity / 10)::INT + 1))::INT AS bx FROM lineitem)""")
 def split_blocks(spark, sf):
     """Points with the closed blocks they lie in."""
-    l = _read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("x"), F.lit(5.0).alias("y"))
-    return spatial.split_blocks(l, 10.0).select("l_orderkey", "l_partkey", "bx")
+    l = _read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 300).alias("y"))
+    return spatial.split_blocks(l, 10.0).select("l_orderkey", "l_partkey", "bx", "by")
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, (p_size - 25) / 10.0 AS x, (p_partkey % 21 - 10) / 5.0 AS y, 1 + p_retailprice / 1000 AS z FROM part), q AS (SELECT id, 100 * x / z + 64 AS u, 100 * y / z + 48 AS v FROM p),
 r AS (SELECT id, round_even(u, 0)::INT AS c, round_even(v, 0)::INT AS r FROM q) SELECT id AS point_id, r AS row, c AS col, floor(r * 240 / 96.0)::INT AS big_row FROM r WHERE c >= 2 AND r >= 2 AND c < 126 AND r < 94""")
 def pinhole_project(spark, sf):
     """Projection, rounding half to even, frustum test and rescaling of pixels."""
-    k = G.make_intrinsic(100.0, 100.0, 64.0, 48.0)
+    k = G.camera(100.0, 100.0, 64.0, 48.0)
     p = _read(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), ((F.col("p_size") - 25) / 10.0).alias("x"), ((F.col("p_partkey") % 21 - 10) / 5.0).alias("y"), (1 + F.col("p_retailprice") / 1000).alias("z"))
     col, row = G.pinhole(F.col("x"), F.col("y"), F.col("z"), k)
     return p.select("point_id", row.alias("row"), col.alias("col")).where(G.in_frame(F.col("row"), F.col("col"), 96, 128, 2)).withColumn("big_row", G.rescale_pixel(F.col("row"), 96, 240))
@@ -794,17 +802,25 @@ def visible_hours(spark, sf):
 @query("WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, n, (sum(n) OVER (ORDER BY l_suppkey) - n)::BIGINT AS first FROM c")
 def batch_offsets(spark, sf):
     """Where each group begins in the concatenation of all."""
-    c = _read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("first", F.sum("n").over(Window.orderBy("l_suppkey")) - F.col("n"))
+    return masks.batch_offsets(_read(spark, sf, "lineitem"), "l_suppkey")
 
 
-@query("SELECT length(embedding::VARCHAR) > 0 AS ok, count(*) AS n FROM embeddings GROUP BY 1")
+@query("""WITH c AS (SELECT o_custkey AS id, o_orderkey AS k, (floor(o_totalprice)::BIGINT % 5000) AS n FROM orders),
+d AS (SELECT id, k, n, row_number() OVER (PARTITION BY id ORDER BY k) AS pos, lag(n, 2) OVER (PARTITION BY id ORDER BY k) AS two FROM c),
+x AS (SELECT id, pos, n, CASE WHEN pos > 3 THEN n - two ELSE n END AS v FROM d),
+u AS (SELECT id, pos, j, floor(v / pow(32, j))::BIGINT & 31 AS c, floor(v / pow(32, j + 1))::BIGINT AS rest FROM x, (SELECT unnest(range(5)) AS j)),
+m AS (SELECT *, rest <> (CASE WHEN c & 16 <> 0 THEN -1 ELSE 0 END) AS more FROM u),
+l AS (SELECT id, pos, min(j) FILTER (NOT more) AS last FROM m GROUP BY 1, 2)
+SELECT m.id, string_agg(chr((c + CASE WHEN j < last THEN 32 ELSE 0 END + 48)::INT), '' ORDER BY m.pos, j) AS encoded, sum(CASE WHEN j = 0 THEN x.n ELSE 0 END)::BIGINT AS total
+FROM m JOIN l ON l.id = m.id AND l.pos = m.pos JOIN x ON x.id = m.id AND x.pos = m.pos WHERE j <= last GROUP BY 1""")
 def coco_round_trip(spark, sf):
-    """Compressed run lengths give the counts back."""
+    """Run lengths as compressed strings, and the sum of what these give back."""
+    o = _read(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.struct("o_orderkey", F.pmod(F.floor("o_totalprice"), F.lit(5000)).alias("n")).alias("x"))
+    lists = o.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"].cast("int")).alias("counts"))
 
-    @F.udf("boolean")
-    def same(counts):
-        return formats.coco_decode_counts(formats.coco_encode_counts(list(counts))) == list(counts)
+    def run(batches):
+        for b in batches:
+            text = [formats.coco_encode_counts([int(n) for n in c]) for c in b["counts"]]
+            yield pd.DataFrame({"id": b["id"], "encoded": text, "total": [sum(formats.coco_decode_counts(t)) for t in text]})
 
-    ends = F.transform(F.col("embedding"), lambda x: F.abs(F.floor(x * 1000)).cast("int"))
-    return _read(spark, sf, "embeddings").select(same(ends).alias("ok")).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+    return lists.mapInPandas(run, "id bigint, encoded string, total bigint")
