@@ -7,6 +7,8 @@ ranges, and a word's hash is folded from its bytes eight at a time.  No Python s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,9 @@ K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Bytes of text that are tokenised at a time; one longer document is taken alone.
 BLOCK_BYTES = 1 << 21
 #: Session settings that keep Arrow batches small whatever the texts' lengths.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Batches after which a worker gives back the memory it has freed.
+TRIM_BATCHES = 8
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -57,6 +61,7 @@ class Shared:
     def value(self):
         if self.got is None:
             self.got = pickle.loads(self.blob.value)
+            vars(self.blob).pop("_value", None)  # the bytes themselves aren't needed any more
         return self.got
 
     def drop(self) -> None:
@@ -69,6 +74,31 @@ def share(spark, value) -> Shared:
     return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+def trim() -> None:
+    """Give memory that Arrow and the C library hold in reserve back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run`` over batches, with the worker's reserves given back now and then and at the end: workers outlive their tasks, and
+    several share an executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fed() -> Iterator[pa.RecordBatch]:
+            for k, batch in enumerate(batches):
+                yield batch
+                if k % TRIM_BATCHES == TRIM_BATCHES - 1:
+                    del batch
+                    trim()
+
+        yield from run(fed())
+        trim()
+
+    return wrapped
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string or binary column; null is empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -50,7 +50,7 @@ FREQUENT_WORDS, SAMPLE_CHARS = 200_000, 48_000_000
 #: New words after which a task's vocabulary starts again (about 40 bytes each).
 TASK_WORDS = 2_000_000
 #: Words whose lattices are made at a time.
-WORD_ROWS = 8_000
+WORD_ROWS = 4_000
 #: Documents that are decoded at a time.
 DECODED_ROWS = 1000
 
@@ -443,9 +443,9 @@ def frequent_words(texts: DataFrame, pieces: Pieces, *, words: int = FREQUENT_WO
     """``word`` and ``ids`` of at most ``words`` words that are frequent in a sample of about ``chars`` characters."""
     n = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     some = texts if n <= chars else texts.sample(fraction=chars / n, seed=1)
-    counts = some.mapInArrow(_frequent(pieces.joins), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = some.mapInArrow(X.lean(_frequent(pieces.joins)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "word").limit(words).select("word")
-    return encode_words(top.repartition(max(1, words // WORD_ROWS)), pieces).toArrow().combine_chunks()
+    return encode_words(top.repartition(max(1, words // 8000)), pieces).toArrow().combine_chunks()
 
 
 class _Vocabulary:
@@ -603,10 +603,10 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "i
     kind = rows.schema["row"].dataType
     blank = T.StructType([T.StructField("row", kind), *T._parse_datatype_string(f"era long, numbers binary, word string, spans {SPANS}, chars array<int>, edges {EDGES}, ids array<int>").fields])
     out = T.StructType([T.StructField("row", kind), T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.StringType()) for c in new[1:]]])
-    stream = rows.mapInArrow(_stream(pieces.joins, X.share(spark, Lattice(pieces)), shared, text, task_words), blank)
+    stream = rows.mapInArrow(X.lean(_stream(pieces.joins, X.share(spark, Lattice(pieces)), shared, text, task_words)), blank)
     coded = stream.select("row", "era", "numbers", "word", F.when(F.col("word").isNotNull(), folded(pieces)).alias("ids"))
     names = X.share(spark, _names(pieces)) if decoded is not None else None
-    return _plain(coded.mapInArrow(_assembled(shared, pieces.bytes, pieces.unknown, ids, names, decoded), out), kind, *new)
+    return _plain(coded.mapInArrow(X.lean(_assembled(shared, pieces.bytes, pieces.unknown, ids, names, decoded)), out), kind, *new)
 
 
 def _names(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
