@@ -54,8 +54,9 @@ AGREE = 72
 #: Documents and bytes that are signed together.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
 HASH_BITS = 53
-#: Tasks over which the pairs of one partner are dealt, and the side of a tile.
-SALTS, TILE = 1024, 256
+#: Tasks over which the pairs of one partner are dealt, and the side of a tile in documents and in shingles (about 8 bytes of text each);
+#: a longer document is a side of its own.
+SALTS, TILE, TILE_SHINGLES = 1024, 256, 1 << 20
 #: Rows of text requests that are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -179,7 +180,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = asked.unionByName(pairs.select(F.col("b").alias("row"), "b", "salt", F.lit(0).alias("role")).distinct())
     if pairs.count() * 2 <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    return texts.select("row", "text").join(asked, "row").repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(_verified, "a long, b long")
+    return texts.select("row", "text").join(asked, "row").repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(X.lean(_verified), "a long, b long")
 
 
 def _tiles(table: pa.Table) -> pa.Table:
@@ -237,10 +238,11 @@ def links(signed: DataFrame) -> DataFrame:
     # buckets of more than three members that are not all in one component (the ends have met everyone)
     known = found.where("_n > 3").select("key", "band", "row", "n").join(comp, "row", "left").withColumn("component", F.coalesce("component", "row"))
     known = storage.stage(known, "known")
-    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("_m"))
-    parts = parts.where("parts > 1").select("key", F.col("main.component").alias("main"), (F.col("_m") - F.col("main.c")).alias("_o"), "_m")
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component", "w")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("_m"), F.sum("w").alias("_mw"))
+    parts = parts.where("parts > 1").select("key", F.col("main.component").alias("main"), (F.col("_m") - F.col("main.c")).alias("_o"), "_m", (F.col("_mw") - F.col("main.w")).alias("_ow"), "_mw")
     rest = meet_groups(known, parts, ["key"], "_m", max(1, known.count())).withColumn("outside", F.col("component") != F.col("main"))
-    tiles_o, tiles_m = (F.ceil(F.col(c) / F.lit(TILE)).cast("int") for c in ("_o", "_m"))
+    tiles_o, tiles_m = (F.ceil(F.greatest(F.col(c) / F.lit(TILE), F.col(f"{c}w") / F.lit(TILE_SHINGLES))).cast("int") for c in ("_o", "_m"))
     place = lambda t: F.pmod(F.xxhash64("row"), t).cast("int")
     every = lambda t: F.explode(F.sequence(F.lit(0), t - 1))
     left = rest.where("outside").withColumn("i", place(tiles_o)).withColumn("j", every(tiles_m)).withColumn("side", F.lit(0))
@@ -265,7 +267,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([T.StructField("row", T.LongType()), *docs.schema.fields])
     for f in T._parse_datatype_string("s1 long, s2 long, n long, keys array<long>, sig binary").fields:
         schema.add(f)
-    signed = storage.stage(docs.mapInArrow(_signed, schema), "signed")
+    signed = storage.stage(docs.mapInArrow(X.lean(_signed), schema), "signed")
     n = signed.count()
     full = signed.where("n > 0")
     comp = storage.stage(connected_components(links(full)).withColumnRenamed("node", "first"), "components")
