@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratavane import storage
 from stratavane.llm import _text as X
 
 WINDOW = 13
@@ -220,9 +221,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
     chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    written = None
     for k in range(n_blocks):
         part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        probe = spark.sparkContext.broadcast(Probe([tuple(r) for r in part.collect()], window))
+        probe = X.share(spark, Probe([tuple(r) for r in part.collect()], window))
         last = k == n_blocks - 1
         fields = T.StructType([df.schema["row"], *([] if last else [df.schema["text"]])])
         for f in T._parse_datatype_string(RESULT).fields:
@@ -236,7 +238,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
                 names = ["row"] if last else ["row", "text"]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + list(got.values()), names + list(got))
 
-        df = df.mapInArrow(run, fields)
+        df = df.mapInArrow(X.lean(run), fields)
+        if not last:  # the next block begins where this one's results are written, so that no task holds two
+            df, read = storage.stage(df, "matched"), written
+            probe.drop()
+            storage.release(read)
+            written = df
     return df
 
 

@@ -8,7 +8,8 @@ _MODULES = [near, pieces, language, token_counts, pii, decontamination, exact, t
 
 
 def queries() -> dict:
-    return {n: f for m in _MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit() and callable(f)}
+    own = {n: f for m in _MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit() and callable(f)}
+    return own | {"language_of_pages": language.language_of_pages}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,7 +112,7 @@ class Automaton:
 def count_tokens(docs: DataFrame, automaton: Automaton, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``n_words`` and ``n_tokens``."""
     X.bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = X.share(docs.sparkSession, automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
