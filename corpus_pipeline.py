@@ -37,8 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document that is left, and whether they decode to its text."""
-    found = pieces.load()
-    out = pieces.decode(pieces.encode(docs, found), found)
+    out = pieces.encode(docs, pieces.load(), decoded="decoded")
     return out.selectExpr("doc_id", "CAST(size(ids) AS BIGINT) AS n_tokens", "ids", "decoded <=> coalesce(text, '') AS round_trip")
 
 
@@ -54,7 +53,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = storage.stage(stage(spark, docs, sf_dir), name)
+        before, path = docs, storage.new_path(spark, name)
+        with storage.scratch(spark):  # what the stage's operator stages goes once its rows are written
+            docs = storage.stage(stage(spark, docs, sf_dir), name, path)
+        storage.release(before)
     return docs
 
 
