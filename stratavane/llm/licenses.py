@@ -1,16 +1,18 @@
 """Licence scans with a positional index of rare licence words.
 
-The templates' words are indexed by position.  One pass over the corpus counts in how many documents
-each licence word stands; the highest-IDF words of each template become its postings (word, template,
-relative position).  A second pass looks a file's words up there, keeps the places where the
-postings of a template agree on one offset, verifies the template's mandatory key phrase at that
-offset, and scores the words that match.
+The index holds, for each template (a licence's own notice), its words by position.  One pass over the corpus
+takes each file's words, notes which licence words it holds, and keeps the words of files that hold all words of some
+phrase; counted over all files, that gives the licence words' document frequencies.  The postings (word, template, position) of
+each template's ``RARE`` rarest words are then looked up for the places of such words in a file: each gives a template
+and an offset at which the template would begin.  Where at least two of a template's places agree on one offset, its
+mandatory key phrase is verified there, and its words that stand in place give the score.
 
-DataFrame functions only: both passes are projections over the whole texts without a shuffle, but
-for the counts of at most a few hundred licence words.  Templates, not data, bound what is collected.
+DataFrame functions only, and no shuffle but for the counts of at most a few hundred licence words.  Templates,
+not data, bound what is collected.  Agreement is found by sorting a file's candidates, so a very long file full of
+licence words costs n log n.
 
 Defined results: null and empty texts have no words, no labels and score 0.  Repeated rows each get
-a result.  Ties in IDF fall to the earlier word of the template.  Other columns are ignored.
+a result.  Ties in frequency fall to the earlier word of the template.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,29 +22,42 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratavane import storage
+
 #: The contract's phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label, notice, mandatory key phrase
+#: Label, the licence's own notice, mandatory key phrase.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache license"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "except in compliance with the license"),
     ("mit", "Released under the MIT License", "mit license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general public license"),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public license"),
     ("lgpl", "under the terms of the GNU Lesser General Public License", "gnu lesser general public license"),
+    ("agpl", "under the terms of the GNU Affero General Public License", "gnu affero general public license"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc by sa"),
     ("cc-by-4.0", "Licensed under CC BY 4.0", "cc by 4"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived all copyright"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
+    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0", "eclipse public license"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", "boost software license"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
     ("reserved", "All rights reserved", "all rights reserved"),
 ]
-#: Postings of a template: its highest-IDF words, which must agree on one offset.
-POSTINGS = 2
+#: A template's rarest distinct words, whose places are posted, and how many of those places must agree on one offset.
+RARE, AGREE = 6, 2
 #: The least share of a template's words that must stand at the offset.
 LEAST_SCORE = 0.6
 #: The score of a file in which only a contract phrase was found.
 PHRASE_SCORE = 0.5
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def split_words(text: str) -> list[str]:
@@ -50,83 +65,98 @@ def split_words(text: str) -> list[str]:
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
+    # Of all other characters only U+212A has a lower case below 0x80; as a word character it may be another one.
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_remove(F.split(lower, _GAP, -1), "")
 
 
-def frequencies(docs: DataFrame, *, text: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """In how many documents each licence word stands, counted over all documents."""
-    vocab = sorted({w for _, t, _ in templates for w in split_words(t)})
-    found = docs.select(F.explode(F.array_intersect(words(F.col(text)), F.array(*map(F.lit, vocab)))).alias("w")).groupBy("w").count()
-    return dict.fromkeys(vocab, 0) | {r.w: r["count"] for r in found.collect()}
+def _texts(xs: list[str]) -> Column:
+    return F.array(*map(F.lit, xs))
 
 
-def postings(counts: dict[str, int], templates=TEMPLATES) -> list[tuple]:
-    """Of each template its label, words, key phrase with its place, and the (word, position) of its
-    highest-IDF words, the rarest first."""
-    out = []
-    for label, text, phrase in templates:
-        w, key = split_words(text), split_words(phrase)
-        at = next(i for i in range(len(w)) if w[i : i + len(key)] == key)
+def _phrases(templates) -> list[list[str]]:
+    """The words of every phrase without which nothing is found."""
+    return [list(x) for x in sorted({tuple(split_words(p)) for p in [*BASE, *(t[2] for t in templates)]})]
+
+
+def shelved(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=TEMPLATES) -> DataFrame:
+    """``doc_id``, ``n_words``, ``held``, the distinct licence words, and ``w``, all words, if some phrase's are among them."""
+    vocab = sorted({w for _, t, _ in templates for w in split_words(t)} | {w for p in BASE for w in p.split()})
+    df = docs.select(F.col(f"`{id}`").alias("doc_id"), words(F.col(f"`{text}`")).alias("w"))
+    df = df.select("doc_id", "w", F.array_intersect("w", _texts(vocab)).alias("held"))
+    may = F.lit(False)
+    for p in _phrases(templates):
+        need = F.lit(True)
+        for x in dict.fromkeys(p):
+            need = need & F.array_contains("held", x)
+        may = may | need
+    return df.select("doc_id", F.size("w").cast("long").alias("n_words"), "held", F.when(may, F.col("w")).alias("w"))
+
+
+def postings(counts: dict[str, int], templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+    """The places (template, position) of each template's rarest words, by word."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, text, _) in enumerate(templates):
+        w = split_words(text)
         first = {x: i for i, x in reversed([*enumerate(w)])}
-        rare = sorted(first, key=lambda x: (counts[x], first[x]))[:POSTINGS]
-        out.append((label, w, key, at, [(x, first[x]) for x in rare]))
+        for x in sorted(first, key=lambda x: (counts.get(x, 0), first[x]))[:RARE]:
+            out.setdefault(x, []).extend((k, i) for i, y in enumerate(w) if y == x)
     return out
 
 
-def _standing(w: Column, at: Column, expected: list[str]) -> Column:
+def _standing(w: Column, at: Column, expected: Column) -> Column:
     """Whether the words stand from index ``at`` on."""
-    out = F.lit(True)
-    for j, x in enumerate(expected):
-        out = out & F.coalesce(F.get(w, at + j) == x, F.lit(False))
-    return out
+    return F.forall(F.transform(expected, lambda x, j: F.coalesce(F.get(w, at + j) == x, F.lit(False))), lambda ok: ok)
+
+
+def _base(w: Column) -> Column:
+    def phrase(p: list[str], label: str) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x == p[0], i)), lambda i: i.isNotNull())
+        return F.transform(F.filter(at, lambda i: _standing(w, i + 1, _texts(p[1:]))), lambda i: F.struct(i.alias("i"), F.lit(label).alias("label")))
 
+    return F.flatten(F.array(*[phrase(p.split(), label) for p, label in BASE.items()]))
 
-def _places(w: Column, keep) -> Column:
-    """The indexes i of words for which keep(word, i) holds."""
-    return F.filter(F.transform(w, lambda x, i: F.when(keep(x, i), i)), lambda i: i.isNotNull())
 
+def _found(w: Column, index: dict[str, list[tuple[int, int]]], templates) -> Column:
+    """Label and score of each template at each offset on which its postings agree."""
+    place = lambda k, i: F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"))
+    table = F.create_map(*[x for word, at in index.items() for x in (F.lit(word), F.array(*[place(*p) for p in at]))])
+    starts = [next(i for i in range(len(split_words(t))) if split_words(t)[i : i + len(split_words(p))] == split_words(p)) for _, t, p in templates]
+    keys, texts, labels = F.array(*map(F.lit, starts)), F.array(*[_texts(split_words(t)) for _, t, _ in templates]), _texts([t[0] for t in templates])
+    phrases = F.array(*[_texts(split_words(p)) for _, _, p in templates])
+    rare = F.filter(F.transform(w, lambda x, i: F.when(x.isin(list(index)), F.struct(x.alias("x"), i.alias("i")))), lambda h: h.isNotNull())
+    asked = F.flatten(F.transform(rare, lambda h: F.transform(table[h["x"]], lambda p: F.struct(p["k"].alias("k"), (h["i"] - p["i"]).alias("at")))))
 
-def _aligned(w: Column, template: tuple) -> Column:
-    """The best score of the template over the offsets on which its postings agree and at which its
-    key phrase stands; null if there is none."""
-    _, expected, key, key_at, rare = template
-    (anchor, q), rest = rare[0], rare[1:]
+    def agreed(sorted_: Column) -> Column:
+        # in a run of equal candidates, the one with exactly AGREE - 1 equals before it stands for the run
+        same = lambda c, j: F.coalesce(F.get(sorted_, j) == c, F.lit(False))
+        return F.filter(sorted_, lambda c, j: F.when(j >= AGREE - 1, same(c, j - (AGREE - 1))).otherwise(False) & ~F.when(j >= AGREE, same(c, j - AGREE)).otherwise(False))
 
-    def agrees(x, i):
-        out = x == anchor
-        for other, r in rest:
-            out = out & F.coalesce(F.get(w, i + (r - q)) == other, F.lit(False))
-        return out & _standing(w, i + (key_at - q), key)
+    def score(c: Column) -> Column:
+        words_ = F.get(texts, c["k"])
+        right = F.filter(words_, lambda x, j: F.when(c["at"] + j >= 0, F.coalesce(F.get(w, c["at"] + j) == x, F.lit(False))).otherwise(False))
+        return F.struct(F.get(labels, c["k"]).alias("label"), (F.size(right) / F.size(words_)).alias("score"))
 
-    def score(i):
-        same = [F.when(F.coalesce(F.get(w, i + (j - q)) == x, F.lit(False)), 1).otherwise(0) for j, x in enumerate(expected)]
-        return sum(same[1:], same[0]) / F.lit(float(len(expected)))
+    def verified(c: Column) -> Column:
+        at = c["at"] + F.get(keys, c["k"])
+        return F.when(at >= 0, _standing(w, at, F.get(phrases, c["k"]))).otherwise(False)
 
-    best = F.array_max(F.transform(_places(w, agrees), score))
-    return F.when(best >= LEAST_SCORE, best)
+    hits = F.transform(F.array(F.sort_array(asked)), agreed)[0]
+    return F.filter(F.transform(F.filter(hits, verified), score), lambda x: x["score"] >= LEAST_SCORE)
 
 
 def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per document: ``n_words``; ``base`` (index and label of each contract phrase), and
-    ``found`` (label and score of each template that matches)."""
-    index = postings(frequencies(docs, text=text, templates=templates), templates)
-    # a necessary condition, in one scan of the text: some anchor or first phrase word occurs
-    signs = sorted({p.split()[0] for p in BASE} | {t[4][0][0] for t in index})
-    rows = docs.select(F.col(id).alias("doc_id"), words(F.col(text)).alias("w"), F.coalesce(F.col(text).rlike("(?i)" + "|".join(signs)), F.lit(False)).alias("maybe"))
+    ``found`` (label and score of each place where a template stands)."""
+    rows = storage.stage(shelved(docs, id=id, text=text, templates=templates), "shelved")
+    counts = rows.select(F.explode("held").alias("x")).groupBy("x").count().collect()
+    index = postings({r.x: r["count"] for r in counts}, templates)
     w = F.col("w")
-    none = F.array().cast("array<struct<i:int,label:string>>")
-
-    def phrase(p: str, label: str) -> Column:
-        return F.transform(_places(w, lambda _, i: _standing(w, i, p.split())), lambda i: F.struct(i.alias("i"), F.lit(label).alias("label")))
-
-    base = F.flatten(F.array(*[phrase(*x) for x in BASE.items()]))
-    own = F.filter(F.array(*[F.struct(F.lit(t[0]).alias("label"), _aligned(w, t).alias("score")) for t in index]), lambda x: x.score.isNotNull())
     return rows.select(
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.when(F.col("maybe"), base).otherwise(none).alias("base"),
-        F.when(F.col("maybe"), own).otherwise(F.array().cast("array<struct<label:string,score:double>>")).alias("found"),
+        "n_words",
+        F.when(w.isNotNull(), _base(w)).otherwise(F.array().cast("array<struct<i:int,label:string>>")).alias("base"),
+        F.when(w.isNotNull(), _found(w, index, templates)).otherwise(F.array().cast("array<struct<label:string,score:double>>")).alias("found"),
     )
 
 
@@ -159,9 +189,8 @@ t(k, label, w, key_at, key_n) AS (VALUES {", ".join(rows)}),
 tw AS (SELECT k, label, key_at, key_n, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS j FROM t),
 p AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) WHERE word IN (SELECT word FROM tw) OR word IN ('cc', 'by')),
 df AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY 1),
-rare AS (SELECT k, word, j, row_number() OVER (PARTITION BY k ORDER BY coalesce(df, 0), j) AS r FROM (SELECT k, word, min(j) AS j FROM tw GROUP BY 1, 2) LEFT JOIN df USING (word)),
-o AS (SELECT p.doc_id, rare.k, p.i - rare.j AS o FROM p JOIN rare ON rare.word = p.word AND rare.r = 1),
-a AS (SELECT o.* FROM o JOIN rare ON rare.k = o.k AND rare.r = {POSTINGS} JOIN p ON p.doc_id = o.doc_id AND p.word = rare.word AND p.i = o.o + rare.j),
+rare AS (SELECT k, word FROM (SELECT k, word, min(j) AS j FROM tw GROUP BY 1, 2) LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(df, 0), j) <= {RARE}),
+a AS (SELECT p.doc_id, tw.k, p.i - tw.j AS o FROM rare JOIN tw USING (k, word) JOIN p USING (word) GROUP BY 1, 2, 3 HAVING count(*) >= {AGREE}),
 m AS (SELECT a.doc_id, a.k, a.o, any_value(tw.label) AS label, count(p.i) / any_value(tw.n)::DOUBLE AS score, count(p.i) FILTER (tw.j >= tw.key_at AND tw.j < tw.key_at + tw.key_n) = any_value(tw.key_n) AS phrase
   FROM a JOIN tw ON tw.k = a.k LEFT JOIN p ON p.doc_id = a.doc_id AND p.word = tw.word AND p.i = a.o + tw.j GROUP BY 1, 2, 3),
 f AS (SELECT doc_id, label, max(score) AS score FROM m WHERE phrase AND score >= {LEAST_SCORE} GROUP BY 1, 2),
