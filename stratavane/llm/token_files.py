@@ -41,6 +41,8 @@ from stratavane.llm import _text as X
 LENGTH = 2048
 #: Sequences in a record batch.
 BATCH = 128
+#: Characters of text in a shard, at most, but for what range bounds differ.
+SHARD_CHARS = 256 << 20
 END_ID = 2
 #: Bytes of text whose distinct words are encoded together.
 BLOCK_BYTES = 8 << 20
@@ -238,8 +240,13 @@ class _Shard:
 
 def write(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH, end_id: int | None = END_ID) -> list[tuple[str, int, int]]:
     """Write the documents' ids below ``path``. Returns the shards in order: (file, ids of all shards
-    before it, ids); there are as many as partitions."""
-    X.bounded_batches(docs.sparkSession)
+    before it, ids); there are as many as shuffle partitions, and more for texts of more than ``SHARD_CHARS`` characters each.
+    Ids are integers."""
+    spark = docs.sparkSession
+    if docs.schema[id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id} must be an integer")
+    X.bounded_batches(spark)
+    path = storage.qualified(spark, path)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         definition = f.read()
     from tokenizers import Tokenizer
@@ -248,7 +255,9 @@ def write(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text",
     definition = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     h = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("id"), h).sortWithinPartitions("id", h, "text")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
+    ordered = rows.repartitionByRange(n_shards, F.col("id"), h).sortWithinPartitions("id", h, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _file_system(path)
