@@ -129,6 +129,16 @@ def test_chunks_are_the_text(docs, rows):
     assert all("".join(r.c) == (r.text or "") and all(len(x) <= exact.MAX_CHUNK for x in r.c) for r in got)
 
 
+def test_chunks_fall_into_step_behind_an_insertion(spark):
+    import random
+
+    rnd = random.Random(2)
+    line = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(7)) for _ in range(2000))  # no line end, no full stop
+    df = spark.createDataFrame([(line,), ("something new " + line,)], "text string")
+    a, b = (r.c for r in df.select(exact.chunks(F.col("text")).alias("c")).collect())
+    assert len(a) > 20 and len(set(a) & set(b)) >= len(a) - 3
+
+
 def _bags(rows):
     out = {}
     for k, (_, t) in enumerate(rows):
@@ -192,15 +202,47 @@ def test_sentencepiece_equals_the_library(docs, rows, nothing):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     p = pieces.load()
     want = Counter((d, tuple(sp.encode(t or ""))) for d, t in rows)
-    for limit in (pieces.BROADCAST_WORDS, 0):
-        coded = pieces.encode(docs, p, broadcast_words=limit)
+    for frequent, task_words in ((pieces.FREQUENT_WORDS, pieces.TASK_WORDS), (50, 1), (0, 300)):
+        coded = pieces.encode(docs, p, frequent=frequent, task_words=task_words)
         assert coded.columns == [*docs.columns, "ids"]
         assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == want
-    back = pieces.decode(pieces.encode(docs, p), p)
-    assert all(r.decoded == (r.text or "") for r in back.collect())
+    # names that the operator uses itself, or that need quotes; a column of the new name is replaced
+    clash = docs.selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded", "3 AS `a.b`", "4 AS era", "5 AS word", "6 AS numbers", "7 AS row", "8 AS spans")
+    back = pieces.decode(pieces.encode(clash, p), p)
+    assert sorted(back.columns) == sorted(clash.columns)
+    for r in back.collect():
+        assert r.decoded == (r.text or "") and r["a.b"] == 3 and (r.era, r.word, r.numbers, r.row, r.spans) == (4, 5, 6, 7, 8)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in back.collect()) == want
+    both = pieces.encode(clash, p, decoded="decoded")
+    assert Counter((r.doc_id, r.decoded, tuple(r.ids)) for r in both.collect()) == Counter((d, t or "", tuple(sp.encode(t or ""))) for d, t in rows)
+    odd = docs.limit(2).selectExpr("CAST(NULL AS array<int>) AS ids").union(docs.limit(1).selectExpr("array(-5, 10000000, 0)"))
+    assert {r.decoded for r in pieces.decode(odd, p).collect()} == {""}
     assert pieces.encode(nothing, p).count() == 0
 
 
+def test_words_that_share_a_hash_are_told_apart(docs, rows, monkeypatch):
+    p, real = pieces.load(), pieces.X.word_hashes
+    want = {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs, p).collect()}
+    monkeypatch.setattr(pieces.X, "word_hashes", lambda b, seed=0: real(b, seed) if seed > 3 else real(b, seed) % np.uint64(97))
+    assert {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs, p, frequent=0).collect()} == want
+
+
+def test_folds_agree_on_a_bpe_model(spark, rows):
+    """The fold over bits, the fold over arrays and the heap."""
+    p = pieces.load()
+    ws = sorted({" " + w for _, t in rows for w in re.findall(r"\S+", t or "") if len(w) < 60} | {"x" * 61, "x" * 62, "\u4e00\u0df4\U0001f9ff"})[:3000]
+    df = spark.createDataFrame([(w,) for w in ws], "word string").repartition(4)
+    got = {r.word: list(r.ids) for r in pieces.encode_words(df, p).collect()}
+    scores = {t: (i, s) for t, i, s in p.rows}
+    assert got == {w: pieces.fold_long(w.replace(" ", pieces.MARK), p, scores) for w in ws}
+    half = [w for w in ws if len(w) < 8][:300]
+    edges = pieces.Lattice(p).edges(half)
+    ends = spark.createDataFrame([(w, e) for w, e in zip(half, edges.to_pylist(), strict=True)], f"word string, edges {pieces.EDGES}")
+    n = F.length("word")
+    old = ends.select("word", pieces._ids(p, pieces.bpe_fold(n, F.col("edges")), F.col("edges"), F.col("word")).alias("ids"))
+    assert {r.word: list(r.ids) for r in old.collect()} == {w: got[w] for w in half}
+
+
 def test_merge_order_differs_from_viterbi_on_a_bpe_model(spark):
     p = pieces.load()
     ws = spark.createDataFrame([(" " + w,) for w in ("thonoring", "erlythand", "reationshings", "unbelievable")], "word string")
@@ -310,6 +352,17 @@ def test_pages_use_domain_and_suffix(spark):
     assert flat != pytest.approx(want, abs=1e-4)
 
 
+def test_language_of_pages_query(spark):
+    """Every page, declared languages as the markup has them, posteriors above the threshold or none."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = registry.queries()["language_of_pages"](spark, SF).collect()
+    assert {r.page_id for r in got} == set(pages) and len(got) == len(pages)
+    for r in got:
+        said = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", pages[r.page_id].html or "")
+        assert (r.declared or "") == (re.match("[A-Za-z]{2,8}", said[1])[0].lower() if said and re.fullmatch(r"[A-Za-z]{2,8}([-_].*)?", said[1]) else "")
+        assert r.language == "und" or r.posterior >= language.LEAST
+
+
 def test_token_counts_equal_greedy(docs, rows, nothing):
     vocab = token_counts.default_vocabulary()
     have, longest = {v.encode() for v in vocab}, max(len(v.encode()) for v in vocab)
@@ -382,6 +435,101 @@ def test_pii_secrets_without_digits(spark):
     assert got == {0: [("secret", "xKdjfQwErTyUiOpA")], 1: [("secret", "GhTrEwQsDfLkJhGfDsAqZx")]} | {k: [] for k in range(2, len(texts))}
 
 
+def test_pii_own_spans_equal_a_plain_version(spark):
+    """Generators, probabilities and the choice among spans, recomputed in Python from the model's trees."""
+    model = pii.Model(spark)
+    assert model.precision >= 0.9 and model.recall >= 0.9
+    texts = [
+        'token = "' + "0f" * 20 + '" and ssn 123-45-6789, call 555-123-4567 or (555) 123 4567',
+        "tel 4539 1488 0343 6467 iban DE44500105175407324931 x 123-45-6789-1 secret: 123-45-6789",
+        "order 555 123 4567 build=0123456789abcdef0123 " + "a-b_C9" * 9 + " api_key=ZZ11yy22XX33ww44 bearer abcDEF123ghiJKL456",
+        "phone " + " ".join(f"555-{k:03d}-{k:04d}" for k in range(100, 300)),
+        "\u00e9\U0001f600 iban FR1420041010050500013M02606 and +49 151 1234 5678 a@b.cd password=hunter2hunter2",
+    ]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: [(x.start, x.end, x.kind, x.base) for x in r.spans] for r in pii.find(df, model=model).collect()}
+    ranks = {k: n for n, k in enumerate([*pii.KINDS, *pii.OWN])}
+    plain = {"secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}", "national_id": pii.OWN["national_id"][1], "phone_local": pii.OWN["phone_local"][1], "iban": pii.OWN["iban"][1]}
+    for k, t in enumerate(texts):
+        base = [(x.start(), x.end(), kind, 1.0) for kind, p in PII.items() for x in re.finditer(p, t) if _valid(kind, x.group())]
+        asked = []
+        for kind, p in plain.items():
+            for x in re.finditer(p, t):
+                behind = re.search("[=:]\\s?[\"']?$", t[: x.start()])
+                if kind != "secret" or behind or not re.fullmatch("[A-Za-z]?[a-z]+", x.group()):
+                    asked.append((x.start(), x.end(), kind, x.group(), t[max(0, x.start() - pii.CONTEXT) : x.start()]))
+        frame = spark.createDataFrame([(n, a[3], a[4]) for n, a in enumerate(asked)], "n int, m string, before string")
+        rows = {r.n: r.asDict() for r in frame.select("n", *[c.alias(f) for f, c in pii.features(F.col("m"), F.col("before")).items()]).collect()}
+        own = []
+        for n, (a, b, kind, _, _) in enumerate(asked):
+            score = sum(pii.walk(tree, rows[n]) for tree in model.trees)
+            q = 1 / (1 + np.exp(-(model.a * score + model.b)))
+            if q >= model.least[kind] - 1e-12:
+                own.append((a, b, kind, q))
+        meets = lambda x, y: x[0] < y[1] and y[0] < x[1]
+        stays = [x for x in own if not any(meets(x, y) for y in base) and not any(meets(x, y) and (y[3] > x[3] + 1e-12 or (abs(y[3] - x[3]) <= 1e-12 and ranks[y[2]] < ranks[x[2]])) for y in own if y is not x)]
+        want = sorted([(a, ranks[kind], b, kind, True) for a, b, kind, _ in base] + [(a, ranks[kind], b, kind, False) for a, b, kind, _ in stays])
+        assert got[k] == [(a, b, kind, is_base) for a, _, b, kind, is_base in want]
+
+
+def test_running_folds_in_blocks(spark):
+    n = 5 * pii.BLOCK + 3
+    df = spark.createDataFrame([(list(range(k)),) for k in (0, 1, pii.BLOCK, n)], "x array<int>")
+    sums = pii.running(F.col("x"), F.lit(0), lambda s, v: F.struct((s + v).alias("state"), (s + v).alias("out")), "int")
+    assert sorted(len(r.s) for r in df.select(sums.alias("s")).collect()) == [0, 1, pii.BLOCK, n]
+    assert all(list(r.s) == np.cumsum(r.x).tolist() for r in df.select("x", sums.alias("s")).collect())
+
+
+def test_filters_pass_columns_whose_names_clash(spark, docs, rows):
+    """The operators' own names, names that need quotes, and what they held."""
+    odd = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1 AS _i", "2 AS _t", "3 AS _gone", "4 AS _key", "5 AS _row", "6 AS `a.b`", "7 AS recipe", "8 AS ids", "9 AS keep_id", "10 AS row", "11 AS rest")
+    bench = spark.createDataFrame([("1", "dup text here now and then")], "item_id string, text string")
+    for out in (exact.drop_copies(odd), language.keep_identified(odd, language.fit(odd)), near.drop_near_copies(odd), decontamination.remove_contaminated(odd, bench)):
+        assert out.columns == odd.columns
+        got = out.collect()
+        assert got and all((r["_i"], r["_t"], r["_gone"], r["_key"], r["_row"], r["a.b"], r.recipe, r.ids, r.keep_id, r.row, r.rest) == tuple(range(1, 12)) for r in got)
+
+
+def test_large_sides_are_shuffled_with_the_same_results(spark, docs, monkeypatch):
+    small = [exact.drop_copies(docs), near.drop_near_copies(docs), near.classes(docs)]
+    want = [Counter(map(str, df.collect())) for df in small]
+    for module in (exact, near, language):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert [Counter(map(str, df.collect())) for df in (exact.drop_copies(docs), near.drop_near_copies(docs), near.classes(docs))] == want
+
+
+def test_substring_ids_must_be_integers(docs):
+    with pytest.raises(ValueError, match="integer"):
+        substrings.remove_repeats(docs.selectExpr("CAST(doc_id AS string) AS doc_id", "text"))
+
+
+def test_executors_need_no_installation(tmp_path):
+    """A driver outside the repository, whose workers can't import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+def absent(_):
+    import importlib.util
+    return [importlib.util.find_spec("stratavane") is None]
+assert all(spark.sparkContext.parallelize([0], 1).mapPartitions(absent).collect())
+from stratavane.llm import registry
+for name in ("op1_minhash_near_dedup", "op2_sentencepiece", "op3_language_id", "op4_token_counts", "op6_decontamination", "op8_token_files", "op10_substring_dedup"):
+    assert registry.queries()[name](spark, {SF!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 def test_license_scan(spark, docs, rows, nothing):
     lines = ["Licensed under CC BY-NC 4.0.", "under the GNU general PUBLIC license", "all rights, reserved; All Rights Reserved", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.", "cc by cc by"]
     data = rows + [(50_000 + k, t) for k, t in enumerate(lines)]
@@ -478,6 +626,8 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in b.collect()} == {r.doc_id for r in a.select("doc_id").subtract(flagged).collect()}
     a, b = by["sentencepiece_encoding"]
     assert b.where("NOT round_trip").count() == 0 and b.count() == a.count()
+    whole = corpus_pipeline.run(spark, SF)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in whole.collect()) == Counter((r.doc_id, tuple(r.ids)) for r in b.collect())
 
 
 def _groups(df):
