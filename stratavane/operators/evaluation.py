@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane.functions import geometry as G
+from stratavane.operators import ordered
 
 #: IoU thresholds of the averaged precision, and the extra one.
 OVERLAPS = [round(0.5 + 0.05 * k, 2) for k in range(9)] + [0.25]
@@ -103,16 +104,12 @@ def average_precision(events: DataFrame, flags: DataFrame, keys: list[str]) -> D
     Precision and recall at each distinct score, one point (1, 0) added at the high end, and each precision
     weighed by half the recall step around it.  Without truth it is NaN; without predictions 0."""
     g = events.groupBy(*keys, "score").agg(F.sum("tp").alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_ctp", F.sum("_tp").over(w)).withColumn("_cn", F.sum("_n").over(w))
-    total = events.groupBy(*keys).agg(F.sum("tp").alias("_all"))
-    g = g.join(total, keys).join(flags, keys)
-    g = g.select(*keys, "score", (F.col("_ctp") / F.col("_cn")).alias("p"), F.when(F.col("_all") + F.col("hard_fn") > 0, F.col("_ctp") / (F.col("_all") + F.col("hard_fn"))).otherwise(0.0).alias("r"))
-    top = g.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("score"), F.lit(1.0).alias("p"), F.lit(0.0).alias("r"))
-    c = g.unionByName(top)
-    o = Window.partitionBy(*keys).orderBy("score")
-    step = 0.5 * (F.coalesce(F.lag("r").over(o), F.col("r")) - F.coalesce(F.lead("r").over(o), F.lit(0.0)))
-    ap = c.withColumn("_s", step).groupBy(*keys).agg(F.sum(F.col("p") * F.col("_s")).alias("_ap"), F.max("r").alias("_rc"))
+    g = ordered.running(g, keys, [F.desc("score")], {"_ctp": F.col("_tp"), "_cn": F.col("_n")}).join(flags.select(*keys, "hard_fn"), keys)
+    # A score's recall step counts half at its own precision and half at that of the next higher score (1 at the high end), which
+    # the running sums without its own rows give.
+    above = F.when(F.col("_cn") > F.col("_n"), (F.col("_ctp") - F.col("_tp")) / (F.col("_cn") - F.col("_n"))).otherwise(1.0)
+    ap = g.groupBy(*keys).agg(F.sum(F.col("_tp") * (F.col("_ctp") / F.col("_cn") + above)).alias("_area"), (F.sum("_tp") + F.max("hard_fn")).alias("_gt"), F.sum("_tp").alias("_all"))
+    ap = ap.select(*keys, F.when(F.col("_gt") > 0, F.col("_area") / 2 / F.col("_gt")).alias("_ap"), F.when(F.col("_gt") > 0, F.col("_all") / F.col("_gt")).alias("_rc"))
     nan = F.lit(float("nan"))
     value = lambda x: F.when(~F.col("has_gt"), nan).when(~F.col("has_pred"), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
     return flags.join(ap, keys, "left").select(*keys, value(F.col("_ap")).alias("ap"), value(F.col("_rc")).alias("recall"))
@@ -215,8 +212,7 @@ def coverage(points: DataFrame, *, scope: str = "scan", gt: str = "gt", pred: st
 
 def tag_precision(scores: DataFrame, tag: str = "tag", score: str = "score", truth: str = "truth", id: str = "id") -> DataFrame:
     """Rank average precision of each tag (0 without positives) over rows by score descending, then id."""
-    w = Window.partitionBy(tag).orderBy(F.desc(score), id)
-    r = scores.withColumn("_n", F.row_number().over(w)).withColumn("_tp", F.sum(truth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = ordered.running(scores.select(tag, score, truth, id), [tag], [F.desc(score), F.col(id)], {"_n": F.lit(1), "_tp": F.col(truth)})
     return r.groupBy(tag).agg(F.coalesce(F.sum(F.when(F.col(truth) == 1, F.col("_tp") / F.col("_n"))) / F.sum(truth), F.lit(0.0)).alias("ap"), F.sum(truth).alias("n_pos"))
 
 
@@ -243,7 +239,7 @@ def losses(df: DataFrame, logit: str, target: str, keys: list[str], alpha: float
 
 
 def smoothed(df: DataFrame, value: str, order: str, window: int = 20, keys: list[str] = ()) -> DataFrame:
-    """Median and mean over the last ``window`` values and the mean of all so far."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    last = w.rowsBetween(1 - window, 0)
-    return df.withColumn("median", F.percentile(value, 0.5).over(last)).withColumn("avg", F.avg(value).over(last)).withColumn("global_avg", F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Median and mean over the last ``window`` values and the mean of all so far, in order of ``order`` within the keys."""
+    n = ordered.running(df, list(keys), [order], {"_n": F.lit(1), "_sum": F.col(value), "_known": F.col(value).isNotNull().cast("int")})
+    out = ordered.framed(n, list(keys), "_n", window, {"median": F.percentile(value, 0.5), "avg": F.avg(value)})
+    return out.withColumn("global_avg", F.when(F.col("_known") > 0, F.col("_sum") / F.col("_known"))).drop("_n", "_sum", "_known")

@@ -7,21 +7,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane.operators import ordered
+
 
 def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str] = (), time: str = "t", left_id: str = "id", right_id: str = "id", tolerance: int, value: str = "match_id") -> DataFrame:
     """Each left row's nearest right row in time within its keys; times are integers (microseconds).
 
     Ties in distance go to the later row, ties in time to the smaller id; a distance of ``tolerance`` or
-    more is no match.  One sort per key over the union of both sides, linear in rows, where a
-    join on an interval would compare pairs."""
+    more is no match.  Both sides are sorted together, which is linear in rows where a join on an interval would compare
+    pairs; a key's time line may go through many tasks (``ordered``)."""
     by = list(by)
     null = F.lit(None).cast(dict(right.dtypes)[right_id])
     l = left.select(*by, F.col(time).alias("_t"), F.col(left_id).alias("_l"), null.alias("_r"))
     r = right.select(*by, F.col(time).alias("_t"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias("_l"), F.col(right_id).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t")
     at = F.when(F.col("_r").isNotNull(), F.struct(F.col("_t").alias("t"), (-F.col("_r")).alias("n")))
     to = F.when(F.col("_r").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_r").alias("n")))
-    u = l.unionByName(r).withColumn("_p", F.max(at).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("_n", F.min(to).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    u = ordered.carry(ordered.dealt(l.unionByName(r), by, ["_t"]), by, {"_before": (F.max, at)}, {"_after": (F.min, to)})
+    w = Window.partitionBy("_part", *by).orderBy("_t")
+    u = u.withColumn("_p", F.coalesce(F.max(at).over(w.rangeBetween(Window.unboundedPreceding, -1)), "_before")).withColumn("_n", F.coalesce(F.min(to).over(w.rangeBetween(0, Window.unboundedFollowing)), "_after"))
     before, after = F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_t")
     previous = F.col("_p").isNotNull() & (F.col("_n").isNull() | (before < after))
     out = u.where(F.col("_l").isNotNull()).select(*by, F.col("_l").alias(left_id), F.when(previous, -F.col("_p.n")).otherwise(F.col("_n.n")).alias(value), F.when(previous, before).otherwise(after).alias("distance"))
