@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratavane.llm import decontamination, exact, language, licenses, near, pieces, pii, substrings, token_counts, token_files
+from stratavane.llm import clustering, conversations, decontamination, exact, language, licenses, mixing, near, pieces, pii, substrings, token_counts, token_files
 
-_MODULES = [near, pieces, language, token_counts, pii, decontamination, exact, token_files, licenses, substrings]
+_MODULES = [near, pieces, language, token_counts, pii, decontamination, exact, token_files, licenses, substrings, mixing, clustering, conversations]
 
 
 def queries() -> dict:
