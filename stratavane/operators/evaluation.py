@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane.functions import geometry as G
-from stratavane.operators import ordered
+from stratavane.operators import boxes, ordered
 
 #: IoU thresholds of the averaged precision, and the extra one.
 OVERLAPS = [round(0.5 + 0.05 * k, 2) for k in range(9)] + [0.25]
@@ -161,10 +161,12 @@ def grouped_report(per_class: DataFrame, groups: DataFrame, columns: list[str] =
 def box_matches(preds: DataFrame, gts: DataFrame, *, low: str = "low", high: str = "high") -> DataFrame:
     """Predictions and instances of a scan and class whose 3D boxes share volume, with both volumes, the shared one and the IoU.
     preds: scan, label_id, pred_id, low and high corners (arrays); gts: scan, label_id, gt_id, low, high."""
-    p = preds.select("scan", "label_id", "pred_id", F.col(low).alias("_pl"), F.col(high).alias("_ph"))
-    g = gts.select("scan", "label_id", "gt_id", F.col(low).alias("_gl"), F.col(high).alias("_gh"))
+    ends = lambda df, p: df.select("*", *[c for k in range(3) for c in (F.get(f"_{p}l", F.lit(k)).alias(f"_{p}l{k}"), F.get(f"_{p}h", F.lit(k)).alias(f"_{p}h{k}"))])
+    p = ends(preds.select("scan", "label_id", "pred_id", F.col(low).alias("_pl"), F.col(high).alias("_ph")), "p")
+    g = ends(gts.select("scan", "label_id", "gt_id", F.col(low).alias("_gl"), F.col(high).alias("_gh")), "g")
+    near = boxes.touching(p, g, ["scan", "label_id"], [(f"_pl{k}", f"_ph{k}") for k in range(3)], [(f"_gl{k}", f"_gh{k}") for k in range(3)])
     shared = G.volume_3d(F.zip_with("_pl", "_gl", lambda x, y: F.greatest(x, y)), F.zip_with("_ph", "_gh", lambda x, y: F.least(x, y)))
-    j = p.join(g, ["scan", "label_id"]).withColumn("inter", shared).where("inter > 0")
+    j = near.withColumn("inter", shared).where("inter > 0")
     j = j.withColumn("n_pred", G.volume_3d(F.col("_pl"), F.col("_ph"))).withColumn("n_gt", G.volume_3d(F.col("_gl"), F.col("_gh")))
     iou = F.col("inter") / (F.col("n_pred") + F.col("n_gt") - F.col("inter"))
     return j.select("scan", "label_id", "pred_id", "gt_id", "inter", "n_pred", "n_gt", iou.alias("iou"))

@@ -181,7 +181,7 @@ def strided(points: DataFrame, *, scope: list[str], id: str = "point_id", stride
 
 def subsample(points: DataFrame, n: int, *, scope: list[str] = (), id: str = "point_id", seed: int = 0) -> DataFrame:
     """At most ``n`` points of each scope, drawn by hash: the same for the same seed, however the data are partitioned."""
-    h = F.xxhash64(F.lit(seed), *scope, id)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*scope, id)]))
     if not scope:
         return points.withColumn("_h", h).orderBy("_h", id).limit(n).drop("_h")
     w = Window.partitionBy(*scope).orderBy(h, id)

@@ -1,19 +1,19 @@
 """Suppression of overlapping boxes and masks.
 
-Greedy suppression of boxes is a fold over each group's sorted boxes (a frame, a class), that of masks is decided over
-the overlapping pairs of a scope; the matrix and pairwise forms are plain joins.  All orders are by score descending, then id.
+Greedy suppression of boxes is a fold over each group's sorted boxes (a frame, a class), that of masks is decided in rounds over
+overlapping pairs; the matrix and pairwise forms are plain joins.  All orders are by score descending, then id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane import storage
 from stratavane.functions import geometry as G
-from stratavane.operators import masks
+from stratavane.operators import boxes, masks
 
 
 def greedy_box_nms(df: DataFrame, keys: list[str], threshold: float, *, id: str = "box_id", score: str = "score", plus: float = 0.0, keep_equal: bool = True) -> DataFrame:
@@ -50,62 +50,70 @@ def batched_box_nms(df: DataFrame, keys: list[str], category: str, threshold: fl
 
 def pairwise_box_nms(df: DataFrame, keys: list[str], threshold: float, *, id: str = "box_id", score: str = "score") -> DataFrame:
     """Rows that overlap no better row by more than the threshold, whether or not that row survives."""
-    side = lambda p: df.select(*keys, *[F.col(c).alias(p + c) for c in (id, score, "x1", "y1", "x2", "y2")])
-    a, b = side("a_"), side("b_")
-    box = lambda p: G.box(*[F.col(p + c) for c in ("x1", "y1", "x2", "y2")])
+    keys, corners = list(keys), ("x1", "y1", "x2", "y2")
+    side = lambda p: df.select(*keys, *[F.col(c).alias(p + c) for c in (id, score, *corners)])
+    box = lambda p: G.box(*[F.col(p + c) for c in corners])
+    ends = lambda p: [(p + "x1", p + "x2"), (p + "y1", p + "y2")]
     better = (F.col(f"b_{score}") > F.col(f"a_{score}")) | ((F.col(f"b_{score}") == F.col(f"a_{score}")) & (F.col(f"b_{id}") < F.col(f"a_{id}")))
-    touch = (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))
-    gone = a.join(b, keys).where(better & touch).withColumn("_a", box("a_")).withColumn("_b", box("b_")).where(G.iou(F.col("_a"), F.col("_b")) > threshold)
+    near = boxes.touching(side("a_"), side("b_"), keys, ends("a_"), ends("b_"), same=True)
+    gone = near.where(better).withColumn("_a", box("a_")).withColumn("_b", box("b_")).where(G.iou(F.col("_a"), F.col("_b")) > threshold)
     return df.join(gone.select(*keys, F.col(f"a_{id}").alias(id)).distinct(), [*keys, id], "left_anti")
 
 
-def _greedy_pairs(info: DataFrame, pairs: DataFrame, scope: list[str], threshold: float, same_class: str | None, merge: bool) -> DataFrame:
-    """Greedy decision over an edge list: each group's rows and edges are streamed together."""
-    cols = [*scope, "inst_id", "score", *([same_class] if same_class else [])]
-    edges = pairs.where(F.col("iou") > threshold)
-    part = F.array_sort(F.collect_list(F.struct(F.col("score"), F.col("inst_id"), *([F.col(same_class).alias("cls")] if same_class else [F.lit(0).alias("cls")]))))
-    rows = info.select(*cols).groupBy(*scope).agg(part.alias("rows"))
-    near = edges.groupBy(*scope).agg(F.collect_list(F.struct("a", "b")).alias("edges"))
-    schema = ", ".join(f"{c} {dict(info.dtypes)[c]}" for c in scope) + (", " if scope else "") + f"inst_id {dict(info.dtypes)['inst_id']}, kept_by {dict(info.dtypes)['inst_id']}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            out = []
-            for r in g.itertuples(index=False):
-                d = r._asdict()
-                items = sorted(({"s": x["score"], "i": x["inst_id"], "c": x["cls"]} for x in d["rows"]), key=lambda x: (-x["s"], x["i"]))
-                cls = {x["i"]: x["c"] for x in items}
-                near_of: dict = {}
-                for e in d["edges"] if d["edges"] is not None else []:
-                    near_of.setdefault(e["a"], []).append(e["b"])
-                    near_of.setdefault(e["b"], []).append(e["a"])
-                by: dict = {}
-                for x in items:
-                    if x["i"] in by:
-                        continue
-                    by[x["i"]] = x["i"]
-                    for o in near_of.get(x["i"], []):
-                        if o not in by and cls[o] == x["c"]:
-                            by[o] = x["i"]
-                out += [tuple(d[c] for c in scope) + (i, k) for i, k in by.items() if merge or i == k]
-            yield pd.DataFrame(out, columns=[*scope, "inst_id", "kept_by"])
-
-    joined = rows.join(near, scope, "left") if scope else rows.join(near)
-    return joined.mapInPandas(run, schema)
+def by_rounds(rows: DataFrame, edges: DataFrame, keys: list[str], *, id: str = "inst_id", score: str = "score") -> DataFrame:
+    """Greedy suppression over an edge table: keys, id and ``kept_by``, the row itself for one that stays, else the best row that stays
+    among its better neighbours.
+
+    rows: keys, id, score; edges: keys, a, b (each unordered pair once), ids that exclude each other.  Rows are in order of score
+    descending (null and NaN last), then id.  In each round the rows whose better neighbours are all decided stay unless one of those
+    has stayed, which decides their worse neighbours; edges with a decided end go.  Rounds follow the longest chain of
+    rows that wait for each other; each is joins and grouped minima, and its edges are written to the shared folder."""
+    keys = list(keys)
+    last = lambda s: F.coalesce(-s.cast("double"), F.lit(float("nan")))
+    place = rows.select(*keys, F.col(id).alias("_i"), F.struct(last(F.col(score)).alias("s"), F.col(id).alias("i")).alias("_o"))
+    end = lambda to: place.select(*keys, F.col("_i").alias(to), F.col("_o").alias(f"_{to}"))
+    both = edges.select(*keys, "a", "b").join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"]).where("_a.i <> _b.i")
+    up = F.col("_a") < F.col("_b")
+    # hi is better than lo
+    open_ = storage.stage(both.select(*keys, F.when(up, F.col("_a")).otherwise(F.col("_b")).alias("hi"), F.when(up, F.col("_b")).otherwise(F.col("_a")).alias("lo")).distinct(), "edges")
+    every, struck = open_, []
+    while not open_.isEmpty():
+        waits = open_.select(*keys, F.col("lo").alias("hi")).distinct()
+        stay = open_.select(*keys, "hi").distinct().join(waits, [*keys, "hi"], "left_anti")
+        hit = storage.stage(open_.join(stay, [*keys, "hi"]).select(*keys, "lo").distinct(), "struck")
+        struck.append(hit)
+        decided = hit.withColumnRenamed("lo", "hi").unionByName(stay)
+        left = open_.join(decided, [*keys, "hi"], "left_anti").join(hit, [*keys, "lo"], "left_anti")
+        before, open_ = open_, storage.stage(left, "edges")
+        if before is not every:
+            storage.release(before)
+    out = place.select(*keys, F.col("_i").alias(id), F.col("_o").alias("lo"))
+    if not struck:
+        return out.select(*keys, id, F.col(id).alias("kept_by"))
+    all_ = reduce(DataFrame.unionByName, struck)
+    by = every.join(all_.withColumnRenamed("lo", "hi"), [*keys, "hi"], "left_anti").groupBy(*keys, "lo").agg(F.min("hi").alias("by"))
+    return out.join(by, [*keys, "lo"], "left").select(*keys, id, F.coalesce(F.col("by.i"), F.col(id)).alias("kept_by"))
+
+
+def _mask_rounds(inst: DataFrame, info: DataFrame, threshold: float, scope: list[str], element: str, same_class: str | None) -> DataFrame:
+    if same_class:  # masks of other classes never meet
+        inst = inst.join(info.select(*scope, "inst_id", same_class), [*scope, "inst_id"])
+    keys = [*scope, *([same_class] if same_class else [])]
+    pairs = masks.overlaps(inst, element=element, scope=keys, eps=0.0)
+    return by_rounds(info, pairs.where(F.col("iou") > threshold), keys).select(*scope, "inst_id", "kept_by")
 
 
 def greedy_mask_nms(inst: DataFrame, info: DataFrame, threshold: float, *, scope: list[str] = (), element: str = "point_id", same_class: str | None = None) -> DataFrame:
     """Masks (inst_id, score) that survive; a mask goes if it overlaps a surviving better one (of its
-    class, if ``same_class`` names that column) by more than the threshold.  Only overlapping pairs
-    are compared; one scope's decision is one task."""
-    pairs = masks.overlaps(inst, element=element, scope=list(scope), eps=0.0)
-    return _greedy_pairs(info, pairs, list(scope), threshold, same_class, False).drop("kept_by")
+    class, if ``same_class`` names that column) by more than the threshold.  Only overlapping pairs are
+    compared, and decided in rounds."""
+    return _mask_rounds(inst, info, threshold, list(scope), element, same_class).where("inst_id = kept_by").drop("kept_by")
 
 
 def nms_and_merge(inst: DataFrame, info: DataFrame, threshold: float, *, scope: list[str] = (), element: str = "point_id", same_class: str | None = None) -> DataFrame:
     """Surviving masks with the elements that at least half of the masks they stand for have."""
     scope = list(scope)
-    by = _greedy_pairs(info, masks.overlaps(inst, element=element, scope=scope, eps=0.0), scope, threshold, same_class, True)
+    by = _mask_rounds(inst, info, threshold, scope, element, same_class)
     size = by.groupBy(*scope, "kept_by").agg(F.count(F.lit(1)).alias("_m"))
     votes = inst.join(by, [*scope, "inst_id"]).groupBy(*scope, "kept_by", element).agg(F.countDistinct("inst_id").alias("_v"))
     return votes.join(size, [*scope, "kept_by"]).where(F.col("_v") * 2 >= F.col("_m")).select(*scope, F.col("kept_by").alias("inst_id"), element)

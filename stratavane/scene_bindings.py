@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratavane.bindings import _B, _E, _boxes, _r, _read, query
+from stratavane.bindings import _B, _BP, _E, _boxes, _r, _read, query
 from stratavane.functions import geometry as G
 from stratavane.functions import text as X
-from stratavane.operators import evaluation, labels, masks, matching, spatial, suppression
+from stratavane.operators import boxes, evaluation, labels, masks, matching, spatial, suppression
 from stratavane.streaming import incremental
 
 # --- points, pixels, frames --------------------------------------------------------------------------
 
 _MAP = """mp AS (SELECT DISTINCT l_returnflag AS s, l_linenumber AS f, l_partkey AS p, (l_partkey % 12)::INT AS r, (l_partkey // 12 % 12)::INT AS c FROM lineitem),
-px AS (SELECT DISTINCT l_returnflag AS s, l_linenumber AS f, l_suppkey % 20 AS k, (l_partkey % 11)::INT AS r, (l_orderkey % 12)::INT AS c FROM lineitem WHERE l_orderkey % 3 = 0)"""
+px AS (SELECT DISTINCT l_returnflag AS s, l_linenumber AS f, l_suppkey % 20 AS k, (l_partkey % 11)::INT AS r, (l_orderkey % 12)::INT AS c FROM lineitem)"""
 _HIT = f"{_MAP}, hit AS (SELECT DISTINCT mp.s, mp.f, px.k, mp.p FROM mp JOIN px ON mp.s = px.s AND mp.f = px.f AND mp.r = px.r AND mp.c = px.c)"
 
 
@@ -27,7 +27,7 @@ def _mapping(spark, sf):
 
 
 def _pixels(spark, sf):
-    return _read(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_returnflag").alias("scene_id"), F.col("l_linenumber").alias("frame_id"), (F.col("l_suppkey") % 20).alias("mask_id"), (F.col("l_partkey") % 11).cast("int").alias("row"), (F.col("l_orderkey") % 12).cast("int").alias("col")).distinct()
+    return _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scene_id"), F.col("l_linenumber").alias("frame_id"), (F.col("l_suppkey") % 20).alias("mask_id"), (F.col("l_partkey") % 11).cast("int").alias("row"), (F.col("l_orderkey") % 12).cast("int").alias("col")).distinct()
 
 
 def _hits(spark, sf):
@@ -121,10 +121,10 @@ def superpoint_vote(spark, sf):
     return labels.superpoint_vote(pts, _superpoints(spark, sf)).select("scene_id", "spp", "label", _r("share", 9), _r("mean_score", 9))
 
 
-@query(f"WITH {_E} SELECT label, i - 1 AS pos, round(avg(v), 9) AS v FROM e WHERE vec_id % 3 = 0 GROUP BY 1, 2")
+@query(f"WITH {_E} SELECT label, i - 1 AS pos, round(avg(v), 9) AS v FROM e GROUP BY 1, 2")
 def mean_features(spark, sf):
     """Unweighted mean features."""
-    e = _read(spark, sf, "embeddings").where("vec_id % 3 = 0")
+    e = _read(spark, sf, "embeddings")
     return labels.mean_features(e, keys=["label"], vector="embedding").select("label", F.posexplode("embedding").alias("pos", "v")).select("label", "pos", _r("v", 9))
 
 
@@ -140,54 +140,70 @@ def nearest_class(spark, sf):
 
 # --- suppression of masks, detections ----------------------------------------------------------------
 
-_INST = """m AS (SELECT DISTINCT l_returnflag AS s, l_suppkey % 24 AS i, l_partkey % 60 + (l_suppkey % 24) // 4 * 30 AS p FROM lineitem WHERE l_orderkey % 5 = 0),
+_INST = """m AS (SELECT DISTINCT l_returnflag AS s, l_suppkey AS i, l_partkey % 97 + l_suppkey // 4 * 48 AS p FROM lineitem),
 n AS (SELECT s, i, count(*) AS n, i * 5 % 24 AS score, i % 2 AS cls FROM m GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, i) AS k FROM n),
 x AS (SELECT a.s, a.i AS a, b.i AS b, count(*) AS x FROM m a JOIN m b ON a.s = b.s AND a.p = b.p AND a.i <> b.i GROUP BY 1, 2, 3),
-near AS (SELECT x.s, ra.k AS better, rb.k, ra.cls = rb.cls AS same FROM x JOIN rk ra ON ra.s = x.s AND ra.i = a JOIN rk rb ON rb.s = x.s AND rb.i = b WHERE ra.k < rb.k AND x.x / (ra.n + rb.n - x.x) > 0.4)"""
+near AS (SELECT x.s, ra.k AS better, rb.k, ra.cls = rb.cls AS same FROM x JOIN rk ra ON ra.s = x.s AND ra.i = a JOIN rk rb ON rb.s = x.s AND rb.i = b WHERE ra.k < rb.k AND x.x / (ra.n + rb.n - x.x) > 0.29)"""
 
 
 def _instances(spark, sf):
-    i = F.col("l_suppkey") % 24
-    inst = _read(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_returnflag").alias("scene_id"), i.alias("inst_id"), (F.col("l_partkey") % 60 + F.floor(i / 4) * 30).alias("point_id")).distinct()
+    i = F.col("l_suppkey")
+    inst = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scene_id"), i.alias("inst_id"), (F.col("l_partkey") % 97 + F.floor(i / 4) * 48).alias("point_id")).distinct()
     info = inst.select("scene_id", "inst_id").distinct().withColumn("score", (F.col("inst_id") * 5 % 24).cast("double")).withColumn("class_id", F.col("inst_id") % 2)
     return inst, info
 
 
-def _mask_nms_sql(same: str) -> str:
-    return f"""WITH RECURSIVE {_INST}, ov AS (SELECT s, k, bit_or(1::BIGINT << better::INT) AS mask FROM near WHERE true {same} GROUP BY 1, 2), bo AS (SELECT rk.s, rk.k, rk.i, coalesce(mask, 0) AS mask FROM rk LEFT JOIN ov ON ov.s = rk.s AND ov.k = rk.k),
-st(s, k, i, kept) AS (SELECT DISTINCT s, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM rk UNION ALL SELECT bo.s, bo.k, bo.i, CASE WHEN kept & mask = 0 THEN kept | (1::BIGINT << bo.k::INT) ELSE kept END FROM st JOIN bo ON bo.s = st.s AND bo.k = st.k + 1)
-SELECT s AS scene_id, i AS inst_id FROM st WHERE k > 0 AND kept & (1::BIGINT << k::INT) <> 0"""
+def _kept_sql(same: str) -> str:
+    """The rows in order, one after another: each stays unless a better neighbour is among those kept so far."""
+    return f"""{_INST}, ov AS (SELECT s, k, list(better) AS over FROM near WHERE true {same} GROUP BY 1, 2), bo AS MATERIALIZED (SELECT rk.s, rk.k, rk.i, coalesce(over, []) AS over FROM rk LEFT JOIN ov ON ov.s = rk.s AND ov.k = rk.k),
+st(s, k, i, kept) AS (SELECT DISTINCT s, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM rk UNION ALL SELECT bo.s, bo.k, bo.i, CASE WHEN list_has_any(kept, over) THEN kept ELSE list_append(kept, bo.k) END FROM st JOIN bo ON bo.s = st.s AND bo.k = st.k + 1),
+kept AS (SELECT s, k, i FROM st WHERE k > 0 AND list_contains(kept, k))"""
 
 
-@query(_mask_nms_sql(""))
+@query(f"WITH RECURSIVE {_kept_sql('')} SELECT s AS scene_id, i AS inst_id FROM kept")
 def mask_nms(spark, sf):
     """Greedy suppression of overlapping masks."""
     inst, info = _instances(spark, sf)
-    return suppression.suppress("greedy", inst, info, 0.4, scope=["scene_id"]).select("scene_id", "inst_id")
+    return suppression.suppress("greedy", inst, info, 0.29, scope=["scene_id"]).select("scene_id", "inst_id")
 
 
-@query(_mask_nms_sql("AND same"))
+@query(f"WITH RECURSIVE {_kept_sql('AND same')} SELECT s AS scene_id, i AS inst_id FROM kept")
 def class_mask_nms(spark, sf):
     """Greedy suppression of masks within their class."""
     inst, info = _instances(spark, sf)
-    return suppression.suppress("class", inst, info, 0.4, scope=["scene_id"]).select("scene_id", "inst_id")
+    return suppression.suppress("class", inst, info, 0.29, scope=["scene_id"]).select("scene_id", "inst_id")
+
+
+@query(f"""WITH RECURSIVE {_kept_sql('')}, own AS (SELECT rk.s, rk.i, coalesce(min(kept.k), any_value(rk.k)) AS k FROM rk LEFT JOIN near ON near.s = rk.s AND near.k = rk.k LEFT JOIN kept ON kept.s = rk.s AND kept.k = near.better GROUP BY 1, 2),
+own2 AS (SELECT own.s, own.i, rk.i AS w FROM own JOIN rk ON rk.s = own.s AND rk.k = own.k), c AS (SELECT s, w, count(*) AS c FROM own2 GROUP BY 1, 2),
+v AS (SELECT m.s, w, p, count(*) AS v FROM m JOIN own2 ON own2.s = m.s AND own2.i = m.i GROUP BY 1, 2, 3)
+SELECT v.s AS scene_id, v.w AS inst_id, count(*) AS n, sum(p)::BIGINT AS points FROM v JOIN c ON c.s = v.s AND c.w = v.w WHERE 2 * v >= c GROUP BY 1, 2""")
+def nms_and_merge(spark, sf):
+    """Surviving masks with the points that half of the masks they stand for have."""
+    inst, info = _instances(spark, sf)
+    out = suppression.suppress("merge", inst, info, 0.29, scope=["scene_id"])
+    return out.groupBy("scene_id", "inst_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("points"))
 
 
-@query(f"""WITH {_B}, t AS (SELECT f, id, score, x1, row_number() OVER (PARTITION BY f ORDER BY score DESC, id) AS r FROM bx WHERE score > 20000) SELECT f, id AS box_id, x1 FROM t WHERE r <= 2""")
+# of a frame's boxes, the first 3 by score that pass the filter, then greedily those that overlap no kept one by more than 0.3, the best two of them
+@query(f"""WITH {_BP}, t AS (SELECT f, id, score, x1, row_number() OVER (PARTITION BY f ORDER BY score DESC, id) AS r FROM bx WHERE score > 20000 QUALIFY r <= 3),
+o AS (SELECT f, a, b FROM pr WHERE i / (sa + sb - i) > 0.3), u AS (SELECT t.*, (SELECT list(x.r) FROM t x JOIN o ON o.f = x.f AND o.a = x.id WHERE x.f = t.f AND o.b = t.id AND x.r < t.r) AS over FROM t),
+k AS (SELECT *, CASE WHEN r = 1 THEN true WHEN r = 2 THEN over IS NULL ELSE NOT list_contains(coalesce(over, []), 1) AND (NOT list_contains(coalesce(over, []), 2) OR (SELECT y.over IS NOT NULL FROM u y WHERE y.f = u.f AND y.r = 2)) END AS kept FROM u)
+SELECT f, id AS box_id, x1 FROM k WHERE kept QUALIFY row_number() OVER (PARTITION BY f ORDER BY r) <= 2""")
 def detection_selection(spark, sf):
-    """Score filter and the best boxes of a frame."""
-    out = suppression.select_detections(_boxes(spark, sf), ["f"], least=20000, nms_pre=3, keep=2, threshold=None)
+    """Score filter, the best boxes of a frame, suppression among them, and the best that are left."""
+    out = suppression.select_detections(_boxes(spark, sf), ["f"], least=20000, nms_pre=3, keep=2, threshold=0.3)
     return out.select("f", "box_id", "x1")
 
 
 @query(f"""WITH {_B}, l AS (SELECT f, id, cls, (score - 30000) / 10000 AS z, x1, y1, x2, y2 FROM bx), p AS (SELECT *, 1 / (1 + exp(-z)) AS score FROM l), k AS (SELECT * FROM p WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY f ORDER BY score DESC, id, cls) <= 3)
-SELECT f, id AS box_id, round(score, 9) AS score, least(greatest(x1 / 2, 0), 20 + f % 9)::DOUBLE AS x1, least(greatest(y2 / 0.5, 0), 100)::DOUBLE AS y2 FROM k""")
+SELECT f, id AS box_id, round(score, 9) AS score, least(greatest(x1 / 2, 0), 20 + f % 9)::DOUBLE AS x1, least(greatest(y1 / 0.5, 0), 100)::DOUBLE AS y1, least(greatest(x2 / 2, 0), 20 + f % 9)::DOUBLE AS x2, least(greatest(y2 / 0.5, 0), 100)::DOUBLE AS y2 FROM k""")
 def head_decode(spark, sf):
     """A detector head's logits and boxes as detections."""
     raw = _boxes(spark, sf).withColumn("logit", (F.col("score") - 30000) / 10000).drop("score")
     sizes = raw.select("f").distinct().select("f", (20 + F.col("f") % 9).alias("width"), F.lit(100).alias("height"))
     out = suppression.decode_head(raw, keys=["f"], sizes=sizes, least=0.3, nms_pre=3, scale=(2.0, 0.5))
-    return out.select("f", "box_id", _r("score", 9), "x1", "y2")
+    return out.select("f", "box_id", _r("score", 9), "x1", "y1", "x2", "y2")
 
 
 # --- boxes, crops, cameras ---------------------------------------------------------------------------
@@ -210,11 +226,11 @@ def grid_points(spark, sf):
     return _read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.explode(spatial.grid_points(4)).alias("g")).select("id", F.round("g.x", 9).alias("x"), F.round("g.y", 9).alias("y"))
 
 
-@query(f"WITH {_B} SELECT f, id AS box_id, round(x1 + f % 100, 6) AS x1, round(y2 + f % 50, 6) AS y2 FROM bx")
+@query(f"WITH {_B} SELECT f, id AS box_id, round(x1 + f % 100, 6) AS x1, round(y1 + f % 50, 6) AS y1, round(x2 + f % 100, 6) AS x2, round(y2 + f % 50, 6) AS y2 FROM bx")
 def uncropped(spark, sf):
     """Boxes of crops in the image's frame."""
     b = G.uncrop(F.struct("x1", "y1", "x2", "y2"), F.col("f") % 100, F.col("f") % 50)
-    return _boxes(spark, sf).withColumn("b", b).select("f", "box_id", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
+    return _boxes(spark, sf).withColumn("b", b).select("f", "box_id", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("""SELECT p_partkey AS id, round((500 + p_size) * (floor(240 * 640 / 480) / 640), 6) AS fx, round((510 + p_size) * 240 / 480, 6) AS fy, round((320 + p_size) * 319 / 639.0, 6) AS cx, round((240 + p_size) * 239 / 479.0, 6) AS cy FROM part""")
@@ -244,16 +260,16 @@ def depth_tests(spark, sf):
     return p.select("id", G.depth_agrees(d, z, 1.0).alias("near"), G.depth_agrees(d, z, 0.05, relative=True).alias("relative"), G.visible(d, z, 0.5).alias("seen"))
 
 
-_B3 = """b AS (SELECT c_custkey AS id, c_nationkey AS scan, c_custkey % 3 AS label, (c_custkey % 17)::DOUBLE AS x, (c_custkey % 11)::DOUBLE AS y, (c_custkey % 7)::DOUBLE AS z, (1 + c_custkey % 5)::DOUBLE AS e FROM customer WHERE c_custkey <= 3000),
+_B3 = """b AS (SELECT c_custkey AS id, c_nationkey AS scan, c_custkey % 3 AS label, (c_custkey % 17)::DOUBLE AS x, (c_custkey % 11)::DOUBLE AS y, (c_custkey % 7)::DOUBLE AS z, (1 + c_custkey % 5)::DOUBLE AS e FROM customer),
 pr AS (SELECT * FROM b WHERE id % 2 = 0), gt AS (SELECT * FROM b WHERE id % 2 = 1),
 j AS (SELECT p.scan, p.label, p.id AS pred_id, g.id AS gt_id, greatest(least(p.x + p.e, g.x + g.e) - greatest(p.x, g.x), 0) * greatest(least(p.y + p.e, g.y + g.e) - greatest(p.y, g.y), 0) * greatest(least(p.z + p.e, g.z + g.e) - greatest(p.z, g.z), 0) AS i,
-  p.e ** 3 AS pv, g.e ** 3 AS gv, (greatest(p.x + p.e, g.x + g.e) - least(p.x, g.x)) * (greatest(p.y + p.e, g.y + g.e) - least(p.y, g.y)) * (greatest(p.z + p.e, g.z + g.e) - least(p.z, g.z)) AS hull FROM pr p JOIN gt g ON g.scan = p.scan AND g.label = p.label)"""
+  p.x <= g.x + g.e AND g.x <= p.x + p.e AND p.y <= g.y + g.e AND g.y <= p.y + p.e AND p.z <= g.z + g.e AND g.z <= p.z + p.e AS touch, p.e ** 3 AS pv, g.e ** 3 AS gv, (greatest(p.x + p.e, g.x + g.e) - least(p.x, g.x)) * (greatest(p.y + p.e, g.y + g.e) - least(p.y, g.y)) * (greatest(p.z + p.e, g.z + g.e) - least(p.z, g.z)) AS hull FROM pr p JOIN gt g ON g.scan = p.scan AND g.label = p.label)"""
 
 
 def _boxes_3d(spark, sf):
     k = F.col("c_custkey")
     corner = [k % 17, k % 11, k % 7]
-    c = _read(spark, sf, "customer").where("c_custkey <= 3000").withColumn("e", 1 + k % 5)
+    c = _read(spark, sf, "customer").withColumn("e", 1 + k % 5)
     b = c.select(F.col("c_nationkey").alias("scan"), (k % 3).alias("label_id"), k.alias("id"), _vector(*corner).alias("low"), _vector(*[x + F.col("e") for x in corner]).alias("high"))
     return b.where("id % 2 = 0").withColumnRenamed("id", "pred_id"), b.where("id % 2 = 1").withColumnRenamed("id", "gt_id")
 
@@ -264,12 +280,14 @@ def box_matches(spark, sf):
     return evaluation.box_matches(*_boxes_3d(spark, sf)).select("scan", "label_id", "pred_id", "gt_id", "inter", _r("iou", 9))
 
 
-@query(f"WITH {_B3} SELECT pred_id, gt_id, round(i / (pv + gv - i + 1e-6), 9) AS iou, round(i / (pv + gv - i + 1e-6) - (hull - (pv + gv - i)) / (hull + 1e-6), 9) AS giou FROM j WHERE pred_id % 10 = 0")
+@query(f"WITH {_B3} SELECT pred_id, gt_id, round(i / (pv + gv - i + 1e-6), 9) AS iou, round(i / (pv + gv - i + 1e-6) - (hull - (pv + gv - i)) / (hull + 1e-6), 9) AS giou FROM j WHERE touch")
 def box_giou_3d(spark, sf):
-    """IoU and generalised IoU of 3D boxes."""
+    """IoU and generalised IoU of 3D boxes that touch."""
     p, g = _boxes_3d(spark, sf)
-    j = p.where("pred_id % 10 = 0").join(g.select("scan", "label_id", "gt_id", F.col("low").alias("gl"), F.col("high").alias("gh")), ["scan", "label_id"])
-    args = [F.col(c) for c in ("low", "high", "gl", "gh")]
+    ends = lambda df, i, n: df.select("scan", "label_id", i, *[F.get(c, F.lit(k)).alias(f"{n}{c}{k}") for k in range(3) for c in ("low", "high")])
+    axes = lambda n: [(f"{n}low{k}", f"{n}high{k}") for k in range(3)]
+    j = boxes.touching(ends(p, "pred_id", "p"), ends(g, "gt_id", "g"), ["scan", "label_id"], axes("p"), axes("g"))
+    args = [F.array(*[n + c + str(k) for k in range(3)]) for n in "pg" for c in ("low", "high")]
     return j.select("pred_id", "gt_id", F.round(G.iou_3d(*args), 9).alias("iou"), F.round(G.giou_3d(*args), 9).alias("giou"))
 
 
@@ -292,10 +310,10 @@ def _aps(spark, sf):
     return a.withColumn("ap", F.when(F.col("label_id") == 4, F.lit(float("nan"))).otherwise(F.col("ap")))
 
 
-@query(f"WITH {_APS} SELECT label_id, round(avg(ap) FILTER (overlap <> 0.25), 9) AS ap, round(max(ap) FILTER (overlap = 0.5), 9) AS ap50, round(max(ap) FILTER (overlap = 0.25), 9) AS ap25, round(avg(recall) FILTER (overlap <> 0.25), 9) AS rc FROM a WHERE label_id <> 4 GROUP BY 1")
+@query(f"WITH {_APS} SELECT label_id, coalesce(round(avg(nullif(ap, 'nan')) FILTER (overlap <> 0.25), 9), -1) AS ap, coalesce(round(max(nullif(ap, 'nan')) FILTER (overlap = 0.5), 9), -1) AS ap50, coalesce(round(max(nullif(ap, 'nan')) FILTER (overlap = 0.25), 9), -1) AS ap25, round(avg(recall) FILTER (overlap <> 0.25), 9) AS rc FROM a GROUP BY 1")
 def ap_averages(spark, sf):
-    """Mean precision by class."""
-    return evaluation.averages(_aps(spark, sf)).where("label_id <> 4").select("label_id", *[_r(c, 9) for c in ("ap", "ap50", "ap25", "rc")])
+    """Mean precision by class; -1 for a class without truth (NaN)."""
+    return evaluation.averages(_aps(spark, sf)).select("label_id", *[F.when(F.isnan(c), -1.0).otherwise(F.round(c, 9)).alias(c) for c in ("ap", "ap50", "ap25")], _r("rc", 9))
 
 
 @query(f"WITH {_APS}, c AS (SELECT label_id, avg(ap) FILTER (overlap <> 0.25) AS ap, max(ap) FILTER (overlap = 0.5) AS ap50 FROM a WHERE label_id <> 4 GROUP BY 1) SELECT round(avg(ap), 9) AS ap, round(avg(ap50), 9) AS ap50 FROM c")
@@ -327,11 +345,11 @@ def group_recall(spark, sf):
     return evaluation.group_recall(hits, c, groups, 0.5).select("grp", _r("recall", 9))
 
 
-@query("""WITH v AS (SELECT vec_id, unnest(embedding[1:4])::DOUBLE AS x, generate_subscripts(embedding[1:4], 1) AS i FROM embeddings) SELECT vec_id AS image_id, string_agg('t' || (i - 1), ' | ' ORDER BY i) AS tags FROM v WHERE 1 / (1 + exp(-x)) > 0.45 + 0.03 * (i - 1) GROUP BY 1""")
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id AS image_id, string_agg('t' || (i - 1), ' | ' ORDER BY i) AS tags FROM v WHERE 1 / (1 + exp(-x)) > 0.45 + 0.003 * (i - 1) GROUP BY 1""")
 def tags_above(spark, sf):
     """Tags above their own thresholds."""
-    e = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.slice("embedding", 1, 4).alias("logits"))
-    return labels.tags_above(e, spark.createDataFrame([(k, f"t{k}", 0.45 + 0.03 * k) for k in range(4)], "idx int, tag string, threshold double"))
+    e = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("logits"))
+    return labels.tags_above(e, spark.createDataFrame([(k, f"t{k}", 0.45 + 0.003 * k) for k in range(64)], "idx int, tag string, threshold double"))
 
 
 @query("SELECT vec_id AS id, (vec_id * 7 // 5)::BIGINT AS inst, (vec_id * 7 % 5)::BIGINT AS cls FROM embeddings")
@@ -344,18 +362,18 @@ def unflattened(spark, sf):
 # --- points and voxels, names, lookups ---------------------------------------------------------------
 
 
-@query("SELECT floor(l_quantity / 5)::BIGINT AS vx, l_linenumber::BIGINT AS vy, l_suppkey % 3 AS vz, count(*) AS n, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS members FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2, 3")
+@query("SELECT floor(l_quantity / 5)::BIGINT AS vx, l_linenumber::BIGINT AS vy, l_suppkey % 3 AS vz, count(*) AS n, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS members FROM lineitem GROUP BY 1, 2, 3")
 def voxel_members(spark, sf):
     """The points of each voxel."""
-    l = _read(spark, sf, "lineitem").where("l_orderkey <= 2000").select((F.col("l_quantity") / 5).alias("x"), F.col("l_linenumber").cast("double").alias("y"), (F.col("l_suppkey") % 3).cast("double").alias("z"), F.col("l_orderkey").alias("point_id"))
+    l = _read(spark, sf, "lineitem").select((F.col("l_quantity") / 5).alias("x"), F.col("l_linenumber").cast("double").alias("y"), (F.col("l_suppkey") % 3).cast("double").alias("z"), F.col("l_orderkey").alias("point_id"))
     return spatial.voxelize(l, 1.0, members="members").withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 
-@query("SELECT l_returnflag AS scene_id, least(count(*), 100) AS n FROM lineitem GROUP BY 1")
+@query("WITH l AS (SELECT l_returnflag AS scene_id, l_orderkey * 8 + l_linenumber AS point_id FROM lineitem) SELECT scene_id, point_id FROM l QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY md5('3:' || scene_id || ':' || point_id), point_id) <= 100")
 def subsampled(spark, sf):
-    """How many points a sample of at most a hundred a scene has."""
-    l = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scene_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("point_id"))
-    return spatial.subsample(l, 100, scope=["scene_id"], seed=3).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    """A sample of at most a hundred points of each scene."""
+    l = _read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scene_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"))
+    return spatial.subsample(l, 100, scope=["scene_id"], seed=3)
 
 
 @query("""SELECT p_partkey AS id, lower(replace(replace(p_name, '_', ' '), '/', ' or ')) AS name, CASE WHEN lower(p_name[1]) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END AS article, contains(p_type, p_name) OR contains(p_name, p_type) AS same,
@@ -366,12 +384,12 @@ def processed_names(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), X.processed_name(F.col("p_name")).alias("name"), X.article(F.col("p_name")).alias("article"), X.matches_class(F.col("p_type"), F.col("p_name")).alias("same"), X.numbered(F.col("p_brand"), F.col("p_partkey") % 1000).alias("numbered"))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS id, round((o_orderkey % 900) / 1000.0, 3) AS t FROM orders), r AS (SELECT (p_partkey * 3)::BIGINT AS ms, max(p_size) AS v FROM part WHERE p_partkey * 3 < 900 GROUP BY 1)
+@query("""WITH l AS (SELECT o_orderkey AS id, round((o_orderkey % 60000) / 1000.0, 3) AS t FROM orders), r AS (SELECT (p_partkey * 3)::BIGINT AS ms, max(p_size) AS v FROM part GROUP BY 1)
 SELECT l.id, coalesce(a.v, b.v, c.v) AS v FROM l LEFT JOIN r a ON a.ms = round(l.t * 1000)::BIGINT LEFT JOIN r b ON b.ms = round((l.t - 0.001) * 1000)::BIGINT LEFT JOIN r c ON c.ms = round((l.t + 0.001) * 1000)::BIGINT""")
 def lookup_with_fallback(spark, sf):
     """A lookup by time in thousandths, then by the neighbours."""
-    left = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round((F.col("o_orderkey") % 900) / 1000.0, 3).alias("t"))
-    right = _read(spark, sf, "part").where("p_partkey * 3 < 900").groupBy((F.col("p_partkey") * 3 / 1000.0).alias("t")).agg(F.max("p_size").alias("v"))
+    left = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round((F.col("o_orderkey") % 60000) / 1000.0, 3).alias("t"))
+    right = _read(spark, sf, "part").groupBy((F.col("p_partkey") * 3 / 1000.0).alias("t")).agg(F.max("p_size").alias("v"))
     return matching.with_fallback(left, right, "t", "v").select("id", "v")
 
 
