@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 U = np.uint64
 K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -48,6 +49,16 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def named(column: str):
+    """A column by its name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def own_name(id: str, *results: str) -> str:
+    """The name under which a result carries the rows' id: the id column's own, or ``id`` if a result column is named like it."""
+    return id if id not in results else "id"
+
+
 class Shared:
     """A broadcast value that travels as bytes, unpickled once in each worker."""
 

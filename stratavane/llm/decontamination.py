@@ -270,10 +270,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
     spark = docs.sparkSession
     X.bounded_batches(spark)
     kept = [c for c in docs.columns if keep is None or c in keep]
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    bench = benchmark.select(X.named(item_id).cast("string").alias("i"), X.named(item_text).alias("t"))
     chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
+    df = docs.select(F.struct(*[X.named(c) for c in kept]).alias("row"), X.named(text).alias("text"))
     written = None
     for k in range(n_blocks):
         part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)

@@ -256,9 +256,10 @@ def links(signed: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its id, ``class_id`` (the least id of its class) and ``class_size``."""
-    found, _ = _classes(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.struct(F.lit(0)).alias("rest")))
-    return found.select(F.col("id").alias(id), "class_id", "class_size")
+    """One row per document: its id, ``class_id`` (the least id of its class) and ``class_size``; an id column named like one of these
+    comes out as ``id``."""
+    found, _ = _classes(docs.select(X.named(id).alias("id"), X.named(text).alias("text"), F.struct(F.lit(0)).alias("rest")))
+    return found.select(F.col("id").alias(X.own_name(id, "class_id", "class_size")), "class_id", "class_size")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,13 +284,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that with the least id, with all its columns."""
     others = [c for c in docs.columns if c not in (id, text)]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
-    found, signed = _classes(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), rest.alias("rest")))
+    rest = F.struct(*[X.named(c).alias(f"c{k}") for k, c in enumerate(others)]) if others else F.struct(F.lit(0))
+    found, signed = _classes(docs.select(X.named(id).alias("id"), X.named(text).alias("text"), rest.alias("rest")))
     gone = storage.stage(found.where("NOT stays").select("row"), "dropped")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     kept = signed.select("row", "id", "text", "rest").join(gone, "row", "left_anti")
-    own = {id: F.col("id"), text: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in others}
+    own = {id: F.col("id"), text: F.col("text")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
     return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 

@@ -128,7 +128,8 @@ def count_tokens(docs: DataFrame, automaton: Automaton, *, id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(b.first, b.last - b.first), pa.array(b.n_words, pa.int64()), pa.array(X.sums(n[inverse], b.offsets), pa.int64())], ["id", "n_words", "n_tokens"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id)
+    counted = docs.select(X.named(id).alias("id"), X.named(text).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long")
+    return counted.withColumnRenamed("id", X.own_name(id, "n_words", "n_tokens"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

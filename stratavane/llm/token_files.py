@@ -253,7 +253,7 @@ def write(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text",
 
     kind = pa.uint16() if Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True) <= 1 << 16 else pa.uint32()
     definition = docs.sparkSession.sparkContext.broadcast(definition)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(X.named(id).cast("long").alias("id"), F.coalesce(X.named(text), F.lit("")).alias("text"))
     h = F.xxhash64("text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))

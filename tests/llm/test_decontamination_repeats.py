@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratavane.llm import _text, decontamination
+from stratavane.llm import _text, decontamination, near, token_counts
 
 
 def plain(doc, items, window):
@@ -61,3 +61,18 @@ def test_shared_windows_of_many_items():
     assert all(len(m) == 1 and m[0]["n_words"] == 12 for m in got["matches"].to_pylist())
     assert np.array_equal(got["n_words"].to_numpy(), [14] * 3)
     assert list(_text.blocks(pa.array([], pa.string()), _text.ALNUM, True)) == []
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(k, f"some words of a text that goes on and on, number {k % 2}") for k in range(4)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id AS `d.id`", "text AS `t``x`", "1 AS `a b`")
+    bench = spark.createDataFrame([("1", "words of a text")], "`i.id` string, `t.t` string")
+    found = near.classes(docs, id="d.id", text="t`x")
+    assert found.columns == ["d.id", "class_id", "class_size"] and found.count() == 4
+    named = docs.withColumnsRenamed({"d.id": "class_id", "t`x": "text"})
+    assert near.classes(named, id="class_id").columns == ["id", "class_id", "class_size"]
+    assert near.drop_near_copies(docs, id="d.id", text="t`x").columns == docs.columns
+    assert decontamination.remove_contaminated(docs, bench, text="t`x", item_id="i.id", item_text="t.t").count() == 0
+    counter = token_counts.Automaton({"some": 1, "##e": 2})
+    assert token_counts.count_tokens(docs, counter, id="d.id", text="t`x").columns == ["d.id", "n_words", "n_tokens"]
+    assert token_counts.count_tokens(docs.withColumnRenamed("d.id", "n_words"), counter, id="n_words", text="t`x").columns == ["id", "n_words", "n_tokens"]
