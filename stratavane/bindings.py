@@ -646,7 +646,7 @@ def ball_query(spark, sf):
 def three_nn(spark, sf):
     """The three nearest points."""
     p = _points(spark, sf)
-    return spatial.nearest(p.withColumnRenamed("point_id", "query_id"), p, 3, 0.05).select("query_id", "point_id", _r("d2", 9), F.col("rank").cast("bigint").alias("rank"))
+    return spatial.nearest(p.withColumnRenamed("point_id", "query_id"), p, 3).select("query_id", "point_id", _r("d2", 9), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {_P}, n AS (SELECT a.id, b.id AS o, b.label, {_D2} AS d2 FROM pt a, pt b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) <= 3)
@@ -654,10 +654,18 @@ SELECT id AS query_id, round(sum(label / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2)
 def three_interpolate(spark, sf):
     """Inverse-distance interpolation from three neighbours."""
     p = _points(spark, sf)
-    near = spatial.nearest(p.withColumnRenamed("point_id", "query_id").drop("label"), p, 3, 0.05)
+    near = spatial.nearest(p.withColumnRenamed("point_id", "query_id").drop("label"), p, 3)
     return spatial.interpolate(near, p.select("point_id", F.col("label").alias("value")), keys=["query_id"]).select("query_id", _r("value", 4))
 
 
+@query(f"""WITH {_P}, u AS (SELECT *, CASE WHEN id % 4 <> 0 THEN label END AS l FROM pt), n AS (SELECT a.id, b.l FROM u a, u b WHERE a.l IS NULL AND b.l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) = 1)
+SELECT u.id AS point_id, coalesce(u.l, n.l) AS label FROM u LEFT JOIN n ON n.id = u.id""")
+def fill_labels(spark, sf):
+    """Undecided points with the label of the nearest decided one."""
+    p = _points(spark, sf).withColumn("label", F.when(F.col("point_id") % 4 != 0, F.col("label")))
+    return spatial.fill_labels(p, p.where("label IS NOT NULL")).select("point_id", "label")
+
+
 @query(f"WITH {_P} SELECT a.id AS point_id, max((a.label <> b.label)::INT) AS boundary FROM pt a, pt b WHERE {_D2} < 0.01 GROUP BY 1")
 def boundary_points(spark, sf):
     """Points with a differently labelled neighbour."""

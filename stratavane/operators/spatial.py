@@ -1,17 +1,20 @@
 """Points in space: grids, radius and nearest-neighbour joins, voxels, sampling.
 
-Distance joins go over grid cells: every point is in one cell, every query asks the cells its radius
-reaches, and the rest is an equi-join on the cell.
+Joins within a radius go over grid cells: every point is in one cell, every query asks the cells its radius
+reaches, and the rest is an equi-join on the cell.  Nearest neighbours are sought in blocks of equally many points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane import storage
+from stratavane.operators import boxes, ordered
 from stratavane.operators.skew import numbered
 
 AXES = ("x", "y", "z")
@@ -57,45 +60,73 @@ def ball_query(queries: DataFrame, points: DataFrame, radius: float, k: int | No
     return lists.select(*scope, qid, F.posexplode(padded).alias("n", pid))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, size: float, *, scope: list[str] = (), qid: str = "query_id", pid: str = "point_id", axes=AXES, rounds: int = 20) -> DataFrame:
+#: Bits of an axis in a point's place on the space-filling curve.
+CURVE_BITS = 16
+#: Points of a block, unless 2 * k is more.
+BLOCK_POINTS = 16
+
+
+def curve_place(df: DataFrame, ranges: DataFrame, scope: list[str], axes) -> DataFrame:
+    """``_z``: the place on a space-filling curve (bits of the coordinates by turns) through the bulk of the scope's points; what lies beyond
+    is as good as on its rim.  It only says which points are likely to be near each other."""
+    j = df.join(F.broadcast(ranges)) if not scope else df.join(ranges, scope)
+    z, n = F.lit(0).cast("bigint"), min(CURVE_BITS, 62 // len(axes))
+    for k, a in enumerate(axes):
+        span = F.col(f"_r{a}")[1] - F.col(f"_r{a}")[0]
+        at = F.when(span > 0, F.least(F.greatest((F.col(a).cast("double") - F.col(f"_r{a}")[0]) / span, F.lit(0.0)), F.lit(1.0)) * ((1 << n) - 1)).otherwise(0.0).cast("bigint")
+        for bit in range(n):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(at, bit).bitwiseAND(1), bit * len(axes) + k))
+    return j.withColumn("_z", z).drop(*[f"_r{a}" for a in axes])
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, *, scope: list[str] = (), qid: str = "query_id", pid: str = "point_id", axes=AXES) -> DataFrame:
     """The k nearest points of each query (ties: smaller id), with ``d2`` and ``rank``.
 
-    Queries look within a radius of ``size``; those that find fewer than k ask again within twice the
-    radius, and so on, so that dense regions never meet a wide radius.  Those that are left after
-    ``rounds`` are compared with all points of their scope.  Where there are fewer than k points, all of
-    them are the nearest; points and queries with a null or NaN coordinate have no distance and no rows."""
+    Points are sorted along a space-filling curve and cut into blocks of equally many, which are small where points are dense.  A query
+    first meets the points of the block at its own place and of the two beside it, and the k-th of them bounds its search: it
+    then meets the blocks whose boxes the bound reaches (``boxes.touching``).  So a query meets some blocks, however dense its
+    surroundings and however far from them it is.  Of points at one spot the k smallest ids are enough.  Where there are fewer
+    than k points, all of them are the nearest; points and queries with a null, NaN or infinite coordinate have no distance and no rows."""
     scope = list(scope)
-    w = Window.partitionBy(*scope, qid).orderBy("d2", pid)
-    placed = F.lit(True)
-    for a in axes:
-        placed = placed & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
-    queries, points = queries.where(placed), points.where(placed)
-    out, left, radius = None, queries, size
-    have = points.groupBy(*scope).agg(F.count(F.lit(1)).alias("_have")) if scope else None
-    if scope:
-        left = left.join(have.select(*scope), scope, "left_semi")
-    else:
-        k = min(k, max(1, points.limit(k).count()))
-    for _ in range(rounds):
-        found = within(left, points, radius, scope=scope, qid=qid, pid=pid, axes=axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = found.groupBy(*scope, qid).agg(F.count(F.lit(1)).alias("_n"))
-        if have is not None:
-            done = full.join(have, scope).where(F.col("_n") >= F.least(F.lit(k), F.col("_have")))
-        else:
-            done = full.where(F.col("_n") >= k)
-        done = done.select(*scope, qid)
-        part = found.join(done, [*scope, qid])
-        out = part if out is None else out.unionByName(part)
-        # each round uses what is left twice, so its lineage is cut
-        left = storage.stage(left.join(done, [*scope, qid], "left_anti"), "left")
-        radius *= 2
-        if left.isEmpty():
-            return out
-    q = left.select(*scope, qid, *[F.col(a).cast("double").alias("q" + a) for a in axes])
-    p = points.select(*scope, pid, *[F.col(a).cast("double").alias("p" + a) for a in axes])
-    pairs = (q.join(p, scope) if scope else q.crossJoin(p)).withColumn("d2", squared("q", "p", axes)).select(*scope, qid, pid, "d2")
-    rest = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return rest if out is None else out.unionByName(rest)
+    at = lambda p: [p + a for a in axes]
+    placed = lambda df: reduce(lambda x, a: x & (F.abs(F.col(a).cast("double")) < float("inf")), axes, F.lit(True))
+    size = max(BLOCK_POINTS, 2 * k)
+    spot = Window.partitionBy(*scope, *at("p")).orderBy(pid)
+    p = points.where(placed(points)).select(*scope, pid, *[F.col(a).cast("double").alias("p" + a) for a in axes])
+    p = p.withColumn("_r", F.row_number().over(spot)).where(F.col("_r") <= k).drop("_r")
+    ranges = p.groupBy(*scope).agg(*[F.percentile_approx("p" + a, F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000)).alias("_rp" + a) for a in axes])
+    p = curve_place(p, ranges, scope, at("p"))
+    p = numbered(p, [*scope, "_z", *at("p"), pid], "_n").withColumn("_block", F.floor(F.col("_n") / size))
+    p = storage.stage(p.drop("_n"), "points")
+    ends = [f("p" + a).alias(n + a) for a in axes for n, f in (("_lo", F.min), ("_hi", F.max))]
+    blocks = storage.stage(p.groupBy(*scope, "_block").agg(F.min("_z").alias("_z"), *ends), "blocks")
+
+    q = queries.where(placed(queries)).select(*scope, qid, *[F.col(a).cast("double").alias("q" + a) for a in axes])
+    q = curve_place(q, ranges.withColumnsRenamed({"_rp" + a: "_rq" + a for a in axes}), scope, at("q"))
+    # the last block that begins at or before the query's place, else the first one
+    none = F.lit(None)
+    u = q.withColumn("_block", none.cast("bigint")).unionByName(blocks.select(*scope, "_z", "_block"), allowMissingColumns=True).withColumn("_is", F.col("_block").isNotNull())
+    u = ordered.carry(ordered.dealt(u, scope, ["_z"]), scope, {"_before": (F.max, F.col("_block"))}, {"_after": (F.min, F.col("_block"))})
+    w = Window.partitionBy("_part", *scope).orderBy("_z")
+    own = F.coalesce(F.max("_block").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_before", F.min("_block").over(w.rangeBetween(0, Window.unboundedFollowing)), "_after")
+    q = storage.stage(u.withColumn("_own", own).where("NOT _is").select(*scope, qid, *at("q"), F.col("_own").alias("_own")), "queries")
+
+    d2 = squared("q", "p", axes).alias("d2")
+    rank = F.row_number().over(Window.partitionBy(*scope, qid).orderBy("d2", pid))
+    near = q.withColumn("_block", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1))).join(p, [*scope, "_block"]).select(*scope, qid, *at("q"), pid, d2)
+    near = storage.stage(near.withColumn("rank", rank).where(F.col("rank") <= k), "near")
+    few = near.groupBy(*scope, qid).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") < k).select(*scope, qid)
+    all_found = near.join(few, [*scope, qid]).select(*scope, qid, pid, "d2", "rank")
+
+    bound = near.where(F.col("rank") == k).withColumn("_b2", F.col("d2"))
+    reach = F.sqrt("_b2") * (1 + 1e-9)
+    asked = bound.select(*scope, qid, *at("q"), "_b2", *[c for a in axes for c in ((F.col("q" + a) - reach).alias("_ql" + a), (F.col("q" + a) + reach).alias("_qh" + a))])
+    met = boxes.touching(asked, blocks.drop("_z"), scope, [("_ql" + a, "_qh" + a) for a in axes], [("_lo" + a, "_hi" + a) for a in axes])
+    gap = reduce(lambda x, y: x + y, [F.pow(F.greatest(F.col("_lo" + a) - F.col("q" + a), F.col("q" + a) - F.col("_hi" + a), F.lit(0.0)), F.lit(2.0)) for a in axes])
+    met = met.where(gap <= F.col("_b2") * (1 + 1e-9)).select(*scope, qid, *at("q"), "_b2", "_block")
+    found = met.join(p, [*scope, "_block"]).select(*scope, qid, pid, d2, "_b2").where(F.col("d2") <= F.col("_b2"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).select(*scope, qid, pid, "d2", "rank")
+    return all_found.unionByName(found)
 
 
 def interpolate(near: DataFrame, features: DataFrame, *, keys: list[str], pid: str = "point_id", value: str = "value", eps: float = 1e-8) -> DataFrame:
@@ -104,11 +135,11 @@ def interpolate(near: DataFrame, features: DataFrame, *, keys: list[str], pid: s
     return near.join(features, pid).groupBy(*keys).agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias(value))
 
 
-def fill_labels(points: DataFrame, known: DataFrame, size: float, *, scope: list[str] = (), label: str = "label") -> DataFrame:
+def fill_labels(points: DataFrame, known: DataFrame, *, scope: list[str] = (), label: str = "label") -> DataFrame:
     """Undecided points (null label) take the label of their nearest known point."""
     scope = list(scope)
     open_ = points.where(F.col(label).isNull())
-    near = nearest(open_.withColumnRenamed("point_id", "query_id"), known, 1, size, scope=scope).select(*scope, F.col("query_id"), F.col("point_id").alias("_near"))
+    near = nearest(open_.withColumnRenamed("point_id", "query_id"), known, 1, scope=scope).select(*scope, F.col("query_id"), F.col("point_id").alias("_near"))
     found = near.join(known.select(*scope, F.col("point_id").alias("_near"), F.col(label).alias("_l")), [*scope, "_near"]).select(*scope, F.col("query_id").alias("point_id"), "_l")
     return points.join(found, [*scope, "point_id"], "left").withColumn(label, F.coalesce(label, "_l")).drop("_l")
 

@@ -145,7 +145,7 @@ def test_nearest_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     p = rng.random((80, 3))
     df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point_id bigint, x double, y double, z double")
-    near = spatial.nearest(df.withColumnRenamed("point_id", "query_id"), df, 3, 0.02)
+    near = spatial.nearest(df.withColumnRenamed("point_id", "query_id"), df, 3)
     got = {}
     for r in near.collect():
         got.setdefault(r.query_id, []).append((r.rank, r.point_id))
@@ -228,7 +228,7 @@ def test_vectors(spark):
 def test_interpolate_and_fill(spark):
     known = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 5), (1, 1.0, 0.0, 0.0, 7)], "point_id bigint, x double, y double, z double, label int")
     pts = spark.createDataFrame([(10, 0.1, 0.0, 0.0, None), (11, 0.9, 0.0, 0.0, None), (12, 5.0, 0.0, 0.0, 3)], "point_id bigint, x double, y double, z double, label int")
-    assert {r.point_id: r.label for r in spatial.fill_labels(pts, known, 0.2).collect()} == {10: 5, 11: 7, 12: 3}
+    assert {r.point_id: r.label for r in spatial.fill_labels(pts, known).collect()} == {10: 5, 11: 7, 12: 3}
 
 
 def test_painter_and_holes(spark):
@@ -250,7 +250,7 @@ def test_results_do_not_depend_on_partitions(spark):
     assert len(out) == 1
 
 
-def test_nearest_finishes_queries_that_rounds_leave(spark):
+def test_nearest_far_from_all_points(spark):
     pts = [(k, float(k % 7), float(k // 7), 0.0, k % 2) for k in range(30)] + [(90, None, 0.0, 0.0, 0), (91, float("nan"), 0.0, 0.0, 0)]
     qs = [(0, 1.2, 1.1, 0.0, 0), (1, 5000.0, -3.0, 0.0, 0), (2, -800.0, 0.0, 9.0, 1), (3, 1.0, 1.0, 1.0, 5), (4, None, 0.0, 0.0, 0)]
     p = spark.createDataFrame(pts, "point_id long, x double, y double, z double, s int")
@@ -265,10 +265,10 @@ def test_nearest_finishes_queries_that_rounds_leave(spark):
 
     for k in (3, 40):
         for scope in ([], ["s"]):
-            got = spatial.nearest(q, p, k, 1.0, scope=scope, rounds=2).collect()
+            got = spatial.nearest(q, p, k, scope=scope).collect()
             assert len(got) == len({(r.query_id, r["rank"]) for r in got})
             assert {(r.query_id, r.point_id, r["rank"]) for r in got} == want(k, bool(scope))
-    assert spatial.nearest(q, p.limit(0), 3, 1.0, rounds=2).count() == 0
+    assert spatial.nearest(q, p.limit(0), 3).count() == 0
     known = p.where("point_id < 30").withColumn("label", F.col("point_id"))
     far = spark.createDataFrame([(500, 1e7, 0.0, 0.0)], "point_id long, x double, y double, z double").withColumn("label", F.lit(None).cast("long"))
-    assert spatial.fill_labels(far, known.drop("s"), 1.0).first().label == 6
+    assert spatial.fill_labels(far, known.drop("s")).first().label == 6
