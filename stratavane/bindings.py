@@ -601,9 +601,21 @@ def oracle_class(spark, sf):
     return evaluation.best_match(p, g).select("scan", "pred_id", "gt_id", F.col("label_id").cast("bigint").alias("label_id"), _r("iou"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MT}, pl AS (SELECT scan, pred_id, np AS n, (pred_id % 5 + 1)::INT AS label_id, pred_id % 11 / 11.0 AS conf FROM np WHERE np >= 10), gl AS (SELECT scan, gt_id, ng, (gt_id // 1000)::INT AS label_id FROM ng),
+el AS MATERIALIZED (SELECT e.scan, pl.label_id, e.pred_id, e.gt_id, inter, inter / (n + ng - inter) AS iou, ng FROM e JOIN pl ON pl.scan = e.scan AND pl.pred_id = e.pred_id JOIN gl ON gl.scan = e.scan AND gl.gt_id = e.gt_id AND gl.label_id = pl.label_id),
+th AS (SELECT unnest([0.02::DOUBLE, 0.04::DOUBLE]) AS overlap), x AS (SELECT scan, label_id, overlap, gt_id, pred_id FROM el, th WHERE ng >= 10 AND iou > overlap),
+o AS MATERIALIZED (SELECT scan, label_id, overlap, gt_id, list(pred_id ORDER BY pred_id) AS ps, row_number() OVER (PARTITION BY scan, label_id, overlap ORDER BY gt_id) AS r FROM x GROUP BY 1, 2, 3, 4),
+st(scan, label_id, overlap, r, gt_id, free, taken) AS (SELECT DISTINCT scan, label_id, overlap, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM o
+ UNION ALL SELECT o.scan, o.label_id, o.overlap, o.r, o.gt_id, [z FOR z IN o.ps IF NOT list_contains(st.taken, z)], list_concat(st.taken, [z FOR z IN o.ps IF NOT list_contains(st.taken, z)][1:1]) FROM st JOIN o ON o.scan = st.scan AND o.label_id = st.label_id AND o.overlap = st.overlap AND o.r = st.r + 1),
+fr AS (SELECT scan, label_id, overlap, gt_id, unnest(free) AS pred_id FROM st WHERE r > 0), ma AS (SELECT fr.*, conf, (row_number() OVER (PARTITION BY fr.scan, fr.label_id, overlap, gt_id ORDER BY conf DESC) = 1)::INT AS tp FROM fr JOIN pl ON pl.scan = fr.scan AND pl.pred_id = fr.pred_id),
+un AS (SELECT pl.label_id, overlap, conf FROM pl, th WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.scan = pl.scan AND el.pred_id = pl.pred_id AND iou > overlap) AND coalesce((SELECT sum(inter) FROM el WHERE el.scan = pl.scan AND el.pred_id = pl.pred_id AND ng < 10), 0) / n <= overlap),
+ev AS (SELECT label_id, overlap, conf, tp FROM ma UNION ALL SELECT label_id, overlap, conf, 0 FROM un), big AS (SELECT label_id, overlap, count(*) AS big FROM gl, th WHERE ng >= 10 GROUP BY 1, 2),
+gr AS (SELECT label_id, overlap, conf, sum(tp) AS tp, count(*) AS n FROM ev GROUP BY 1, 2, 3), c AS (SELECT label_id, overlap, conf, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM gr WINDOW w AS (PARTITION BY label_id, overlap ORDER BY conf DESC ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT c.label_id, c.overlap, conf::DOUBLE AS conf, ctp / cn AS p, ctp / big AS r FROM c JOIN big ON big.label_id = c.label_id AND big.overlap = c.overlap UNION ALL SELECT DISTINCT label_id, overlap, 'infinity'::DOUBLE, 1.0, 0.0 FROM ev),
+sp AS (SELECT *, 0.5 * (coalesce(lag(r) OVER w, r) - coalesce(lead(r) OVER w, 0)) AS s FROM pr WINDOW w AS (PARTITION BY label_id, overlap ORDER BY conf))
+SELECT label_id, overlap, round(sum(p * s), 6) AS ap, round(max(r), 6) AS recall FROM sp GROUP BY 1, 2""")
 def instance_ap(spark, sf):
-    """AP by class and threshold of suppliers as predictions of parts' instances (greedy matching: not SQL)."""
+    """AP by class and threshold of suppliers as predictions of parts' instances."""
     p, g = _match_tables(spark, sf)
     preds = p.select("scan", "pred_id").distinct().select("scan", "pred_id", (F.col("pred_id") % 5 + 1).cast("int").alias("label_id"), (F.col("pred_id") % 11 / 11.0).alias("conf"))
     return evaluation.evaluate(preds, p, g, [1, 2, 3, 4, 5], overlaps=[0.02, 0.04], min_points=10).select("label_id", "overlap", _r("ap"), _r("recall"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane import storage
 from stratavane.functions import geometry as G
 from stratavane.operators import boxes, ordered
 
@@ -51,51 +49,22 @@ def best_match(pred_points: DataFrame, gt: DataFrame, eps: float = 1e-5) -> Data
     return e.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("label_id", F.floor(F.col("gt_id") / ENCODE).cast("int"))
 
 
-def _replay(overlaps: list[float], min_points: int, base: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                gts = {g["gt_id"]: g["n"] for g in (r.gts if r.gts is not None else [])}
-                preds = sorted((p for p in (r.preds if r.preds is not None else [])), key=lambda p: p["pred_id"])
-                by_gt: dict = {}
-                by_pred: dict = {}
-                conf = {p["pred_id"]: p["conf"] for p in preds}
-                for e in sorted(r.edges if r.edges is not None else [], key=lambda e: e["pred_id"]):
-                    by_gt.setdefault(e["gt_id"], []).append(e)
-                    by_pred.setdefault(e["pred_id"], []).append(e)
-                big = [g for g in sorted(gts) if gts[g] >= min_points]
-                for th in overlaps:
-                    taken, missed = set(), 0
-                    for g in big:
-                        score = None
-                        for e in by_gt.get(g, []):
-                            if e["pred_id"] in taken or not e["iou"] > th:
-                                continue
-                            c = conf[e["pred_id"]]
-                            if score is None:
-                                score = c
-                                taken.add(e["pred_id"])
-                            else:  # a second prediction of the instance is wrong, the weaker of the two
-                                out.append((r.label_id, th, min(score, c), 0, 1))
-                                score = max(score, c)
-                        if score is None:
-                            missed += 1
-                        else:
-                            out.append((r.label_id, th, score, 1, 1))
-                    for p in preds:
-                        own = by_pred.get(p["pred_id"], [])
-                        if any(e["iou"] > th for e in own):
-                            continue
-                        ignored = p["void"] + sum(e["inter"] * ((e["gt_id"] < base) + (gts.get(e["gt_id"], 0) < min_points)) for e in own)
-                        if ignored / p["n"] <= th:
-                            out.append((r.label_id, th, p["conf"], 0, 1))
-                    out.append((r.label_id, th, None, missed, 0))
-                    out.append((r.label_id, th, None, -1, int(bool(big))))
-                    out.append((r.label_id, th, None, -2, int(bool(preds))))
-            yield pd.DataFrame(out, columns=["label_id", "overlap", "score", "tp", "n"])
-
-    return run
+def _claims(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Of predictions that several instances claim, who takes them: keys, pred_id, ``by``.  edges: keys, gt_id, pred_id.  Instances, in order of
+    their ids, take the first prediction that no earlier one has taken.  Only instances that share a claim are
+    folded, those of one key (a scan, class and threshold) in a row; all others take what nobody else wants."""
+    several = edges.groupBy(*keys, "pred_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    rivals = edges.join(several, [*keys, "pred_id"]).select(*keys, "gt_id").distinct()
+    wanted = edges.join(rivals, [*keys, "gt_id"]).groupBy(*keys, "gt_id").agg(F.sort_array(F.collect_list("pred_id")).alias("preds"))
+    rows = wanted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gt_id", "preds"))).alias("rows"))
+    kind = dict(edges.dtypes)
+    none = F.array().cast(f"array<struct<pred_id:{kind['pred_id']},by:{kind['gt_id']}>>")
+
+    def step(taken, g):
+        first = F.get(F.filter(g["preds"], lambda p: ~F.exists(taken, lambda t: t["pred_id"] == p)), F.lit(0))
+        return F.when(first.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(first.alias("pred_id"), g["gt_id"].alias("by")))))
+
+    return rows.select(*keys, F.explode(F.aggregate("rows", none, step)).alias("t")).select(*keys, "t.pred_id", "t.by")
 
 
 def average_precision(events: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,9 +86,9 @@ def average_precision(events: DataFrame, flags: DataFrame, keys: list[str]) -> D
 
 def evaluate(preds: DataFrame, pred_points: DataFrame, gt: DataFrame, valid: list[int], *, overlaps: list[float] = OVERLAPS, min_points: int = MIN_POINTS, base: int = ENCODE, agnostic: bool = False) -> DataFrame:
     """AP and recall by class and IoU threshold.  preds: scan, pred_id, label_id, conf; pred_points: scan,
-    pred_id, point_id; gt: scan, point_id, code.  The greedy matching of a (scan, class) runs in one task over its
-    overlapping pairs; everything before and after is joins and windows.  An unmatched prediction counts
-    against precision only if at most the threshold's share of its points is void or in small instances.
+    pred_id, point_id; gt: scan, point_id, code.  An instance takes the first prediction (by id) that overlaps it by more than the
+    threshold and isn't taken; the best of all that it might have taken counts as right, the others as wrong.  A prediction that overlaps
+    no instance counts against precision only if at most the threshold's share of its points is void or in small instances.
     Predictions of classes that aren't valid and those below ``min_points`` points are left out."""
     one = F.lit(0) if agnostic else F.col("label_id")
     sizes = pred_points.select("scan", "pred_id", "point_id").distinct().join(gt, ["scan", "point_id"], "left")
@@ -130,15 +99,26 @@ def evaluate(preds: DataFrame, pred_points: DataFrame, gt: DataFrame, valid: lis
     p = p.select("scan", one.cast("int").alias("label_id"), "pred_id", F.col("conf").cast("double").alias("conf"), "n", "void")
     g = gt_instances(gt, valid, base).select("scan", one.cast("int").alias("label_id"), "gt_id", "n")
     e = match_edges(pred_points, gt).select("scan", "gt_id", "pred_id", "inter", "iou").join(g.select("scan", "label_id", "gt_id"), ["scan", "gt_id"]).join(p.select("scan", "label_id", "pred_id"), ["scan", "label_id", "pred_id"])
-    k = ["scan", "label_id"]
-    rows = p.groupBy(*k).agg(F.collect_list(F.struct("pred_id", "conf", "n", "void")).alias("preds"))
-    rows = rows.join(g.groupBy(*k).agg(F.collect_list(F.struct("gt_id", "n")).alias("gts")), k, "full").join(e.groupBy(*k).agg(F.collect_list(F.struct("gt_id", "pred_id", "inter", "iou")).alias("edges")), k, "left")
-    ev = rows.mapInPandas(_replay(overlaps, min_points, base), "label_id int, overlap double, score double, tp int, n int")
+    k = ["scan", "label_id", "overlap"]
+    at = lambda df: df.withColumn("overlap", F.explode(F.array(*map(F.lit, overlaps))))
+    e = storage.stage(e.join(g, ["scan", "label_id", "gt_id"]).withColumnRenamed("n", "n_gt"), "edges")
+    over = storage.stage(at(e).where(F.col("iou") > F.col("overlap")), "claims")
+    claims = over.where(F.col("n_gt") >= min_points).select(*k, "gt_id", "pred_id")
+    open_ = claims.join(_claims(claims, k), [*k, "pred_id"], "left").where("by IS NULL OR by >= gt_id").join(p.select("scan", "label_id", "pred_id", "conf"), ["scan", "label_id", "pred_id"])
+    best = F.row_number().over(Window.partitionBy(*k, "gt_id").orderBy(F.desc("conf"), "pred_id")) == 1
+    matched = open_.select(*k, "gt_id", F.col("conf").alias("score"), best.cast("int").alias("tp"))
+    small = (F.col("gt_id") < base).cast("int") + (F.col("n_gt") < min_points).cast("int")
+    ignored = e.groupBy("scan", "label_id", "pred_id").agg(F.sum(F.col("inter") * small).alias("_small"))
+    alone = at(p.join(ignored, ["scan", "label_id", "pred_id"], "left")).join(over.select(*k, "pred_id").distinct(), [*k, "pred_id"], "left_anti")
+    alone = alone.where((F.col("void") + F.coalesce("_small", F.lit(0))) / F.col("n") <= F.col("overlap"))
+    ev = matched.select("label_id", "overlap", "score", "tp").unionByName(alone.select("label_id", "overlap", F.col("conf").alias("score"), F.lit(0).alias("tp")))
     keys = ["label_id", "overlap"]
-    total = lambda code, name: F.max(F.when((F.col("tp") == code) & F.col("score").isNull(), F.col("n") > 0)).alias(name)
-    flags = ev.groupBy(*keys).agg(
-        F.sum(F.when(F.col("score").isNull() & (F.col("tp") >= 0) & (F.col("n") == 0), F.col("tp")).otherwise(0)).alias("hard_fn"), total(-1, "has_gt"), total(-2, "has_pred"))
-    return average_precision(ev.where("score IS NOT NULL").select(*keys, "score", "tp"), flags, keys)
+    big = at(g.where(F.col("n") >= min_points)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_big"))
+    met = matched.where("tp = 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("_met"))
+    seen = at(p.select("label_id").unionByName(g.select("label_id")).distinct())
+    some = at(p.select("label_id").distinct()).withColumn("_p", F.lit(True))
+    flags = seen.join(big, keys, "left").join(met, keys, "left").join(some, keys, "left").select(*keys, (F.coalesce("_big", F.lit(0)) - F.coalesce("_met", F.lit(0))).alias("hard_fn"), F.col("_big").isNotNull().alias("has_gt"), F.coalesce("_p", F.lit(False)).alias("has_pred"))
+    return average_precision(ev, flags, keys)
 
 
 def averages(aps: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane import storage
+from stratavane.operators import bitmaps
 from stratavane.operators.skew import numbered
 
 EPS = 1e-6
@@ -67,24 +69,34 @@ def decode_alternating(df: DataFrame, counts: str = "counts", index: str = "inde
 def overlaps(left: DataFrame, right: DataFrame | None = None, *, mask: str = "inst_id", element: str = "point_id", scope: list[str] = (), weights: DataFrame | None = None, weight: str = "size", eps: float = EPS) -> DataFrame:
     """Pairs of masks that share an element, with intersection, IoU, precision and recall.
 
-    An equi-join on the element, so only pairs that meet cost anything.  With one table each pair
-    appears once (a < b); with two, a is from the left.  ``weights`` (element, weight) replaces
-    counts by sums.  precision = inter / size b, recall = inter / size a."""
-    scope = list(scope)
-    same = right is None
+    An equi-join on the element, so only pairs that meet cost anything; elements that many masks share go by bitmaps instead
+    (``bitmaps``), unless weights are fractions.  With one table each pair appears once (a < b); with two, a is from the left.
+    ``weights`` (element, weight) replaces counts by sums.  precision = inter / size b, recall = inter / size a."""
+    scope, same = list(scope), right is None
+    on = [c for c in scope if weights is not None and c in weights.columns]
     value = F.coalesce(F.col("_w"), F.lit(0)) if weights is not None else F.lit(1).cast("bigint")
+    if weights is not None:
+        weights = weights.select(*on, F.col(element).alias("_e"), F.col(weight).alias("_w"))
 
     def prepared(df: DataFrame, to: str) -> DataFrame:
         d = df.select(*scope, F.col(mask).alias(to), F.col(element).alias("_e")).distinct()
-        return d.join(weights.select(*[c for c in scope if c in weights.columns], F.col(element).alias("_e"), F.col(weight).alias("_w")), [*[c for c in scope if c in weights.columns], "_e"], "left") if weights is not None else d
-
-    a, b = prepared(left, "a"), prepared(left if same else right, "b").drop("_w")
-    size_a = a.groupBy(*scope, "a").agg(F.sum(value).alias("size_a"))
-    bw = prepared(left if same else right, "b")
-    size_b = bw.groupBy(*scope, "b").agg(F.sum(value).alias("size_b"))
-    meet = a.join(b, [*scope, "_e"])
+        return storage.stage(d.join(weights, [*on, "_e"], "left") if weights is not None else d, "masks")
+
+    a = prepared(left, "a")
+    b = a.withColumnRenamed("a", "b") if same else prepared(right, "b")
+    size_a, size_b = (d.groupBy(*scope, c).agg(F.sum(value).alias(f"size_{c}")) for d, c in ((a, "a"), (b, "b")))
+    whole = weights is None or dict(weights.dtypes)["_w"] in ("tinyint", "smallint", "int", "bigint")
+    all_ = a.select(*scope, F.col("a").alias("_m"), "_e") if same else a.select(*scope, F.struct(F.lit(0).alias("s"), F.col("a").cast("string").alias("m")).alias("_m"), "_e").unionByName(b.select(*scope, F.struct(F.lit(1).alias("s"), F.col("b").cast("string").alias("m")).alias("_m"), "_e"))
+    dense = storage.stage(bitmaps.shared_elements(all_, scope, "_m", "_e"), "shared") if whole else None
+    if dense is not None and dense.isEmpty():
+        dense = None
+    few = lambda d: d if dense is None else d.join(dense, [*scope, "_e"], "left_anti")
+    meet = few(a).join(few(b).drop("_w"), [*scope, "_e"])
     meet = meet.where("a < b") if same else meet
     pair = meet.groupBy(*scope, "a", "b").agg(F.sum(value).alias("inter"))
+    if dense is not None:
+        many = bitmaps.pairs(a.drop("_w"), None if same else b.drop("_w"), dense, scope, "_e", weights, "_w")
+        pair = pair.unionByName(many).groupBy(*scope, "a", "b").agg(F.sum("inter").alias("inter"))
     out = pair.join(size_a, [*scope, "a"]).join(size_b, [*scope, "b"])
     return out.select(
         *scope, "a", "b", "inter", "size_a", "size_b",

@@ -127,3 +127,25 @@ def test_mask_suppression_without_a_scope(spark):
     got = {(x.inst_id, x.point_id) for x in suppression.nms_and_merge(inst, info, 0.25).collect()}
     assert got == {kp for kp, v in votes.items() if 2 * len(v) >= size[kp[0]]}
     assert masks.overlaps(inst).count() > 0
+
+
+@pytest.mark.parametrize("weighted, two", [(False, False), (True, False), (False, True), (True, True)])
+def test_bitmaps_and_joins_give_the_same_overlaps(spark, monkeypatch, weighted, two):
+    r = random.Random(6)
+    sets = {m: {p for p in range(700) if r.random() < (0.5 if p % 3 else 0.01)} | {f for f in range(700, 760) if f % 7 == m % 7} for m in range(40)}
+    size = {p: r.randrange(1000) for p in range(740)}  # the last elements have no weight
+    df = spark.createDataFrame([(s, m, f"e{p}") for s in ("x", None) if s or not two for m, e in sets.items() for p in e], "s string, inst_id long, point_id string").where("s IS NOT NULL")
+    w = spark.createDataFrame([(f"e{p}", v) for p, v in size.items()], "point_id string, size long") if weighted else None
+    sides = (df.where("inst_id < 25"), df.where("inst_id >= 15")) if two else (df, None)
+    out = []
+    for some, tile in ((10**9, 512), (5, 512), (5, 7)):
+        monkeypatch.setattr(masks.bitmaps, "SOME", some)
+        monkeypatch.setattr(masks.bitmaps, "MANY", 10**9)
+        monkeypatch.setattr(masks.bitmaps, "TILE", tile)
+        rows = masks.overlaps(*sides, scope=["s"], weights=w).collect()
+        assert len(rows) == len({(x.a, x.b) for x in rows})
+        out.append({(x.a, x.b): (x.inter, x.size_a, x.size_b) for x in rows})
+    weight = lambda e: sum(size.get(p, 0) for p in e) if weighted else len(e)
+    ids = [(a, b) for a in sets for b in sets if (a < 25 and b >= 15 if two else a < b)]
+    want = {(a, b): (weight(sets[a] & sets[b]), weight(sets[a]), weight(sets[b])) for a, b in ids if sets[a] & sets[b]}
+    assert out[0] == out[1] == out[2] == want
