@@ -703,9 +703,18 @@ def point_to_voxel(spark, sf):
     return spatial.point_to_voxel(_points(spark, sf), 0.1).select("point_id", F.col("voxel_id").cast("bigint").alias("voxel_id"))
 
 
-@query()
+def _farthest_sql(k: int) -> str:
+    """Each round takes, of each label, the point with the largest distance to those taken (ties: the smaller id)."""
+    far = ["f0 AS (SELECT *, 'infinity'::DOUBLE AS far FROM pt)"]
+    for n in range(k):
+        far.append(f"w{n} AS MATERIALIZED (SELECT * FROM f{n} QUALIFY row_number() OVER (PARTITION BY label ORDER BY far DESC, id) = 1)")
+        far.append(f"f{n + 1} AS MATERIALIZED (SELECT a.id, a.label, a.x, a.y, a.z, least(a.far, {_D2}) AS far FROM f{n} a JOIN w{n} b ON b.label = a.label)")
+    return f"WITH {_P}, {', '.join(far)} " + " UNION ALL ".join(f"SELECT label, id AS point_id, {n}::BIGINT AS rank FROM w{n}" for n in range(k))
+
+
+@query(_farthest_sql(8))
 def farthest_points(spark, sf):
-    """Farthest-point sampling per label (sequential: not SQL)."""
+    """Farthest-point sampling per label."""
     return spatial.farthest_points(_points(spark, sf), ["label"], 8)
 
 

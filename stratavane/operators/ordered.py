@@ -32,11 +32,11 @@ def carry(parts: DataFrame, keys: list[str], before: dict[str, tuple[Callable, C
     w = Window.partitionBy(*keys).orderBy("_part")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     sums = [f(n).over(back).alias(n) for n, (f, _) in before.items()] + [f(n).over(ahead).alias(n) for n, (f, _) in after.items()]
-    names = {k: f"_key{i}" for i, k in enumerate(keys)}
-    found = each.select(F.col("_part").alias("_at"), *[F.col(k).alias(names[k]) for k in keys], *sums, F.count(F.lit(1)).over(back).alias("_b"), F.count(F.lit(1)).over(ahead).alias("_a"))
-    found = found.where("_b > 0 OR _a > 0").drop("_a", "_b")
-    same = reduce(lambda on, k: on & F.col(k).eqNullSafe(F.col(names[k])), keys, F.col("_part") == F.col("_at"))
-    return parts.join(F.broadcast(found), same, "left").drop("_at", *names.values())
+    names = {k: f"_carry_key{i}" for i, k in enumerate(keys)}
+    found = each.select(F.col("_part").alias("_carry_part"), *[F.col(k).alias(names[k]) for k in keys], *sums, F.count(F.lit(1)).over(back).alias("_carry_back"), F.count(F.lit(1)).over(ahead).alias("_carry_ahead"))
+    found = found.where("_carry_back > 0 OR _carry_ahead > 0").drop("_carry_back", "_carry_ahead")
+    same = reduce(lambda on, k: on & F.col(k).eqNullSafe(F.col(names[k])), keys, F.col("_part") == F.col("_carry_part"))
+    return parts.join(F.broadcast(found), same, "left").drop("_carry_part", *names.values())
 
 
 def running(rows: DataFrame, keys: list[str], order: list, totals: dict[str, Column]) -> DataFrame:

@@ -163,9 +163,54 @@ def point_to_voxel(points: DataFrame, size: float, *, scope: list[str] = (), axe
     return p.join(ids, [*scope, *names]).select(*scope, "point_id", "voxel_id")
 
 
+#: Groups of more points are sampled by all tasks together, smaller ones by a task each.
+ONE_TASK = 1_000_000
+#: Rounds after which the points' distances are written.
+ROUNDS = 16
+
+
 def farthest_points(points: DataFrame, keys: list[str], k: int, *, id: str = "point_id", axes=AXES) -> DataFrame:
     """Farthest-point sampling: starts at each group's first point (least id), then takes the point whose
-    distance to those taken is largest (ties: the earlier).  A group is one task."""
+    distance to those taken is largest (ties: the earlier).  Groups of more than ``ONE_TASK`` points stay where they are: in each
+    round the tasks' farthest points meet in a grouped minimum, and the winner goes back to all."""
+    keys = list(keys)
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = n.where(F.col("_n") > ONE_TASK).drop("_n")
+    if large.isEmpty():
+        return _farthest_small(points, keys, k, id, axes)
+    small = points.join(large, keys, "left_anti") if keys else points.limit(0)
+    return _farthest_small(small, keys, k, id, axes).unionByName(_farthest_large(points.join(large, keys) if keys else points, keys, k, id, axes))
+
+
+def _farthest_large(points: DataFrame, keys: list[str], k: int, id: str, axes) -> DataFrame:
+    p = points.select(*keys, id, *[F.col(a).cast("double").alias(a) for a in axes], F.lit(float("inf")).alias("_far"))
+    p, out, taken = storage.stage(p, "far"), None, None
+    spot = [F.col(a) for a in axes]
+    for k_ in range(k):
+        if taken is not None:
+            d2 = lambda w: reduce(lambda x, y: x + y, [(F.col(a) - w[a]) * (F.col(a) - w[a]) for a in axes])
+            near = F.array_min(F.transform("_w", d2))
+            now = (p.join(F.broadcast(taken), keys) if keys else p.join(F.broadcast(taken))).withColumn("_far", F.least("_far", near)).drop("_w")
+        else:
+            now = p
+        if k_ and k_ % ROUNDS == 0:
+            before, p = p, storage.stage(now, "far")
+            storage.release(before)
+            now, taken = p, None
+        far = F.min(F.struct((-F.col("_far")).alias("f"), F.col(id).alias("i"), *spot)).alias("_b")
+        best = storage.stage(now.groupBy(*keys).agg(far, F.count(F.lit(1)).alias("_c")).where(F.col("_c") > k_).select(*keys, "_b"), "winner")
+        rows = best.select(*keys, F.col("_b.i").alias(id), F.lit(k_).cast("bigint").alias("rank"))
+        out = rows if out is None else out.unionByName(rows)
+        one = best.select(*keys, F.array(F.struct(*[F.col(f"_b.{a}").alias(a) for a in axes])).alias("_new"))
+        if taken is None:
+            taken = one.withColumnRenamed("_new", "_w")
+        else:
+            both = taken.join(one, keys, "left") if keys else taken.join(one)
+            taken = storage.stage(both.select(*keys, F.when(F.col("_new").isNull(), F.col("_w")).otherwise(F.concat("_w", "_new")).alias("_w")), "taken")
+    return out
+
+
+def _farthest_small(points: DataFrame, keys: list[str], k: int, id: str, axes) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(id, kind="stable")
         p = g[list(axes)].to_numpy(float)

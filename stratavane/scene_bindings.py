@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratavane.bindings import _B, _BP, _E, _boxes, _r, _read, query
 from stratavane.functions import geometry as G
 from stratavane.functions import text as X
-from stratavane.operators import boxes, evaluation, labels, masks, matching, spatial, suppression
+from stratavane.operators import boxes, evaluation, labels, masks, matching, runs, spatial, suppression
 from stratavane.streaming import incremental
 
 # --- points, pixels, frames --------------------------------------------------------------------------
@@ -398,3 +398,44 @@ def running_vectors(spark, sf):
     """Component sums as the incremental form has them, here over the whole table."""
     e = _read(spark, sf, "embeddings")
     return incremental.running_vectors(e.select("label", F.col("embedding").cast("array<double>").alias("v")), ["label"], "v").select("label", "pos", _r("total", 5))
+
+
+# --- run lengths -------------------------------------------------------------------------------------
+
+_RL = """m AS (SELECT DISTINCT l_suppkey % 30 AS m, l_orderkey // 8 AS p, l_returnflag = 'A' AS one FROM lineitem)"""
+_ISLANDS = "g AS (SELECT m, p, p - row_number() OVER (PARTITION BY m ORDER BY p) AS g FROM x), r AS (SELECT m, min(p) AS s, max(p) + 1 AS e FROM g GROUP BY m, g)"
+
+
+def _runs(spark, sf, where="true"):
+    """Masks as run lengths, read back as runs."""
+    l = _read(spark, sf, "lineitem").where(where).select((F.col("l_suppkey") % 30).alias("inst_id"), F.floor(F.col("l_orderkey") / 8).alias("point_id"))
+    return runs.runs(masks.rle_encode(l, ["inst_id"]), ["inst_id"])
+
+
+def _run_sql(elements: str) -> str:
+    return f"WITH {_RL}, x AS ({elements}), {_ISLANDS} SELECT m AS inst_id, s, e FROM r"
+
+
+@query(_run_sql("SELECT m, p FROM m WHERE one INTERSECT SELECT m, p FROM m WHERE NOT one"))
+def run_intersection(spark, sf):
+    """What two masks share, from their runs."""
+    return runs.combine("intersection", _runs(spark, sf, "l_returnflag = 'A'"), _runs(spark, sf, "l_returnflag <> 'A'"), ["inst_id"])
+
+
+@query(_run_sql("SELECT m, p FROM m WHERE one EXCEPT SELECT m, p FROM m WHERE NOT one"))
+def run_difference(spark, sf):
+    """What the first of two masks has alone, from their runs."""
+    return runs.combine("difference", _runs(spark, sf, "l_returnflag = 'A'"), _runs(spark, sf, "l_returnflag <> 'A'"), ["inst_id"])
+
+
+@query(_run_sql("SELECT DISTINCT m, p FROM m"))
+def run_union(spark, sf):
+    """The union of two masks, from their runs."""
+    return runs.combine("union", _runs(spark, sf, "l_returnflag = 'A'"), _runs(spark, sf, "l_returnflag <> 'A'"), ["inst_id"])
+
+
+@query(f"""WITH {_RL}, d AS (SELECT DISTINCT m, p FROM m), n AS (SELECT m, count(*) AS n FROM d GROUP BY 1), x AS (SELECT a.m AS a, b.m AS b, count(*) AS inter FROM d a JOIN d b ON a.p = b.p AND a.m < b.m GROUP BY 1, 2)
+SELECT a, b, inter, na.n AS size_a, nb.n AS size_b, round(inter / (na.n + nb.n - inter), 9) AS iou FROM x JOIN n na ON na.m = a JOIN n nb ON nb.m = b""")
+def run_overlap_iou(spark, sf):
+    """Overlap of masks from their runs."""
+    return runs.overlaps(_runs(spark, sf)).select("a", "b", F.col("inter").cast("bigint").alias("inter"), "size_a", "size_b", _r("iou", 9))

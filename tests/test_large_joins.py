@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratavane.operators import boxes, evaluation, masks, matching, ordered, spatial, suppression
+from stratavane.operators import boxes, evaluation, masks, matching, ordered, runs, spatial, suppression
 
 XYZ = "point_id long, x double, y double, z double"
 
@@ -149,3 +149,39 @@ def test_bitmaps_and_joins_give_the_same_overlaps(spark, monkeypatch, weighted,
     ids = [(a, b) for a in sets for b in sets if (a < 25 and b >= 15 if two else a < b)]
     want = {(a, b): (weight(sets[a] & sets[b]), weight(sets[a]), weight(sets[b])) for a, b in ids if sets[a] & sets[b]}
     assert out[0] == out[1] == out[2] == want
+
+
+@pytest.mark.parametrize("kind", ["union", "intersection", "difference", "symmetric"])
+def test_run_algebra_equals_sets(spark, parted, kind):
+    r = random.Random(11)
+    rows = [(side, m, s, s + r.choice([0, 1, 3, 20])) for side in "ab" for m in (1, 2, 3) for s in (r.randrange(300) for _ in range(60 if m < 3 or side == "a" else 0))]
+    df = spark.createDataFrame(rows, "side string, inst_id long, s long, e long")
+    elements = lambda side, m: {x for d, k, s, e in rows if d == side and k == m for x in range(s, e)}
+    out = runs.combine(kind, df.where("side = 'a'"), df.where("side = 'b'"), ["inst_id"]).collect()
+    op = {"union": set.union, "intersection": set.intersection, "difference": set.difference, "symmetric": set.symmetric_difference}[kind]
+    for m in (1, 2, 3):
+        own = sorted((x.s, x.e) for x in out if x.inst_id == m)
+        assert {p for s, e in own for p in range(s, e)} == op(elements("a", m), elements("b", m))
+        assert all(s < e for s, e in own) and all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_runs_and_run_lengths(spark):
+    sets = {1: {0, 1, 2, 9}, 2: {2, 3, 9, 10}, 3: {50}}
+    inst = spark.createDataFrame([(m, p) for m, s in sets.items() for p in s], "inst_id long, point_id long")
+    enc = masks.rle_encode(inst, ["inst_id"])
+    back = runs.runs(enc, ["inst_id"])
+    assert {x.inst_id: x.counts for x in runs.encode(runs.separate(back, ["inst_id"]), ["inst_id"]).collect()} == {x.inst_id: x.counts for x in enc.collect()}
+    assert {x.inst_id: x.n for x in runs.area(back, ["inst_id"]).collect()} == {1: 4, 2: 4, 3: 1}
+    assert [(x.a, x.b, x.inter, x.iou) for x in runs.overlaps(back).collect()] == [(1, 2, 2, 2 / 6)]
+
+
+@pytest.mark.parametrize("keys", [[], ["s"]])
+def test_farthest_points_of_a_large_group(spark, monkeypatch, keys):
+    rng = np.random.default_rng(9)
+    rows = [(s, k, *map(float, rng.integers(0, 9, 3))) for s, n in (("a", 150), (None, 3), ("b", 60)) for k in range(n) if keys or s == "a"]
+    df = spark.createDataFrame(rows, "s string, point_id long, x double, y double, z double").where("s IS NOT NULL").repartition(4)
+    small = spatial.farthest_points(df, ["s"], 12).collect()
+    monkeypatch.setattr(spatial, "ONE_TASK", 100)
+    monkeypatch.setattr(spatial, "ROUNDS", 5)
+    large = spatial.farthest_points(df, keys, 12).collect()
+    assert {(x.point_id, x["rank"], x.s if keys else "a") for x in large} == {(x.point_id, x["rank"], x.s) for x in small}
