@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavane import storage
 from stratavane.functions import vectors as V
 
 #: Classes (rows of a text-feature table) that are broadcast at a time.
@@ -15,10 +18,11 @@ def class_scores(features: DataFrame, classes: DataFrame, *, vector: str = "feat
     """Each row's ``scores``: (class, cosine, softmax of scale * cosine) over the text features, as an array.
 
     The vocabulary is one array row per executor, which a softmax over all classes needs whole: at most ``BROADCAST_CLASSES``
-    (about 60 MB at 768 components), else an error; ``nearest_class`` goes by blocks and has no such bound."""
+    (about 60 MB at 768 components), else an error; ``class_probabilities`` gives the same as rows and ``nearest_class`` the best class,
+    by blocks and without a bound."""
     n = classes.count()
     if n > BROADCAST_CLASSES:
-        raise ValueError(f"{n} classes; use nearest_class, or fewer than {BROADCAST_CLASSES}")
+        raise ValueError(f"{n} classes; class_probabilities has no bound, this form has {BROADCAST_CLASSES}")
     table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e")))).alias("_classes"))
     cos = F.transform("_classes", lambda x: V.cosine(F.col(vector), x["e"]))
     out = features.join(F.broadcast(table)).withColumn("_cos", cos).withColumn("_p", V.softmax(F.col("_cos"), scale))
@@ -26,6 +30,26 @@ def class_scores(features: DataFrame, classes: DataFrame, *, vector: str = "feat
     return out.withColumn("scores", scores).drop("_classes", "_cos", "_p")
 
 
+def class_probabilities(features: DataFrame, classes: DataFrame, *, vector: str = "feat", emb: str = "emb", cls: str = "class_id", scale: float = 100.0, block: int = BROADCAST_CLASSES) -> DataFrame:
+    """A row for each row and class with ``cosine`` and ``p``, the softmax of scale * cosine over all classes, over any number of them: a block of classes
+    is broadcast at a time, first to find each row's greatest value and the sum of the exponentials, then to give the shares."""
+    n = classes.count()
+    blocks = max(1, -(-n // block))
+    part = lambda k: classes if blocks == 1 else classes.where(F.pmod(F.xxhash64(cls), F.lit(blocks)) == k)
+    table = lambda k: F.broadcast(part(k).agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e"))).alias("_classes")))
+    cos = lambda x: V.cosine(F.col(vector), x["e"]).cast("double")
+    out = features.withColumn("_m", F.lit(float("-inf"))).withColumn("_z", F.lit(0.0))
+    for k in range(blocks):
+        x = out.join(table(k)).withColumn("_cos", F.transform("_classes", lambda c: cos(c) * scale)).withColumn("_top", F.greatest("_m", F.coalesce(F.array_max("_cos"), F.lit(float("-inf")))))
+        here = F.aggregate("_cos", F.lit(0.0), lambda a, c: a + F.exp(c - F.col("_top")))
+        x = x.withColumn("_z", F.when(F.col("_m") > float("-inf"), F.col("_z") * F.exp(F.col("_m") - F.col("_top"))).otherwise(0.0) + here)
+        out = x.withColumn("_m", F.col("_top")).drop("_classes", "_cos", "_top")
+    out = storage.stage(out, "softmax")
+    rows = [out.join(table(k)).withColumn("_c", F.explode(F.transform("_classes", lambda c: F.struct(c["c"].alias("c"), cos(c).alias("s"))))) for k in range(blocks)]
+    share = F.exp(F.col("_c.s") * scale - F.col("_m")) / F.col("_z")
+    return reduce(DataFrame.unionByName, rows).select(*[F.col(f"`{c}`") for c in features.columns], F.col("_c.c").alias(cls), F.col("_c.s").alias("cosine"), share.alias("p"))
+
+
 def nearest_class(features: DataFrame, classes: DataFrame, *, vector: str = "feat", emb: str = "emb", cls: str = "class_id", block: int = BROADCAST_CLASSES) -> DataFrame:
     """Each row with its class of the greatest ``cosine`` (ties: the smaller id), over any number of classes: a block of them
     is broadcast at a time, and the best so far goes along."""

@@ -12,6 +12,7 @@ from stratavane.bindings import _B, _BP, _E, _boxes, _r, _read, query
 from stratavane.functions import geometry as G
 from stratavane.functions import text as X
 from stratavane.operators import boxes, evaluation, labels, masks, matching, runs, spatial, suppression
+from stratavane.plans import proposals
 from stratavane.streaming import incremental
 
 # --- points, pixels, frames --------------------------------------------------------------------------
@@ -141,7 +142,8 @@ def nearest_class(spark, sf):
 # --- suppression of masks, detections ----------------------------------------------------------------
 
 _INST = """m AS (SELECT DISTINCT l_returnflag AS s, l_suppkey AS i, l_partkey % 97 + l_suppkey // 4 * 48 AS p FROM lineitem),
-n AS (SELECT s, i, count(*) AS n, i * 5 % 24 AS score, i % 2 AS cls FROM m GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, i) AS k FROM n),
+n AS (SELECT s, i, count(*) AS n, i * 5 % 24 AS score, i % 2 AS cls FROM m GROUP BY 1, 2)"""
+_NEAR = """rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, i) AS k FROM n),
 x AS (SELECT a.s, a.i AS a, b.i AS b, count(*) AS x FROM m a JOIN m b ON a.s = b.s AND a.p = b.p AND a.i <> b.i GROUP BY 1, 2, 3),
 near AS (SELECT x.s, ra.k AS better, rb.k, ra.cls = rb.cls AS same FROM x JOIN rk ra ON ra.s = x.s AND ra.i = a JOIN rk rb ON rb.s = x.s AND rb.i = b WHERE ra.k < rb.k AND x.x / (ra.n + rb.n - x.x) > 0.29)"""
 
@@ -153,9 +155,9 @@ def _instances(spark, sf):
     return inst, info
 
 
-def _kept_sql(same: str) -> str:
+def _kept_sql(same: str, inst: str = _INST) -> str:
     """The rows in order, one after another: each stays unless a better neighbour is among those kept so far."""
-    return f"""{_INST}, ov AS (SELECT s, k, list(better) AS over FROM near WHERE true {same} GROUP BY 1, 2), bo AS MATERIALIZED (SELECT rk.s, rk.k, rk.i, coalesce(over, []) AS over FROM rk LEFT JOIN ov ON ov.s = rk.s AND ov.k = rk.k),
+    return f"""{inst}, {_NEAR}, ov AS (SELECT s, k, list(better) AS over FROM near WHERE true {same} GROUP BY 1, 2), bo AS MATERIALIZED (SELECT rk.s, rk.k, rk.i, coalesce(over, []) AS over FROM rk LEFT JOIN ov ON ov.s = rk.s AND ov.k = rk.k),
 st(s, k, i, kept) AS (SELECT DISTINCT s, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM rk UNION ALL SELECT bo.s, bo.k, bo.i, CASE WHEN list_has_any(kept, over) THEN kept ELSE list_append(kept, bo.k) END FROM st JOIN bo ON bo.s = st.s AND bo.k = st.k + 1),
 kept AS (SELECT s, k, i FROM st WHERE k > 0 AND list_contains(kept, k))"""
 
@@ -439,3 +441,30 @@ SELECT a, b, inter, na.n AS size_a, nb.n AS size_b, round(inter / (na.n + nb.n -
 def run_overlap_iou(spark, sf):
     """Overlap of masks from their runs."""
     return runs.overlaps(_runs(spark, sf)).select("a", "b", F.col("inter").cast("bigint").alias("inter"), "size_a", "size_b", _r("iou", 9))
+
+
+# --- a 3D network's proposals ------------------------------------------------------------------------
+
+_PROPOSED = """m0 AS (SELECT DISTINCT l_returnflag AS s, l_suppkey AS i, l_partkey % 97 + l_suppkey // 4 * 48 AS p FROM lineitem WHERE l_quantity >= 20 AND l_suppkey * 7 % 13 / 10.0 >= 0.1),
+n AS (SELECT s, i, count(*) AS n, least(i * 7 % 13 / 10.0, 1.0) AS score, list_position([i * 3 % 7, i * 5 % 7, i * 2 % 7], greatest(i * 3 % 7, i * 5 % 7, i * 2 % 7)) - 1 AS cls FROM m0 GROUP BY 1, 2 HAVING count(*) >= 20),
+m AS (SELECT m0.s, m0.i, m0.p FROM m0 JOIN n ON n.s = m0.s AND n.i = m0.i)"""
+_TO_POINTS = """vx AS (SELECT DISTINCT l_returnflag AS s, l_partkey % 97 + l_suppkey // 4 * 48 AS p FROM lineitem), pt AS (SELECT s, p, p * 2 + d AS pt FROM vx, (SELECT unnest([0, 1]) AS d)), sz AS (SELECT s, pt // 3 AS spp, count(*) AS sz FROM pt GROUP BY 1, 2),
+a0 AS (SELECT kept.s, kept.i, pt FROM kept JOIN m ON m.s = kept.s AND m.i = kept.i JOIN pt ON pt.s = m.s AND pt.p = m.p UNION ALL SELECT s, -1 - p % 9, pt FROM pt WHERE p % 9 IN (0, 4)),
+a1 AS (SELECT a0.s, i, pt // 3 AS spp FROM a0 JOIN sz ON sz.s = a0.s AND sz.spp = pt // 3 GROUP BY 1, 2, 3 HAVING 2 * count(*) >= any_value(sz)), a2 AS (SELECT a1.s, i, pt FROM a1 JOIN pt ON pt.s = a1.s AND pt.pt // 3 = a1.spp),
+g AS (SELECT s, i, pt, pt - row_number() OVER (PARTITION BY s, i ORDER BY pt) AS g FROM a2), fin AS (SELECT s, i, count(*) AS n, count(DISTINCT g) AS runs, sum(pt)::BIGINT AS points FROM g GROUP BY 1, 2 HAVING count(*) >= 20 OR i < 0)"""
+
+
+@query(f"""WITH RECURSIVE {_kept_sql('AND same', _PROPOSED)}, {_TO_POINTS}
+SELECT fin.s AS scene_id, fin.i AS inst_id, CASE WHEN fin.i < 0 THEN -fin.i ELSE cls + 1 END::INT AS label_id, CASE WHEN fin.i < 0 THEN 1.0 ELSE score END::DOUBLE AS conf, fin.n, runs, points FROM fin LEFT JOIN n ON n.s = fin.s AND n.i = fin.i""")
+def proposal_instances(spark, sf):
+    """Raw proposals as instances with classes and run lengths."""
+    l, i = _read(spark, sf, "lineitem"), F.col("l_suppkey")
+    at = l.select(F.col("l_returnflag").alias("scene_id"), i.alias("inst_id"), (F.col("l_partkey") % 97 + F.floor(i / 4) * 48).alias("voxel_id"), (F.col("l_quantity") - 20).alias("logit"))
+    p = at.select("scene_id", "inst_id").distinct().select("*", F.array(*[(F.col("inst_id") * k % 7).cast("double") for k in (3, 5, 2, 1)]).alias("logits"), (F.col("inst_id") * 7 % 13 / 10.0).alias("conf"))
+    voxels = at.select("scene_id", "voxel_id").distinct()
+    pts = voxels.withColumn("point_id", F.explode(F.array(F.col("voxel_id") * 2, F.col("voxel_id") * 2 + 1)))
+    spp = pts.select("scene_id", "point_id", F.floor(F.col("point_id") / 3).alias("spp"))
+    out = proposals.instances(p, at, pts, spp, semantic=voxels.withColumn("sem", F.col("voxel_id") % 9), whole_classes=[0, 4], points=20, nms="class", threshold=0.29)
+    starts = F.transform(F.sequence(F.lit(0), (F.size("counts") / 2).cast("int") - 1), lambda j: F.struct(F.get("counts", j * 2).cast("bigint").alias("s"), F.get("counts", j * 2 + 1).cast("bigint").alias("n")))
+    points = F.aggregate(starts, F.lit(0).cast("bigint"), lambda a, r: a + r["n"] * (r["s"] - 1) + (r["n"] * (r["n"] - 1) / 2).cast("bigint"))
+    return out.select("scene_id", "inst_id", "label_id", "conf", masks.rle_area(F.col("counts")).alias("n"), (F.size("counts") / 2).cast("bigint").alias("runs"), points.alias("points"))

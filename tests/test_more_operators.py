@@ -313,3 +313,13 @@ def test_average_precision_equals_a_plain_version(spark):
         for (label, th), (ap, recall) in got.items():
             assert (ap, recall) == pytest.approx(_plain_ap(preds, gt, label, th, least))
         assert set(got) == {(k, t) for k in (1, 2) for t in (0.25, 0.5)}
+
+
+def test_class_probabilities_go_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    f = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(9)], "id long, feat array<double>")
+    c = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(17)], "class_id long, emb array<double>")
+    want = {(r.id, s.class_id): s.p for r in labels.class_scores(f, c, scale=20.0).collect() for s in r.scores}
+    for block in (100, 5):
+        got = {(r.id, r.class_id): r.p for r in labels.class_probabilities(f, c, scale=20.0, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
