@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratavane.bindings import _B, _BP, _E, _boxes, _r, _read, query
 from stratavane.functions import geometry as G
 from stratavane.functions import text as X
-from stratavane.operators import boxes, evaluation, labels, masks, matching, runs, spatial, suppression
+from stratavane.operators import boxes, evaluation, labels, masks, matching, merge, runs, spatial, suppression
 from stratavane.plans import proposals
 from stratavane.streaming import incremental
 
@@ -468,3 +468,33 @@ def proposal_instances(spark, sf):
     starts = F.transform(F.sequence(F.lit(0), (F.size("counts") / 2).cast("int") - 1), lambda j: F.struct(F.get("counts", j * 2).cast("bigint").alias("s"), F.get("counts", j * 2 + 1).cast("bigint").alias("n")))
     points = F.aggregate(starts, F.lit(0).cast("bigint"), lambda a, r: a + r["n"] * (r["s"] - 1) + (r["n"] * (r["n"] - 1) / 2).cast("bigint"))
     return out.select("scene_id", "inst_id", "label_id", "conf", masks.rle_area(F.col("counts")).alias("n"), (F.size("counts") / 2).cast("bigint").alias("runs"), points.alias("points"))
+
+
+# --- the merge tree ----------------------------------------------------------------------------------
+
+_LEAVES = """lv0 AS (SELECT l_returnflag AS s, l_linenumber - 1 AS node, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END * 10000 + (l_linenumber - 1) * 100 + l_suppkey % 6 AS grp,
+ l_partkey % 250 + l_suppkey % 6 * 200 + (l_linenumber - 1) * 30 AS spp, least(count(*), 4) / 4.0 AS weight, (count(*) >= 2)::BIGINT AS cnt FROM lineitem GROUP BY 1, 2, 3, 4),
+size AS (SELECT DISTINCT s, spp, 1 + spp % 3 AS size FROM lv0)"""
+
+
+def _level_sql(n: int, up: str, least: float) -> str:
+    """One level: the groups of nodes for which ``up`` holds move to the parent (half the node's number) and merge there."""
+    return f"""on{n} AS (SELECT s, node // 2 AS node, grp, spp, cnt, weight FROM lv{n} WHERE {up}), cv{n} AS (SELECT o.s, node, grp, o.spp, size FROM on{n} o JOIN size z ON z.s = o.s AND z.spp = o.spp WHERE cnt > 0),
+sg{n} AS (SELECT s, grp, sum(size) AS n FROM cv{n} GROUP BY 1, 2), pr{n} AS (SELECT a.grp AS a, b.grp AS b, sum(a.size) AS x FROM cv{n} a JOIN cv{n} b ON a.s = b.s AND a.node = b.node AND a.spp = b.spp AND a.grp < b.grp GROUP BY 1, 2),
+ed{n} AS (SELECT a, b FROM pr{n} JOIN sg{n} ga ON ga.grp = a JOIN sg{n} gb ON gb.grp = b WHERE x / (ga.n + gb.n - x + 1e-6) >= {least}), sy{n} AS (SELECT a, b FROM ed{n} UNION SELECT b, a FROM ed{n}),
+re{n}(a, b) AS (SELECT grp, grp FROM sg{n} UNION SELECT re{n}.a, sy{n}.b FROM re{n} JOIN sy{n} ON sy{n}.a = re{n}.b), co{n} AS MATERIALIZED (SELECT a AS grp, min(b) AS comp FROM re{n} GROUP BY 1), me{n} AS (SELECT comp, count(*) AS m FROM co{n} GROUP BY 1),
+lv{n + 1} AS MATERIALIZED (SELECT s, node, comp AS grp, spp, sum(weight) / any_value(m) AS weight, sum(cnt) AS cnt FROM on{n} JOIN co{n} USING (grp) JOIN me{n} USING (comp) GROUP BY 1, 2, 3, 4 UNION ALL SELECT s, node // 2, grp, spp, weight, cnt FROM lv{n} WHERE NOT ({up}))"""
+
+
+@query(f"""WITH RECURSIVE {_LEAVES}, {_level_sql(0, "node < 6", 0.6)}, {_level_sql(1, "true", 0.5)}, {_level_sql(2, "true", 0.35)}
+SELECT s AS scene_id, grp, spp, cnt::BIGINT AS cnt, round(weight, 9) AS weight FROM lv3""")
+def hierarchical_merge(spark, sf):
+    """The masks of seven frames merged up the tree of frames, looser towards the root."""
+    f, k = F.col("l_linenumber") - 1, F.col("l_suppkey") % 6
+    scene = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    at = [F.col("l_returnflag").alias("scene_id"), f.alias("frame_ord"), (scene * 10000 + f * 100 + k).alias("grp"), (F.col("l_partkey") % 250 + k * 200 + f * 30).alias("spp")]
+    leaves = _read(spark, sf, "lineitem").groupBy(*at).agg((F.count(F.lit(1)) >= 2).cast("bigint").alias("cnt"), (F.least(F.count(F.lit(1)), F.lit(4)) / 4.0).alias("weight"))
+    sizes = leaves.select("scene_id", "spp").distinct().withColumn("size", 1 + F.col("spp") % 3)
+    frames = leaves.groupBy("scene_id").agg((F.max("frame_ord") + 1).alias("n"))
+    out = merge.hierarchical_merge(leaves, frames, sizes, visi=[0.35, 0.5, 0.6], simi=None)
+    return out.select("scene_id", "grp", "spp", "cnt", _r("weight", 9))
