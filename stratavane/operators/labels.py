@@ -59,9 +59,9 @@ def nearest_class(features: DataFrame, classes: DataFrame, *, vector: str = "fea
     for k in range(max(1, -(-n // block))):
         part = classes if n <= block else classes.where(F.pmod(F.xxhash64(cls), F.lit(-(-n // block))) == k)
         table = part.agg(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e"))).alias("_classes"))
-        found = F.array_max(F.transform("_classes", lambda x: F.struct(V.cosine(F.col(vector), x["e"]).cast("double").alias("s"), (-x["c"]).cast(kind).alias("c"))))
-        out = out.join(F.broadcast(table)).withColumn("_best", F.greatest(F.col("_best"), found)).drop("_classes")
-    return out.withColumn(cls, (-F.col("_best.c")).cast(kind)).withColumn("cosine", F.col("_best.s")).drop("_best")
+        found = F.array_min(F.transform("_classes", lambda x: F.struct((-V.cosine(F.col(vector), x["e"])).cast("double").alias("s"), x["c"].alias("c"))))
+        out = out.join(F.broadcast(table)).withColumn("_best", F.least(F.col("_best"), found)).drop("_classes")
+    return out.withColumn(cls, F.col("_best.c")).withColumn("cosine", -F.col("_best.s")).drop("_best")
 
 
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -186,7 +186,7 @@ def largest_region(pixels: DataFrame, keys: list[str], least: int, mode: str = "
         work = frame.join(px, [*keys, "row", "col"], "left_anti")
     else:
         work = px
-    node = F.xxhash64(*keys, "row", "col")
+    node = F.struct(*keys, "row", "col")
     w = work.withColumn("a", node)
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
     to = w.withColumn("_s", F.explode(steps)).select(*keys, "a", (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"))

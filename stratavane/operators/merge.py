@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavane import storage
 from stratavane.functions import vectors
 from stratavane.operators import masks
 from stratavane.operators.graph import connected_components
+from stratavane.operators.skew import numbered
 
 
 def tree(n: int) -> list[list[tuple[int, int]]]:
@@ -27,6 +28,24 @@ def tree(n: int) -> list[list[tuple[int, int]]]:
     return levels
 
 
+def node_at(frame: Column, n: Column, depth: int) -> Column:
+    """The node (lo, hi) at a depth of the tree over n frames that holds a frame, or the leaf above it."""
+    root = F.struct(F.lit(0).cast("bigint").alias("lo"), (n - 1).cast("bigint").alias("hi"))
+    if not depth:
+        return root
+
+    def down(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2)
+        left = frame <= mid
+        return F.struct(F.when(left, at["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(at["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, lambda at, k: F.when(at["lo"] < at["hi"], down(at, k)).otherwise(at))
+
+
+def _name(lo: Column, hi: Column) -> Column:
+    return lo.cast("bigint") * (1 << 31) + hi
+
+
 def frame_masks(mapping: DataFrame, pixels: DataFrame, superpoints: DataFrame, features: DataFrame | None, least: float = 0.5, similar: float = 0.5) -> DataFrame:
     """The leaves: of each mask the superpoints it covers by half or more, if there are at least two;
     with features (scene_id, spp, feat) only those similar to another covered one.  Weights are
@@ -81,27 +100,13 @@ def hierarchical_merge(leaves: DataFrame, frames: DataFrame, sizes: DataFrame, *
     """Bottom-up merge over the frame tree.  leaves: scene_id, frame_ord (dense from 0), grp (unique), spp,
     cnt, weight; frames: scene_id, n (frames of the scene); sizes: scene_id, spp, size.  A list of
     thresholds is indexed by depth // inter, so the root takes the first (loosest)."""
-    deepest = 0
     n_max = frames.agg(F.max("n")).first()[0] or 0
-    if n_max:
-        deepest = math.ceil(math.log2(n_max)) if n_max > 1 else 0
-    counts = [r[0] for r in frames.select("n").distinct().collect()]
-    spark = leaves.sparkSession
-    edges = {}  # of each scene size and depth: (node's start, parent's start)
-    for n in counts:
-        for depth, level in enumerate(tree(n)):
-            for lo, hi in level:
-                if lo < hi:
-                    mid = (lo + hi) // 2
-                    edges.setdefault(depth, []).extend([(n, lo, hi, lo, mid), (n, lo, hi, mid + 1, hi)])
-    state = leaves.select("scene_id", F.col("frame_ord").cast("int").alias("lo"), F.col("frame_ord").cast("int").alias("hi"), "grp", "spp", "cnt", "weight")
-    name = lambda lo, hi: F.col(lo).cast("bigint") * (1 << 31) + F.col(hi)
-    state = state.select("scene_id", name("lo", "hi").alias("node"), "grp", "spp", "cnt", "weight")
-    for depth in range(deepest, -1, -1):
-        if depth not in edges:
-            continue
-        table = spark.createDataFrame(edges[depth], "n bigint, plo bigint, phi bigint, lo bigint, hi bigint")
-        parents = frames.withColumn("n", F.col("n").cast("bigint")).join(table, "n").select("scene_id", name("lo", "hi").alias("node"), name("plo", "phi").alias("parent"))
+    deepest = math.ceil(math.log2(n_max)) if n_max > 1 else 0
+    state = leaves.select("scene_id", _name(F.col("frame_ord"), F.col("frame_ord")).alias("node"), "grp", "spp", "cnt", "weight")
+    for depth in range(deepest - 1, -1, -1):
+        nodes = state.select("scene_id", "node").distinct().join(frames.select("scene_id", F.col("n").cast("bigint").alias("n")), "scene_id")
+        up = node_at(F.shiftright("node", 31), F.col("n"), depth)
+        parents = nodes.select("scene_id", "node", _name(up["lo"], up["hi"]).alias("parent")).where("parent <> node")
         limit = visi if not isinstance(visi, list) else visi[min(depth // inter, len(visi) - 1)]
         state = merge_level(state, sizes, parents, visi=limit, reca=reca, simi=simi, features=features)
     return state.drop("node")
@@ -128,6 +133,6 @@ def sequential_merge(frames: list[DataFrame], threshold: float, *, element: str
     out = frames[0]
     for nxt in frames[1:]:
         m = best_match_merge(out, nxt, threshold, element=element)
-        ids = m.select("kind", "a", "b").distinct().withColumn("inst_id", F.row_number().over(Window.orderBy("kind", "a", "b")).cast("bigint"))
+        ids = numbered(m.select("kind", "a", "b").distinct(), ["kind", "a", "b"], "inst_id").withColumn("inst_id", F.col("inst_id") + 1)
         out = storage.stage(m.join(ids, (m.kind == ids.kind) & m.a.eqNullSafe(ids.a) & m.b.eqNullSafe(ids.b)).select("inst_id", element).distinct(), "fold")
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratavane.bindings import _B, _BP, _E, _boxes, _r, _read, query
 from stratavane.functions import geometry as G
 from stratavane.functions import text as X
-from stratavane.operators import boxes, evaluation, labels, masks, matching, merge, runs, spatial, suppression
+from stratavane.operators import augment, boxes, evaluation, labels, masks, matching, merge, runs, spatial, suppression
 from stratavane.plans import proposals
 from stratavane.streaming import incremental
 
@@ -498,3 +498,32 @@ def hierarchical_merge(spark, sf):
     frames = leaves.groupBy("scene_id").agg((F.max("frame_ord") + 1).alias("n"))
     out = merge.hierarchical_merge(leaves, frames, sizes, visi=[0.35, 0.5, 0.6], simi=None)
     return out.select("scene_id", "grp", "spp", "cnt", _r("weight", 9))
+
+
+# --- augmentation ------------------------------------------------------------------------------------
+
+
+def _elastic_sql(gran: int, mag: float, seed: int) -> str:
+    u = lambda c, t: f"((('0x' || md5('{seed}:' || s || ':' || i || ':' || j || ':' || k || ':{c}:{t}')[1:12])::BIGINT + 0.5) / 281474976710656.0)"
+    noise = ", ".join(f"sqrt(-2 * ln({u(c, 'r')})) * cos(2 * pi() * {u(c, 'a')}) AS n{c}" for c in range(3))
+    smooth = []
+    for n, axis in enumerate("ijkijk"):
+        others = ", ".join(a for a in "ijk" if a != axis)
+        smooth.append(f"l{n + 1} AS (SELECT s, i, j, k, " + ", ".join(f"sum(n{c}) OVER w / 3 AS n{c}" for c in range(3)) + f" FROM l{n} WINDOW w AS (PARTITION BY s, {others} ORDER BY {axis} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))")
+    size = ", ".join(f"(floor(floor(max(abs({a}))) / {gran}) + 3)::INT AS sz{a}" for a in "xyz")
+    place = ", ".join(f"({a} + (sz{a} - 1) * {gran}) / {2 * gran} AS t{a}" for a in "xyz")
+    cell = ", ".join(f"least(greatest(floor(t{a}), 0), sz{a} - 2)::INT AS c{a}" for a in "xyz")
+    on = " AND ".join(f"l6.{i} = c{a} + (q >> {n} & 1)" for n, (i, a) in enumerate(zip("ijk", "xyz", strict=True)))
+    w = " * ".join(f"(CASE WHEN q >> {n} & 1 = 1 THEN t{a} - c{a} ELSE 1 - (t{a} - c{a}) END)" for n, a in enumerate("xyz"))
+    return f"""WITH p AS (SELECT p_partkey % 3 AS s, p_partkey AS id, p_size - 25.0::DOUBLE AS x, p_partkey % 13 - 6.0::DOUBLE AS y, (p_retailprice - 1000) / 100 AS z FROM part), b AS (SELECT s, {size} FROM p GROUP BY 1),
+g AS (SELECT s, i, j, unnest(range(szz)) AS k FROM (SELECT *, unnest(range(szy)) AS j FROM (SELECT *, unnest(range(szx)) AS i FROM b))), l0 AS (SELECT s, i, j, k, {noise} FROM g), {", ".join(smooth)},
+t AS (SELECT p.*, b.* EXCLUDE s, {place} FROM p JOIN b ON b.s = p.s), c AS (SELECT *, {cell} FROM t), m AS (SELECT c.s, id, sum({w} * n0) AS d0, sum({w} * n1) AS d1, sum({w} * n2) AS d2 FROM c, (SELECT unnest(range(8)) AS q) qs JOIN l6 ON l6.s = c.s AND {on} GROUP BY 1, 2)
+SELECT p.s AS scene_id, p.id AS point_id, round(x + {mag} * d0, 6) AS x, round(y + {mag} * d1, 6) AS y, round(z + {mag} * d2, 6) AS z FROM p JOIN m ON m.id = p.id"""
+
+
+@query(_elastic_sql(4, 1.5, 5))
+def elastic_points(spark, sf):
+    """Points moved by smooth noise."""
+    k = F.col("p_partkey")
+    p = _read(spark, sf, "part").select((k % 3).alias("scene_id"), k.alias("point_id"), (F.col("p_size") - 25.0).alias("x"), (k % 13 - 6.0).alias("y"), ((F.col("p_retailprice") - 1000) / 100).alias("z"))
+    return augment.elastic(p, 4, 1.5, scope=["scene_id"], seed=5).select("scene_id", "point_id", _r("x"), _r("y"), _r("z"))
