@@ -170,8 +170,6 @@ def repair(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn
     said = lambda name: F.coalesce(col(name).cast("string"), F.lit(" "))
     ids = turns.select(col(conversation).alias("conv_id"), tagged(col(conversation)).alias("tag"), col(turn).alias("turn"), said(role).alias("role"), said(text).alias("text"), (F.lit(1) if copies is None else col(copies)).cast("bigint").alias("copies"))
     rows = storage.stage(_rows(ids), "turns")
-    if rows.isEmpty():
-        rows = rows.limit(0)
     faults = rows.groupBy("tag").agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).cast("bigint").alias("gaps"),
         F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blank"),
