@@ -24,7 +24,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: list[str] = (), time:
     to = F.when(F.col("_r").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_r").alias("n")))
     u = ordered.carry(ordered.dealt(l.unionByName(r), by, ["_t"]), by, {"_before": (F.max, at)}, {"_after": (F.min, to)})
     w = Window.partitionBy("_part", *by).orderBy("_t")
-    u = u.withColumn("_p", F.coalesce(F.max(at).over(w.rangeBetween(Window.unboundedPreceding, -1)), "_before")).withColumn("_n", F.coalesce(F.min(to).over(w.rangeBetween(0, Window.unboundedFollowing)), "_after"))
+    back = Window.partitionBy("_part", *by).orderBy(F.desc("_t"))  # frames that shrink are computed anew for each row
+    u = u.withColumn("_p", F.coalesce(F.max(at).over(w.rangeBetween(Window.unboundedPreceding, -1)), "_before")).withColumn("_n", F.coalesce(F.min(to).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_after"))
     before, after = F.col("_t") - F.col("_p.t"), F.col("_n.t") - F.col("_t")
     previous = F.col("_p").isNotNull() & (F.col("_n").isNull() | (before < after))
     out = u.where(F.col("_l").isNotNull()).select(*by, F.col("_l").alias(left_id), F.when(previous, -F.col("_p.n")).otherwise(F.col("_n.n")).alias(value), F.when(previous, before).otherwise(after).alias("distance"))

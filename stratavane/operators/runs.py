@@ -41,7 +41,8 @@ def _sweep(events: DataFrame, keys: list[str], keep) -> DataFrame:
     turns = storage.stage(d.where(now != before).select("_part", *keys, "at", now.alias("_on")), "turns")
     off: Column = F.when(~F.col("_on"), F.col("at"))
     turns = ordered.carry(turns, keys, {}, {"_later": (F.min, off)})
-    end = F.coalesce(F.min(off).over(w.rowsBetween(1, Window.unboundedFollowing)), "_later")
+    back = Window.partitionBy("_part", *keys).orderBy(F.desc("at"))  # frames that shrink are computed anew for each row
+    end = F.coalesce(F.min(off).over(back.rowsBetween(Window.unboundedPreceding, -1)), "_later")
     return turns.withColumn("e", end).where("_on").select(*keys, F.col("at").alias("s"), "e")
 
 

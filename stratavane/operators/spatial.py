@@ -108,7 +108,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, *, scope: list[str] =
     u = q.withColumn("_block", none.cast("bigint")).unionByName(blocks.select(*scope, "_z", "_block"), allowMissingColumns=True).withColumn("_is", F.col("_block").isNotNull())
     u = ordered.carry(ordered.dealt(u, scope, ["_z"]), scope, {"_before": (F.max, F.col("_block"))}, {"_after": (F.min, F.col("_block"))})
     w = Window.partitionBy("_part", *scope).orderBy("_z")
-    own = F.coalesce(F.max("_block").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_before", F.min("_block").over(w.rangeBetween(0, Window.unboundedFollowing)), "_after")
+    own = F.coalesce(F.max("_block").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_before", F.min("_block").over(Window.partitionBy("_part", *scope)), "_after")
     q = storage.stage(u.withColumn("_own", own).where("NOT _is").select(*scope, qid, *at("q"), F.col("_own").alias("_own")), "queries")
 
     d2 = squared("q", "p", axes).alias("d2")
