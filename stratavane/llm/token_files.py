@@ -98,8 +98,8 @@ class Known:
     def merge(self) -> None:
         while len(self.tables) > 1 and sum(len(t[0]) for t in self.tables) > REMEMBERED:
             del self.tables[0]
-        hashes, sizes, ids = (np.concatenate(x) for x in zip(*[(t[0], t[2], t[3]) for t in self.tables], strict=True))
-        first = np.cumsum(sizes) - sizes
+        base = np.cumsum([0, *[len(t[3]) for t in self.tables[:-1]]])  # a merged table's ids aren't in the order of its hashes
+        hashes, first, sizes, ids = (np.concatenate(x) for x in zip(*[(t[0], t[1] + b, t[2], t[3]) for t, b in zip(self.tables, base, strict=True)], strict=True))
         order = np.argsort(hashes)
         self.tables = [(hashes[order], first[order], sizes[order], ids)]
 
