@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavane import storage
 from stratavane.functions import vectors as V
+from stratavane.operators import masks
 
 #: Classes (rows of a text-feature table) that are broadcast at a time.
 BROADCAST_CLASSES = 20_000
@@ -75,10 +76,13 @@ def mask_scores(point_scores: DataFrame, inst: DataFrame, *, cls: str = "class_i
 
 
 def accumulate_features(mapping: DataFrame, pixels: DataFrame, mask_features: DataFrame, *, vector: str = "feat") -> DataFrame:
-    """Each point's sum over frames of the features of all masks over its pixel.  Masks are counted per
-    point before vectors are touched, so a vector is expanded once per (point, mask)."""
-    hit = mapping.join(pixels, ["scene_id", "frame_id", "row", "col"]).groupBy("scene_id", "frame_id", "mask_id", "point_id").agg(F.count(F.lit(1)).alias("_n"))
-    return V.sum_vectors(hit.join(mask_features, ["scene_id", "frame_id", "mask_id"]), ["scene_id", "point_id"], vector, weight=F.col("_n").cast("double"))
+    """Each point's sum over frames of the features of all masks over its pixel.  Features are summed for each distinct set of
+    pixels that points of a frame lie in, and then once for each (point, frame)."""
+    frame = ["scene_id", "frame_id"]
+    points = storage.stage(masks.views_of_points(mapping, frame), "views")
+    over = masks.masks_over(points, pixels, frame=frame).join(mask_features, [*frame, "mask_id"])
+    sums = V.sum_vectors(over, [*frame, "_at"], vector, weight=F.col("_n").cast("double"))
+    return V.sum_vectors(points.join(sums, [*frame, "_at"]), ["scene_id", "point_id"], vector)
 
 
 def weighted_features(views: DataFrame, *, keys: list[str], vector: str = "feat", weight: str = "conf") -> DataFrame:

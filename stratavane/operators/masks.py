@@ -139,12 +139,32 @@ def membership(mapping: DataFrame, pixels: DataFrame, scope: list[str] = ("scene
     return mapping.join(pixels, [*scope, "row", "col"])
 
 
-def coverage(mapping: DataFrame, hits: DataFrame, superpoints: DataFrame, *, mask: str = "mask_id", frame: list[str] = ("scene_id", "frame_id"), least: float = 0.5) -> DataFrame:
-    """The share of each superpoint's visible points that a mask covers, where it is ``least`` or more."""
-    keys = ["scene_id", "point_id"]
-    total = mapping.join(superpoints, keys).groupBy(*frame, "spp").agg(F.count(F.lit(1)).alias("total"))
-    hit = hits.join(superpoints, keys).groupBy(*frame, mask, "spp").agg(F.countDistinct("point_id").alias("hit"))
-    return hit.join(total, [*frame, "spp"]).withColumn("weight", F.when(F.col("total") == 0, 0.0).otherwise(F.col("hit") / F.col("total"))).where(F.col("weight") >= least)
+def views_of_points(mapping: DataFrame, frame: list[str] = ("scene_id", "frame_id")) -> DataFrame:
+    """Each point's distinct pixels (row, col) in a frame, in order, as ``_at``.  Points of a frame that lie in the same pixels lie under
+    the same masks, so what follows meets masks by the distinct ``_at``, not by points."""
+    return mapping.groupBy(*frame, "point_id").agg(F.array_sort(F.collect_set(F.struct("row", "col"))).alias("_at"))
+
+
+def masks_over(at: DataFrame, pixels: DataFrame, *, mask: str = "mask_id", frame: list[str] = ("scene_id", "frame_id")) -> DataFrame:
+    """The masks over each distinct (frame, ``_at``), and how many of their pixel rows it meets (``_n``)."""
+    met = at.select(*frame, "_at").distinct().select("*", F.explode("_at").alias("_p")).select(*frame, "_at", "_p.row", "_p.col").join(pixels, [*frame, "row", "col"])
+    return met.groupBy(*frame, "_at", mask).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def member_counts(mapping: DataFrame, pixels: DataFrame, *, mask: str = "mask_id", frame: list[str] = ("scene_id", "frame_id")) -> DataFrame:
+    """How many distinct visible points (``n``) lie under each mask: points are counted by their pixels before they meet masks."""
+    at = storage.stage(views_of_points(mapping, frame).groupBy(*frame, "_at").agg(F.count(F.lit(1)).alias("_points")), "views")
+    return masks_over(at, pixels, mask=mask, frame=frame).join(at, [*frame, "_at"]).groupBy(*frame, mask).agg(F.sum("_points").alias("n"))
+
+
+def coverage(mapping: DataFrame, pixels: DataFrame, superpoints: DataFrame, *, mask: str = "mask_id", frame: list[str] = ("scene_id", "frame_id"), least: float = 0.5) -> DataFrame:
+    """The share of each superpoint's visible points that a mask covers, where it is ``least`` or more.  ``pixels`` are the masks'
+    (frame, mask, row, col).  Points are counted by superpoint and pixels before they meet masks."""
+    points = views_of_points(mapping, frame).join(superpoints.select("scene_id", "point_id", "spp").distinct(), ["scene_id", "point_id"])
+    at = storage.stage(points.groupBy(*frame, "_at", "spp").agg(F.count(F.lit(1)).alias("_points")), "views")
+    total = at.groupBy(*frame, "spp").agg(F.sum("_points").alias("total"))
+    hit = masks_over(at, pixels, mask=mask, frame=frame).join(at, [*frame, "_at"]).groupBy(*frame, mask, "spp").agg(F.sum("_points").alias("hit"))
+    return hit.join(total, [*frame, "spp"]).withColumn("weight", F.col("hit") / F.col("total")).where(F.col("weight") >= least)
 
 
 def majority(inst: DataFrame, superpoints: DataFrame, *, mask: str = "inst_id", element: str = "point_id", spp: str = "spp", scope: list[str] = (), least: float = 0.5) -> DataFrame:

@@ -50,9 +50,8 @@ def frame_masks(mapping: DataFrame, pixels: DataFrame, superpoints: DataFrame, f
     """The leaves: of each mask the superpoints it covers by half or more, if there are at least two;
     with features (scene_id, spp, feat) only those similar to another covered one.  Weights are
     the full coverage vector, also of superpoints the mask does not keep."""
-    hits = masks.membership(mapping, pixels).select("scene_id", "frame_id", "mask_id", "point_id").distinct()
     # weights of all touched superpoints; cnt 1 for those that are kept
-    cov = masks.coverage(mapping, hits, superpoints, least=0.0)
+    cov = masks.coverage(mapping, pixels, superpoints, least=0.0)
     kept = cov.where(F.col("weight") >= least)
     key = ["scene_id", "frame_id", "mask_id"]
     many = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
