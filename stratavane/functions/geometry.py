@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -206,6 +207,15 @@ def giou_3d(alow: Column, ahigh: Column, blow: Column, bhigh: Column, eps: float
     return i / (u + eps) - (hull - u) / (hull + eps)
 
 
+def iou_giou_3d(left: list[tuple[Column, Column]], right: list[tuple[Column, Column]], eps: float = 1e-6) -> tuple[Column, Column]:
+    """``iou_3d`` and ``giou_3d`` of boxes whose ends are columns of their own: a (low, high) pair for each axis."""
+    volume = lambda ends: reduce(lambda x, e: x * F.greatest(e[1] - e[0], F.lit(0.0)), ends, F.lit(1.0))
+    i = volume([(F.greatest(a[0], b[0]), F.least(a[1], b[1])) for a, b in zip(left, right, strict=True)])
+    u = volume(left) + volume(right) - i
+    hull = volume([(F.least(a[0], b[0]), F.greatest(a[1], b[1])) for a, b in zip(left, right, strict=True)])
+    return i / (u + eps), i / (u + eps) - (hull - u) / (hull + eps)
+
+
 def near_crop_edge(b: Column, crop: Column, width: float, height: float, atol: float = 20.0) -> Column:
     """Whether an (uncropped) box touches an edge of its crop that isn't an edge of the image."""
     at = lambda v, w: F.abs(v - w) <= atol
