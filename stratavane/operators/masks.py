@@ -10,6 +10,8 @@ from stratavane.operators import bitmaps
 from stratavane.operators.skew import numbered
 
 EPS = 1e-6
+#: Elements of a mask whose pairs one key holds, at most about.
+MASK_ELEMENTS = 100_000
 
 # --- run lengths -------------------------------------------------------------------------------------
 
@@ -91,9 +93,7 @@ def overlaps(left: DataFrame, right: DataFrame | None = None, *, mask: str = "in
     if dense is not None and dense.isEmpty():
         dense = None
     few = lambda d: d if dense is None else d.join(dense, [*scope, "_e"], "left_anti")
-    meet = few(a).join(few(b).drop("_w"), [*scope, "_e"])
-    meet = meet.where("a < b") if same else meet
-    pair = meet.groupBy(*scope, "a", "b").agg(F.sum(value).alias("inter"))
+    pair = _meeting(few(a), None if same else few(b).drop("_w"), scope, value, weights is not None)
     if dense is not None:
         many = bitmaps.pairs(a.drop("_w"), None if same else b.drop("_w"), dense, scope, "_e", weights, "_w")
         pair = pair.unionByName(many).groupBy(*scope, "a", "b").agg(F.sum("inter").alias("inter"))
@@ -106,6 +106,30 @@ def overlaps(left: DataFrame, right: DataFrame | None = None, *, mask: str = "in
     )
 
 
+def _meeting(a: DataFrame, b: DataFrame | None, scope: list[str], value: Column, weighted: bool) -> DataFrame:
+    """scope, a, b and the number or weight of shared elements, by an equi-join on the element.
+
+    An element's masks travel as one list to each of its masks (of one table: of the smaller ids, so that a < b), and pairs
+    are spread out and added up where the first mask's lists have met; a row for each pair and element is never shuffled.
+    A mask with many elements is dealt to several keys of ``MASK_ELEMENTS`` elements, whose sums are added up again."""
+    same, own = b is None, ["_e", *(["_w"] if weighted else [])]
+    lists = (a.select(*scope, "_e", F.col("a").alias("b")) if same else b).groupBy(*scope, "_e").agg(F.sort_array(F.collect_list("b")).alias("_bs"))
+    split = a.groupBy(*scope, "a").agg(F.ceil(F.count(F.lit(1)) / MASK_ELEMENTS).cast("int").alias("_n")).where("_n > 1")
+    met = a.select(*scope, "a", *own).join(lists, [*scope, "_e"])
+    if same:
+        met = met.withColumn("_bs", F.expr("slice(_bs, int(array_position(_bs, a)) + 1, size(_bs))")).where(F.size("_bs") > 0)
+    key = [*scope, "a", "_part"]
+    part = F.pmod(F.xxhash64("_e"), F.coalesce("_n", F.lit(1)))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = met.join(F.broadcast(split), [*scope, "a"], "left").withColumn("_part", part).select(*key, value.alias("_v"), "_bs").repartition(parts, *key)
+    sums = at.select(*key, "_v", F.explode("_bs").alias("b")).groupBy(*key, "b").agg(F.sum("_v").alias("inter"))
+    # sums of a mask's parts are added up; masks of one part have theirs already
+    several = sums.join(F.broadcast(split.drop("_n")), [*scope, "a"], "left_semi").groupBy(*scope, "a", "b").agg(F.sum("inter").alias("inter")) if split.count() else None
+    if several is None:
+        return sums.select(*scope, "a", "b", "inter")
+    return sums.join(F.broadcast(split.drop("_n")), [*scope, "a"], "left_anti").select(*scope, "a", "b", "inter").unionByName(several)
+
+
 def drop_overlapping(left: DataFrame, right: DataFrame, threshold: float = 0.9, *, mask: str = "inst_id", element: str = "point_id", scope: list[str] = (), eps: float = EPS) -> DataFrame:
     """The masks of ``right`` whose best IoU with a mask of ``left`` stays below the threshold."""
     hit = overlaps(left, right, mask=mask, element=element, scope=scope, eps=eps).where(F.col("iou") >= threshold).select(*scope, F.col("b").alias(mask)).distinct()
