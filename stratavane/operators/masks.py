@@ -10,6 +10,8 @@ from stratavane.operators import bitmaps
 from stratavane.operators.skew import numbered
 
 EPS = 1e-6
+#: Masks whose sizes are broadcast, at most.
+BROADCAST_MASKS = 500_000
 #: Elements of a mask whose pairs one key holds, at most about.
 MASK_ELEMENTS = 100_000
 
@@ -93,11 +95,15 @@ def overlaps(left: DataFrame, right: DataFrame | None = None, *, mask: str = "in
     if dense is not None and dense.isEmpty():
         dense = None
     few = lambda d: d if dense is None else d.join(dense, [*scope, "_e"], "left_anti")
-    pair = _meeting(few(a), None if same else few(b).drop("_w"), scope, value, weights is not None)
+    # up to 64 elements are one block, in which each pair stands once
+    alone = dense is not None and dense.count() <= 64 and few(a).isEmpty() and (same or few(b).isEmpty())
+    pair = None if alone else _meeting(few(a), None if same else few(b).drop("_w"), scope, value, weights is not None)
     if dense is not None:
         many = bitmaps.pairs(a.drop("_w"), None if same else b.drop("_w"), dense, scope, "_e", weights, "_w")
-        pair = pair.unionByName(many).groupBy(*scope, "a", "b").agg(F.sum("inter").alias("inter"))
-    out = pair.join(size_a, [*scope, "a"]).join(size_b, [*scope, "b"])
+        pair = many if alone else pair.unionByName(many).groupBy(*scope, "a", "b").agg(F.sum("inter").alias("inter"))
+    # pairs are many more than masks, and are not shuffled for the masks' sizes
+    known = lambda d: F.broadcast(d) if d.count() <= BROADCAST_MASKS else d
+    out = pair.join(known(size_a), [*scope, "a"]).join(known(size_b), [*scope, "b"])
     return out.select(
         *scope, "a", "b", "inter", "size_a", "size_b",
         (F.col("inter") / (F.col("size_a") + F.col("size_b") - F.col("inter") + eps)).alias("iou"),

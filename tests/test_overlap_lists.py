@@ -26,3 +26,15 @@ def test_no_row_for_each_pair_and_element_is_shuffled(spark):
     # what is spread out is added up where it is, with no exchange between
     assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning(a")
     assert "Exchange" not in plan[: plan.index("Generate explode")].split("Final Plan")[-1]
+
+
+@pytest.mark.parametrize("elements", [3, 70])
+def test_pairs_of_one_block_are_not_added_up_again(spark, elements, monkeypatch):
+    """Where all elements are shared by many masks and fit in a block, pairs go straight to the result; sizes may be shuffled, too."""
+    monkeypatch.setattr(masks, "BROADCAST_MASKS", 500_000 if elements == 3 else 0)
+    df = spark.range(70 * elements).selectExpr(f"id DIV {elements} AS inst_id", f"id % {elements} AS point_id")
+    w = spark.range(elements).selectExpr("id AS point_id", "id + 1 AS size")
+    out = masks.overlaps(df, weights=w)
+    assert {(r.a, r.b): r.inter for r in out.collect()} == {(a, b): elements * (elements + 1) // 2 for b in range(70) for a in range(b)}
+    if elements == 3:
+        assert "sum(inter" not in out._jdf.queryExecution().sparkPlan().toString()
