@@ -44,12 +44,56 @@ def within(queries: DataFrame, points: DataFrame, radius: float, *, scope: list[
     return q.join(p, [*scope, *cells]).withColumn("d2", squared("q", "p", axes)).where(F.col("d2") < radius * radius).select(*scope, qid, pid, "d2")
 
 
+#: Points of a chunk that a query may meet in its ball at first, for each that it asks for, and how chunks grow.
+FIRST_HITS, GROWTH = 8, 4
+
+
+def _first_within(queries: DataFrame, points: DataFrame, radius: float, k: int, scope: list[str], qid: str, pid: str, axes) -> DataFrame:
+    """Pairs within the radius, among them the first ``k`` points (by id) of each query, and at most ``k`` for each chunk of points.
+
+    Points are taken in order of their ids in chunks, each of which is ``GROWTH`` times as far as what went before; a query that has its ``k`` meets
+    no later chunk. So where ids don't follow space, pairs are some times k for each query, however dense the points are. Points
+    go to the cells around their own and a query stays in its cell, so its pairs are in one task, and those beyond k aren't shuffled."""
+    cells = ["c" + a for a in axes]
+    placed = reduce(lambda x, a: x & (F.abs(F.col(a).cast("double")) < float("inf")), axes, F.lit(True))
+    place = lambda c: F.floor(F.least(F.greatest(F.col(c) / radius, F.lit(-(2.0**62))), F.lit(2.0**62)))
+    own = lambda df, i, p: df.where(placed).select(*scope, i, *[F.col(a).cast("double").alias(p + a) for a in axes]).select("*", *[place(p + a).alias("c" + a) for a in axes])
+    q, p = own(queries, qid, "q"), own(points, pid, "p")
+    n, most = p.groupBy(*scope, *cells).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    first = int((n or 0) * min(1.0, FIRST_HITS * k / (most or 1)))
+    key = [*scope, *cells, qid]
+    head = F.row_number().over(Window.partitionBy(*key).orderBy(pid))
+
+    def meet(q: DataFrame, p: DataFrame) -> DataFrame:
+        for a in axes:
+            p = p.withColumn("c" + a, F.explode(F.sequence(F.col("c" + a) - 1, F.col("c" + a) + 1)))
+        near = q.join(p, [*scope, *cells]).withColumn("d2", squared("q", "p", axes)).where(F.col("d2") < radius * radius)
+        return near.select(*key, pid, "d2").withColumn("_r", head).where(F.col("_r") <= k).select(*scope, qid, pid, "d2")
+
+    if first >= (n or 0):
+        return meet(q, p)
+    p = storage.stage(numbered(p, [pid, *scope, *["p" + a for a in axes]], "_n"), "points")
+    q, parts, lo, hi = storage.stage(q, "queries"), [], 0, first
+    while True:
+        found = storage.stage(meet(q, p.where((F.col("_n") >= lo) & (F.col("_n") < hi)).drop("_n")), "found")
+        parts.append(found)
+        if hi >= n:
+            return reduce(DataFrame.unionByName, parts)
+        done = reduce(DataFrame.unionByName, parts).groupBy(*scope, qid).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= k).drop("_k")
+        before, q = q, storage.stage(q.join(done, [*scope, qid], "left_anti"), "queries")
+        storage.release(before)
+        if q.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        lo, hi = hi, hi * GROWTH
+
+
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, k: int | None = None, *, scope: list[str] = (), qid: str = "query_id", pid: str = "point_id", axes=AXES, pad: bool = False) -> DataFrame:
     """Of each query the first ``k`` points (by id) within the radius, numbered from 0; without k all.
     ``pad`` repeats the first until there are k."""
     scope = list(scope)
     w = Window.partitionBy(*scope, qid).orderBy(pid)
-    out = within(queries, points, radius, scope=scope, qid=qid, pid=pid, axes=axes).withColumn("n", F.row_number().over(w) - 1)
+    near = within(queries, points, radius, scope=scope, qid=qid, pid=pid, axes=axes) if k is None else _first_within(queries, points, radius, k, scope, qid, pid, axes)
+    out = near.withColumn("n", F.row_number().over(w) - 1)
     if k is None:
         return out
     out = out.where(F.col("n") < k)
