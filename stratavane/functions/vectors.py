@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,15 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used (an expression within a lambda is computed for each element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(a: Column, scale: float = 1.0) -> Column:
     """Softmax of scale * a, shifted by the maximum."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) * scale))
-    total = _total(e)
-    return F.transform(e, lambda x: x / total)
+    share = lambda e: once(_total(e), lambda total: F.transform(e, lambda x: x / total))
+    return once(a, lambda a: once(F.array_max(a), lambda top: once(F.transform(a, lambda x: F.exp((x - top) * scale)), share)))
 
 
 def positional_encoding(x: Column, levels: int) -> Column:

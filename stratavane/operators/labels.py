@@ -24,11 +24,14 @@ def class_scores(features: DataFrame, classes: DataFrame, *, vector: str = "feat
     n = classes.count()
     if n > BROADCAST_CLASSES:
         raise ValueError(f"{n} classes; class_probabilities has no bound, this form has {BROADCAST_CLASSES}")
-    table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e")))).alias("_classes"))
-    cos = F.transform("_classes", lambda x: V.cosine(F.col(vector), x["e"]))
-    out = features.join(F.broadcast(table)).withColumn("_cos", cos).withColumn("_p", V.softmax(F.col("_cos"), scale))
-    scores = F.zip_with(F.zip_with("_classes", "_cos", lambda x, c: F.struct(x["c"].alias("c"), c.alias("cosine"))), F.col("_p"), lambda x, p: F.struct(x["c"].alias(cls), x["cosine"].alias("cosine"), p.alias("p")))
-    return out.withColumn("scores", scores).drop("_classes", "_cos", "_p")
+    table = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(cls).alias("c"), F.col(emb).alias("e"), V.norm(F.col(emb)).alias("n")))).alias("_classes"))
+    own = F.col(vector)
+    cosine = lambda x, d: F.when(d == 0, F.lit(0.0)).otherwise(V.dot(own, x["e"]) / d)
+    cosines = V.once(V.norm(own), lambda n: F.transform("_classes", lambda x: cosine(x, n * x["n"])))
+    named = lambda cos, p: F.zip_with(F.zip_with("_classes", cos, lambda x, c: F.struct(x["c"].alias("c"), c.alias("cosine"))), p, lambda x, p: F.struct(x["c"].alias(cls), x["cosine"].alias("cosine"), p.alias("p")))
+    # one expression, in which cosines and softmax are computed once: as columns they would be put in wherever they are used
+    scores = V.once(cosines, lambda cos: named(cos, V.softmax(cos, scale)))
+    return features.join(F.broadcast(table)).withColumn("scores", scores).drop("_classes")
 
 
 def class_probabilities(features: DataFrame, classes: DataFrame, *, vector: str = "feat", emb: str = "emb", cls: str = "class_id", scale: float = 100.0, block: int = BROADCAST_CLASSES) -> DataFrame:
