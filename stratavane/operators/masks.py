@@ -14,15 +14,22 @@ EPS = 1e-6
 BROADCAST_MASKS = 500_000
 #: Elements of a mask whose pairs one key holds, at most about.
 MASK_ELEMENTS = 100_000
+#: Rows that a task encodes as runs, about.
+PART_ROWS = 500_000
 
 # --- run lengths -------------------------------------------------------------------------------------
 
 
 def rle_encode(df: DataFrame, keys: list[str], index: str = "point_id", length: int | None = None) -> DataFrame:
     """Of each mask, ``counts``: pairs (1-based start, run length) in order, flattened, by gaps and
-    islands over its distinct 0-based indexes; with ``length`` a struct of both."""
+    islands over its distinct 0-based indexes; with ``length`` a struct of both.
+
+    Rows are counted first and dealt once, by mask, to parts of about ``PART_ROWS`` rows, so that what a task sorts and holds doesn't
+    grow with the table; only a mask of more rows makes a larger part."""
     w = Window.partitionBy(*keys).orderBy(index)
-    runs = df.select(*keys, index).distinct().withColumn("_g", F.col(index) - F.row_number().over(w)).groupBy(*keys, "_g").agg((F.min(index) + 1).cast("int").alias("s"), F.count(F.lit(1)).cast("int").alias("n"))
+    rows = df.select(*keys, index)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    runs = rows.repartition(parts, *keys).distinct().withColumn("_g", F.col(index) - F.row_number().over(w)).groupBy(*keys, "_g").agg((F.min(index) + 1).cast("int").alias("s"), F.count(F.lit(1)).cast("int").alias("n"))
     out = runs.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "n"))), lambda r: F.array(r["s"], r["n"]))).alias("counts"))
     return out if length is None else out.select(*keys, F.struct(F.lit(length).alias("length"), "counts").alias("rle"))
 
