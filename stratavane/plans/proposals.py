@@ -32,11 +32,11 @@ def instances(proposals: DataFrame, mask_logits: DataFrame, voxels: DataFrame, s
     p = storage.stage(p.join(big, key), "classes")
     kept = suppression.suppress(nms, on, p, threshold, scope=["scene_id"], element="voxel_id").select(*key)
     at_points = on.join(kept, key).join(voxels, ["scene_id", "voxel_id"]).select(*key, "point_id")
-    whole = masks.majority(at_points, superpoints, scope=["scene_id"])
+    whole = storage.stage(masks.majority(at_points, superpoints, scope=["scene_id"]), "whole")
     enough = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= points).select(*key)
     out = masks.rle_encode(whole.join(enough, key), key).join(p, key).select(*key, (F.col("class_id") + shift).alias("label_id"), F.col("score").alias("conf"), "counts")
     if semantic is None or not len(whole_classes):
         return out
     back = semantic.where(F.col("sem").isin(list(whole_classes))).join(voxels, ["scene_id", "voxel_id"]).select("scene_id", (-1 - F.col("sem")).cast(dict(proposals.dtypes)["inst_id"]).alias("inst_id"), "point_id")
-    back = masks.rle_encode(masks.majority(back, superpoints, scope=["scene_id"]), key)
+    back = masks.rle_encode(storage.stage(masks.majority(back, superpoints, scope=["scene_id"]), "back"), key)
     return out.unionByName(back.select(*key, (-F.col("inst_id")).cast("int").alias("label_id"), F.lit(1.0).alias("conf"), "counts"))
