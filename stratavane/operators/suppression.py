@@ -135,6 +135,33 @@ def matrix_decay(pairs: DataFrame, info: DataFrame, keys: list[str], *, id: str
     return ranked.join(worst, [*keys, id], "left").withColumn("decayed", F.col(score) * F.least(F.lit(1.0), F.coalesce("_d", F.lit(1.0)))).drop("_rank", "_d")
 
 
+def matrix_box_nms(df: DataFrame, keys: list[str], *, id: str = "box_id", score: str = "score", sigma: float = 2.0) -> DataFrame:
+    """``matrix_decay`` (gaussian) of each group's boxes (x1, y1, x2, y2), with ids that are unique in their group: all rows and ``decayed``.
+
+    A row meets the better ones of its group twice, for its own best overlap and for the least decay. Both joins and what is
+    grouped from them are dealt out by ``keys``, so rows are shuffled once and pairs never. A row with a null key meets none."""
+    keys, corners = list(keys), ("x1", "y1", "x2", "y2")
+    rest = [c for c in df.columns if c not in (*keys, id)]
+    known = reduce(lambda x, k: x & F.col(f"`{k}`").isNotNull(), keys, F.lit(True))
+    rows = df.where(known)  # said here and not left to the joins, so that all read the same shuffled rows
+
+    def met(better: DataFrame, of: Column) -> DataFrame:
+        """Each row with ``_of``, an aggregate over its better rows (columns prefixed by b_)."""
+        b = better.select(*keys, *[F.col(f"`{c}`").alias("b_" + c) for c in better.columns if c not in keys])
+        mine, theirs = F.col(f"`{score}`"), F.col(f"`b_{score}`")
+        first = F.when(theirs.eqNullSafe(mine), F.col(f"`b_{id}`") < F.col(f"`{id}`")).otherwise(mine.isNull() | (theirs > mine))
+        on = reduce(lambda x, k: x & (F.col(f"r.`{k}`") == F.col(f"b.`{k}`")), keys, first)
+        group = [F.col(f"r.`{k}`").alias(k) for k in keys]
+        return rows.alias("r").join(b.alias("b"), on, "left").groupBy(*group, f"`{id}`").agg(*[F.first(f"`{c}`").alias(c) for c in rest], of.alias("_of"))
+
+    iou = G.iou(G.box(*[F.col("b_" + c) for c in corners]), G.box(*[F.col(c) for c in corners]))
+    comp = met(rows, F.max(iou)).withColumnRenamed("_of", "_comp")
+    own = F.coalesce("b__comp", F.lit(0.0))
+    worst = met(comp, F.min(F.exp(-sigma * (iou * iou - own * own))))
+    out = worst.unionByName(df.where(~known).withColumn("_of", F.lit(None).cast("double"))) if keys else worst
+    return out.withColumn("decayed", F.col(f"`{score}`") * F.least(F.lit(1.0), F.coalesce("_of", F.lit(1.0)))).select(*[F.col(f"`{c}`") for c in df.columns], "decayed")
+
+
 def matrix_nms(inst: DataFrame, info: DataFrame, *, scope: list[str] = (), category: str = "class_id", element: str = "point_id", sigma: float = 2.0, top_k: int | None = None, least: float = 0.1) -> DataFrame:
     """Matrix suppression of masks within their class: the ``top_k`` best of a scope, or all with a decayed
     score of at least ``least``."""
