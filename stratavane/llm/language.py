@@ -42,6 +42,8 @@ from stratavane.operators.skew import meet_groups
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 #: Buckets of hashed trigrams, and the share of a trigram's evidence that counts (they overlap).
 BUCKETS, TEMPER = 1 << 15, 1 / 3
+#: Bytes of text whose trigrams are held at a time.
+PIECE_BYTES = 1 << 18
 SMOOTHING = 20.0
 LEAST = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -49,29 +51,23 @@ LETTERS = X.byte_table((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _CLEAN = np.where(LETTERS, X.LOWER, np.uint8(32)).astype(np.uint8)
 
 
-def trigrams(b: X.Block) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of the block's trigrams, and each document's offsets in them. Runs of anything but
-    letters count as one space, and trigrams hold at least one letter in the middle."""
-    n = np.diff(b.offsets)
-    size = b.end - b.start + 1  # each word and the space behind it
-    total = int(size.sum())
-    at = np.cumsum(size) - size
-    index = np.arange(total) - np.repeat(at, size) + np.repeat(b.start, size)
-    text = np.full(total + 1, 32, np.uint8)
-    text[1:] = b.data[np.minimum(index, len(b.data) - 1)] if total else 0
-    text[at + size] = 32
-    v = text.astype(np.uint64)
-    # position i has the letter text[i] in the middle; spaces have none
-    middle = np.flatnonzero(text[1:] != 32) + 1
-    after = np.append(v, X.U(32))[middle + 1]
-    code = v[middle - 1] << X.U(16) | v[middle] << X.U(8) | after
-    bucket = (code * X.K1 >> X.U(64 - 15)).astype(np.int64)
-    per = X.sums(size - 1, b.offsets)
-    return bucket, np.concatenate([[0], np.cumsum(per)]) if len(n) else np.zeros(1, np.int64)
-
-
-def letter_blocks(texts: pa.Array) -> Iterator[X.Block]:
-    return X.blocks(texts, LETTERS, True)
+def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts in pieces of ``PIECE_BYTES``, whatever their lengths: a piece's first document, the buckets of its trigrams, and
+    each of its documents' offsets in them. Every letter is the middle of a trigram; anything else, and a text's end, counts as a space."""
+    data, off = X.buffers(texts)
+    for lo in range(0, len(data), PIECE_BYTES):
+        hi = min(lo + PIECE_BYTES, len(data))
+        first, last = int(np.searchsorted(off, lo, "right")) - 1, int(np.searchsorted(off, hi))
+        left, right = max(lo - 1, 0), min(hi + 1, len(data))
+        text = np.full(hi - lo + 2, 32, np.uint8)
+        text[left - lo + 1 : right - lo + 1] = _CLEAN[data[left:right]]
+        before, own, after = text[:-2].copy(), text[1:-1], text[2:].copy()
+        ends = off[first : last + 1] - lo
+        before[ends[(ends >= 0) & (ends < hi - lo)]] = 32
+        after[ends[(ends > 0) & (ends <= hi - lo)] - 1] = 32
+        middle = np.flatnonzero(own != 32)
+        code = before[middle].astype(np.uint64) << X.U(16) | own[middle].astype(np.uint64) << X.U(8) | after[middle]
+        yield first, (code * X.K1 >> X.U(64 - 15)).astype(np.int64), np.searchsorted(middle, ends)
 
 
 class TextModel:
@@ -81,18 +77,20 @@ class TextModel:
         self.languages = sorted({lang for lang, _ in rows})
         counts = np.zeros((BUCKETS, max(1, len(self.languages))))
         for k, lang in enumerate(self.languages):
-            for b in letter_blocks(pa.array([t for own, t in rows if own == lang], pa.large_string())):
-                counts[:, k] += np.bincount(trigrams(b)[0], minlength=BUCKETS)
+            for _, bucket, _ in trigrams(pa.array([t for own, t in rows if own == lang], pa.large_string())):
+                counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
         self.logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
 
     def score(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for b in letter_blocks(texts):
-            bucket, off = trigrams(b)
-            out = np.zeros((len(off) - 1, len(self.languages)))
+        """Log likelihoods of the texts, one column per language, and their numbers of trigrams."""
+        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for first, bucket, off in trigrams(texts):
+            own = slice(first, first + len(off) - 1)
+            n[own] += np.diff(off)
             for k in range(len(self.languages)):
                 c = np.concatenate([[0.0], np.cumsum(self.logs[:, k][bucket], dtype=np.float64)])
-                out[:, k] = c[off[1:]] - c[off[:-1]]
-            yield out, np.diff(off)
+                out[own, k] += c[off[1:]] - c[off[:-1]]
+        yield out, n
 
 
 def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
