@@ -2,8 +2,8 @@
 
 A document's posterior combines
 
-* the likelihood of its text under byte-trigram models of the languages, fitted on a bounded sample of
-  labelled rows (``SAMPLE_DOCS``), stratified by label;
+* the likelihood of its text under byte-trigram models of the languages, counted over all labelled rows and
+  their whole texts (``learn``; ``fit`` is the same from a bounded, stratified sample, which no query takes);
 * the language that its markup or metadata declares, weighed by how often each declared value went
   with each language over all documents;
 * a prior from its host, smoothed hierarchically: the host's own text posteriors are mixed with its
@@ -38,12 +38,12 @@ from stratavane import storage
 from stratavane.llm import _text as X
 from stratavane.operators.skew import meet_groups
 
-#: Labelled rows the text models are fitted on, at most, and the longest text among them.
+#: Labelled rows of a ``sample``, at most, and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 #: Buckets of hashed trigrams, and the share of a trigram's evidence that counts (they overlap).
 BUCKETS, TEMPER = 1 << 15, 1 / 3
-#: Bytes of text whose trigrams are held at a time.
-PIECE_BYTES = 1 << 18
+#: Bytes of text whose trigrams are held at a time, and labels whose counts a task holds before it hands them on.
+PIECE_BYTES, HELD_LABELS = 1 << 18, 64
 SMOOTHING = 20.0
 LEAST = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -70,6 +70,14 @@ def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, (code * X.K1 >> X.U(64 - 15)).astype(np.int64), np.searchsorted(middle, ends)
 
 
+def counted(texts: pa.Array) -> np.ndarray:
+    """How often each bucket's trigrams occur in the texts."""
+    out = np.zeros(BUCKETS, np.int64)
+    for _, bucket, _ in trigrams(texts):
+        out += np.bincount(bucket, minlength=BUCKETS)
+    return out
+
+
 class TextModel:
     """Log probabilities of the buckets, one column per language, from rows (language, text)."""
 
@@ -77,8 +85,23 @@ class TextModel:
         self.languages = sorted({lang for lang, _ in rows})
         counts = np.zeros((BUCKETS, max(1, len(self.languages))))
         for k, lang in enumerate(self.languages):
-            for _, bucket, _ in trigrams(pa.array([t for own, t in rows if own == lang], pa.large_string())):
-                counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
+            counts[:, k] = counted(pa.array([t for own, t in rows if own == lang], pa.large_string()))
+        self._weigh(counts)
+
+    @classmethod
+    def of_counts(cls, counts: pa.Table) -> TextModel:
+        """From the numbers ``n`` of the trigrams of each ``label`` and ``bucket``."""
+        m = cls([])
+        m.languages = sorted(counts.column("label").unique().to_pylist())
+        at = {lang: k for k, lang in enumerate(m.languages)}
+        table = np.zeros((BUCKETS, max(1, len(m.languages))))
+        for batch in counts.to_batches():
+            own = np.fromiter((at[x] for x in batch.column("label").to_pylist()), np.int64, len(batch))
+            table[batch.column("bucket").to_numpy(), own] = batch.column("n").to_numpy()
+        m._weigh(table)
+        return m
+
+    def _weigh(self, counts: np.ndarray) -> None:
         self.logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
 
     def score(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,10 +151,43 @@ def sample(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: st
 
 
 def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang") -> TextModel:
-    """Text models from a bounded, stratified ``sample`` of the labelled rows."""
+    """Text models from a bounded, stratified ``sample`` of the labelled rows, for a first look; the queries ``learn``."""
     return TextModel(sample(docs, id=id, text=text, label=label))
 
 
+def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, text) to (label, bucket, n). A label's counts are added up within the task, those of ``HELD_LABELS`` at a time."""
+    held: dict[str, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for label, n in held.items():
+            at = np.flatnonzero(n)
+            at = at if len(at) else np.zeros(1, np.int64)  # a label without trigrams is a language all the same
+            yield pa.RecordBatch.from_arrays([pa.repeat(label, len(at)), pa.array(at, pa.int32()), pa.array(n[at])], ["label", "bucket", "n"])
+        held.clear()
+
+    for batch in batches:
+        labels = batch.column("label").dictionary_encode()
+        own = labels.indices.to_numpy()
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(len(labels.dictionary) + 1))
+        for k, label in enumerate(labels.dictionary.to_pylist()):
+            if label not in held and len(held) >= HELD_LABELS:
+                yield from out()
+            n = counted(batch.column("text").take(pa.array(order[ends[k] : ends[k + 1]])))
+            held[label] = held[label] + n if label in held else n
+    yield from out()
+
+
+def learn(docs: DataFrame, *, text: str = "text", label: str = "lang") -> TextModel:
+    """Text models from every labelled row and its whole text: tasks count their rows' trigrams by label, and the counts, at most
+    ``BUCKETS`` for each label, are summed by grouped aggregation. No text leaves its task."""
+    X.bounded_batches(docs.sparkSession)
+    rows = docs.select(declared(X.named(label)).alias("label"), X.named(text).alias("text")).where("label <> '' AND text IS NOT NULL")
+    counts = rows.mapInArrow(X.lean(_label_counts), "label string, bucket int, n long")
+    return TextModel.of_counts(counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow())
+
+
 def declared(value: Column) -> Column:
     """The primary subtag of a language tag."""
     return F.lower(F.regexp_extract(F.trim(value), "^([A-Za-z]{2,8})(?:[-_].*)?$", 1))
@@ -244,7 +300,7 @@ def identify(docs: DataFrame, model: TextModel, *, id: str = "doc_id", text: str
 def keep_identified(docs: DataFrame, model: TextModel | None = None, *, id: str = "doc_id", text: str = "text", declares: str | None = "lang", host: str | None = "source") -> DataFrame:
     """The documents that aren't rejected, with all their columns. Rows that agree in id, text,
     declaration and host share their fate, whatever else they hold."""
-    model = model or fit(docs, id=id, text=text, label=declares)
+    model = model or learn(docs, text=text, label=declares)
     own, gone_ = f"key_{uuid.uuid4().hex}", f"gone_{uuid.uuid4().hex}"
     key = F.struct(F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in (declares, host) if c]).alias("h"))
     named = docs.withColumn(own, key)
@@ -257,13 +313,13 @@ def keep_identified(docs: DataFrame, model: TextModel | None = None, *, id: str
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    found = identify(docs, fit(docs))
+    found = identify(docs, learn(docs))
     return found.select(F.col("id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", (F.col("language") != "und").alias("kept"))
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages by text, markup, host, domain and suffix, with the text models of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
     pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    found = identify(pages, fit(docs), id="id", declares="declared", host="host")
+    found = identify(pages, learn(docs), id="id", declares="declared", host="host")
     return found.select(F.col("id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "declared", "host")
