@@ -3,7 +3,7 @@
 Where an element belongs to m masks, an equi-join on it makes m * m rows.  Elements that many masks share are numbered and cut into
 blocks of up to ``WORDS`` * 64; a mask's part of a block is an array of longs, and two masks are compared once per block, with ``&`` and
 ``bit_count``.  Weights are bit planes of a block: a plane holds the elements whose weight has that bit.  A block's masks
-are dealt to tiles, so that no key has more than about ``TILE`` masks on a side.
+are dealt to tiles of about ``TILE`` masks, each of them one row; pairs of tiles are dealt by their numbers, then joined to the tiles.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from stratavane.operators.skew import numbered
 #: Longs of a block, and with weights longs times planes.
 WORDS, PLANE_WORDS = 8, 16
 TILE = 128
+#: Masks' parts of blocks that are broadcast (some 100 bytes each); of more, the tiles are shuffled.
+BROADCAST_PARTS = 100_000
 #: An element goes by bitmap if more masks share it than the first number, or at least the second and one in ``SHARE`` of its scope's.
 MANY, SOME, SHARE = 1024, 64, 16
 
@@ -58,17 +60,31 @@ def pairs(left: DataFrame, right: DataFrame | None, places: DataFrame, scope: li
         d = _placed(df.join(places, [*scope, element]), words, *scope, to)
         return storage.stage(d.groupBy(*keys, to).agg(F.array(*_bits(words)).alias(f"_w{to}")), "bitmaps")
 
-    a = packed(left, "a")
-    b = a.withColumnsRenamed({"a": "b", "_wa": "_wb"}) if same else packed(right, "b")
-    tiles = lambda df, to: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(to))
-    grid = tiles(a, "_ga").join(tiles(b, "_gb"), keys)
-    l_grid = grid.join(of_block, keys) if weights is not None else grid
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l = a.join(l_grid, keys).withColumn("_i", place("a", "_ga")).withColumn("_j", every("_gb")).drop("_ga", "_gb")
-    r = b.join(grid, keys).withColumn("_j", place("b", "_gb")).withColumn("_i", every("_ga")).drop("_ga", "_gb")
-    j = l.join(r, [*keys, "_i", "_j"])
-    j = j.where("a < b") if same else j
+
+    def tiles(df: DataFrame, to: str, number: str) -> DataFrame:
+        """A tile's masks as one row, which every tile that it meets reads: masks themselves are never copied for each of those."""
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_g"))
+        own = df.join(sizes, keys).withColumn(number, place(to, "_g"))
+        return own.groupBy(*keys, number).agg(F.collect_list(F.struct(F.col(to), F.col(f"_w{to}"))).alias(f"_{to}s"))
+
+    a = packed(left, "a")
+    b = a if same else packed(right, "b")
+    l = storage.stage(tiles(a, "a", "_i"), "tiles")
+    r = l.select(*keys, F.col("_i").alias("_j"), F.col("_as").alias("_bs")) if same else storage.stage(tiles(b, "b", "_j"), "tiles")
+    # pairs of tiles' numbers are dealt before they learn their tiles' masks; were the side left open, the pairs might be broadcast to few tasks
+    few = lambda masks, df: F.broadcast(df) if masks.count() <= BROADCAST_PARTS else df.hint("merge")
+    work = l.select(*keys, "_i").join(r.select(*keys, "_j"), keys)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = (work.where("_i <= _j") if same else work).repartition(parts, *keys, "_i", "_j")
+    j = work.join(few(a, l.join(of_block, keys) if weights is not None else l), [*keys, "_i"]).join(few(b, r), [*keys, "_j"])
+    known = [*scope, "_i", "_j", *(["_planes"] if weights is not None else [])]
+    j = j.select(*known, F.explode("_as").alias("_l"), "_bs").select(*known, "_l", F.explode("_bs").alias("_r"))
+    one, two = F.col("_l.a"), F.col("_r").getField("a" if same else "b")
+    if same:  # of two tiles each pair stands once, whichever mask is the smaller; within a tile it stands twice
+        j = j.where((one < two) | ((F.col("_i") < F.col("_j")) & (two < one)))
+        one, two = F.when(one < two, one).otherwise(two), F.when(one < two, two).otherwise(one)
+    j = j.select(*known, one.alias("a"), two.alias("b"), F.col("_l._wa").alias("_wa"), F.col("_r").getField("_wa" if same else "_wb").alias("_wb"))
     both = [F.get("_wa", F.lit(k)).bitwiseAND(F.get("_wb", F.lit(k))) for k in range(words)]
     if weights is None:
         terms = [F.bit_count(x).cast("bigint") for x in both]
